@@ -145,7 +145,7 @@ def failure_backoff(df: DataFrame, as_of: Column, keys: Sequence[str] = ("source
 def connection_states(events: DataFrame, seq: str = "seq", slot_seconds: float = HOUR) -> DataFrame:
     """Connection state of every database folded from its event history.
 
-    ``events``: source_database, at, seq, kind, message, duration_seconds, where kind is
+    ``events``: source_database, event_at, seq, kind, message, duration_seconds, where kind is
     ``failure``, ``probe_start``, ``probe_failed``, ``probe_ok`` or ``activate``.
 
     A probe starts only from quarantine.  The state before an event follows from the
@@ -154,14 +154,14 @@ def connection_states(events: DataFrame, seq: str = "seq", slot_seconds: float =
     """
     broken = F.col("kind").isin("failure", "probe_failed")
     healthy = F.col("kind").isin("probe_ok", "activate")
-    rows = last_known(events, ["source_database"], "at",
+    rows = last_known(events, ["source_database"], "event_at",
                       F.when(F.col("kind") != "probe_start", F.col("kind")), "_outcome", seq, slot_seconds)
-    rows = previous_values(rows, ["source_database"], "at", ["kind"], seq, slot_seconds)
+    rows = previous_values(rows, ["source_database"], "event_at", ["kind"], seq, slot_seconds)
     quarantined = F.coalesce(
         F.col("_outcome").isin("failure", "probe_failed") & (F.col("prev_kind") != "probe_start"), F.lit(False)
     )
     rows = rows.withColumn("_counts", (F.col("kind") != "probe_start") | quarantined)
-    at = F.struct("at", seq)
+    at = F.struct("event_at", seq)
     probe = (F.col("kind") == "probe_start") & F.col("_counts")
     finish = F.col("kind").isin("probe_failed", "probe_ok")
 
@@ -169,21 +169,21 @@ def connection_states(events: DataFrame, seq: str = "seq", slot_seconds: float =
         return F.max_by(value, F.when(when, at))
 
     folded = rows.groupBy("source_database").agg(
-        F.max("at").alias("observed_at"),
+        F.max("event_at").alias("observed_at"),
         newest("kind", F.col("_counts")).alias("_kind"),
-        F.max(F.when(broken, F.col("at"))).alias("last_failure_at"),
+        F.max(F.when(broken, F.col("event_at"))).alias("last_failure_at"),
         newest(F.coalesce("message", F.lit("database connection is unavailable")), broken).alias("last_failure"),
-        F.max(F.when(probe, F.col("at"))).alias("last_probe_at"),
+        F.max(F.when(probe, F.col("event_at"))).alias("last_probe_at"),
         newest(F.when(finish, F.col("duration_seconds")), probe | finish).alias("last_probe_duration_seconds"),
         F.nullif(newest(F.when(F.col("kind") == "probe_failed", F.col("message")).otherwise(F.lit("")),
                         (F.col("kind") != "failure") & F.col("_counts")), F.lit("")).alias("last_probe_error"),
         F.count_if(probe).alias("probe_attempts"),
-        F.max(F.when(F.col("kind") == "probe_ok", F.col("at"))).alias("recovered_at"),
+        F.max(F.when(F.col("kind") == "probe_ok", F.col("event_at"))).alias("recovered_at"),
     )
     # Quarantine began with the first failure after the last healthy event.
     onset = (
-        since_reset(rows.select("source_database", "at", seq, "kind"), ["source_database"], "at", healthy, seq)
-        .where(broken).groupBy("source_database").agg(F.min("at").alias("queued_at"))
+        since_reset(rows.select("source_database", "event_at", seq, "kind"), ["source_database"], "event_at", healthy, seq)
+        .where(broken).groupBy("source_database").agg(F.min("event_at").alias("queued_at"))
     )
     state = (
         F.when(F.col("_kind") == "probe_start", "PROBING")

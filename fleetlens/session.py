@@ -35,6 +35,7 @@ def local_session(app: str = "fleetlens", cores: str = "*", shuffle_partitions:
         .appName(app)
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.driver.extraJavaOptions", "-Duser.timezone=UTC")
     )

@@ -224,7 +224,7 @@ def stream_thin(stream: DataFrame, keys: Sequence[str], ts: str, interval: float
 
 def stream_connection_states(stream: DataFrame, seq: str = "seq") -> DataFrame:
     """State of every database after each of its connection events."""
-    rows = stream.withColumn("_at", F.unix_micros("at"))
+    rows = stream.withColumn("_at", F.unix_micros("event_at"))
     start = ("STARTING", None, None, None, None, None, None, 0, None)
 
     def step(state, row):
