@@ -111,6 +111,10 @@ select event_id as seq, cast(ts as timestamp) as collected_at, concat('db', cast
   event_type <> 'error' as success, cast(value as double) / cast(100 as double) as duration_seconds, event_id % 100 as sample_count,
   case when event_type = 'error' then 'ORA-12514: no service' end as error_message, event_type
 from {events}""",
+    "fx_status_hour": """
+select seq, date_trunc('day', collected_at) as collected_at, source_database, collector, success, duration_seconds, sample_count,
+  error_message, event_type
+from {fx_status}""",
     "fx_latest_status": """
 select seq, collected_at, source_database, collector, success, duration_seconds, sample_count, error_message
 from (select *, row_number() over (partition by source_database, collector order by collected_at desc, seq desc) as rn
@@ -312,7 +316,7 @@ select event_id as seq, date_trunc('hour', cast(ts as timestamp)) as collected_a
 from {events}""",
     "fx_plan": """
 select event_id as seq, cast(ts as timestamp) as collected_at, concat('db', cast(user_id % 2 as string)) as source_database,
-  user_id % 2 + 1 as inst_id, concat('sql', cast(user_id % 15 as string)) as sql_id, event_id % 12 as child_number,
+  user_id % 2 + 1 as inst_id, concat('sql', cast(user_id % 15 as string)) as sql_id, event_id % 40 as child_number,
   user_id % 3 + 1 as plan_hash_value, event_id % 5 as plan_line_id, concat('OP ', event_type) as operation, user_id as cost, event_type
 from {events}""",
     "fx_log": """

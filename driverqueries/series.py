@@ -217,7 +217,7 @@ def top_consumers_at_takes(fx):
     return deltas.top_consumers(deltas.consumer_delta(fx.sqlstats), n=20, takes=takes)
 
 
-@query("st_7_connection_state", """
+_CONNECTION_FOLD = """
 with recursive numbered as (
   select *, row_number() over (partition by source_database order by event_at, seq) as n from {fx_connection}
 ), fold as (
@@ -249,7 +249,10 @@ with recursive numbered as (
 )
 select source_database, observed_at, state, queued_at, last_failure_at, last_failure, last_probe_at, last_probe_duration_seconds,
   last_probe_error, probe_attempts, recovered_at
-from (select *, row_number() over (partition by source_database order by n desc) as rn from fold) r where rn = 1""")
+from (select *, row_number() over (partition by source_database order by n desc) as rn from fold) r where rn = 1"""
+
+
+@query("st_7_connection_state", _CONNECTION_FOLD)
 def connection_state(fx):
     return deltas.connection_states(fx.connection)
 

@@ -552,13 +552,19 @@ def enriched_sql(fx):
     return enrich_sql(fx.sqlstats, fx.cursor)
 
 
-_TOP = "select source_database, sql_id from {fx_sqlstats} group by 1, 2 having sum(elapsed_time_micro) > avg(elapsed_time_micro) * 300"
+_TOP = """
+select source_database, sql_id from (
+  select source_database, sql_id, row_number() over (partition by source_database order by sum(elapsed_time_micro) desc, sql_id) as rn
+  from {fx_sqlstats} group by 1, 2) r
+where rn <= 5"""
 
 
 def _top_ids(fx):
-    totals = fx.sqlstats.groupBy("source_database", "sql_id").agg(
-        F.sum("elapsed_time_micro").alias("s"), F.avg("elapsed_time_micro").alias("a"))
-    return totals.where(F.col("s") > F.col("a") * 300).select("source_database", "sql_id")
+    from pyspark.sql import Window
+
+    totals = fx.sqlstats.groupBy("source_database", "sql_id").agg(F.sum("elapsed_time_micro").alias("s"))
+    order = Window.partitionBy("source_database").orderBy(F.col("s").desc(), "sql_id")
+    return totals.withColumn("rn", F.row_number().over(order)).where("rn <= 5").select("source_database", "sql_id")
 
 
 @query("j_16_top_consumer_details", f"""
@@ -574,17 +580,17 @@ def top_consumer_details(fx):
 
 
 _PLAN_KEYS = "source_database, inst_id, sql_id, child_number, plan_hash_value"
-_KNOWN = f"select distinct {_PLAN_KEYS} from {{fx_cursor}} where event_type in ('click', 'view')"
-_WANTED = f"select distinct {_PLAN_KEYS} from {{fx_cursor}} where event_type in ('view', 'error')"
+_KNOWN = f"select distinct {_PLAN_KEYS} from {{fx_plan}} where event_type in ('click', 'view')"
+_WANTED = f"select distinct {_PLAN_KEYS} from {{fx_plan}} where event_type in ('view', 'error')"
 PLAN_KEYS = [k.strip() for k in _PLAN_KEYS.split(",")]
 
 
 def _known(fx):
-    return fx.cursor.where(F.col("event_type").isin("click", "view")).select(*PLAN_KEYS).distinct()
+    return fx.plan.where(F.col("event_type").isin("click", "view")).select(*PLAN_KEYS).distinct()
 
 
 def _wanted(fx):
-    return fx.cursor.where(F.col("event_type").isin("view", "error")).select(*PLAN_KEYS).distinct()
+    return fx.plan.where(F.col("event_type").isin("view", "error")).select(*PLAN_KEYS).distinct()
 
 
 @query("j_15_uncached_plans", f"select * from ({_WANTED}) w except select * from ({_KNOWN}) k")

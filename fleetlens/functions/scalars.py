@@ -177,6 +177,11 @@ def ratio_percent(part: Column, whole: Column) -> Column:
     return part.cast("double") * 100.0 / F.nullif(whole.cast("double"), F.lit(0.0))
 
 
+def round_half_up(c: Column, digits: int) -> Column:
+    """Round the decimal reading of a double, so that 0.0145 held as 0.01449… becomes 0.015."""
+    return F.round(c.cast("decimal(38,12)"), digits).cast("double")
+
+
 def labels_json(labels: Column) -> Column:
     """Label map as a JSON object with its keys in order."""
     return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(labels))))

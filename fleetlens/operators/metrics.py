@@ -90,9 +90,9 @@ def constant_labels(databases: DataFrame, label_name: str = "database") -> DataF
     ).scalar()
     own = F.coalesce("labels", F.create_map().cast(T.MapType(T.StringType(), T.StringType())))
     named = F.create_map(F.lit(label_name), F.col("source_database"))
-    everywhere = F.array_distinct(F.concat(names, F.array(F.lit(label_name))))
+    everywhere = F.array_distinct(F.concat("_names", F.array(F.lit(label_name))))
     value = lambda n: F.struct(n.alias("key"), F.coalesce(own[n], named[n], F.lit("")).alias("value"))
-    return databases.select(
+    return databases.withColumn("_names", names).select(
         "source_database", F.map_from_entries(F.transform(everywhere, value)).alias("const_labels")
     )
 

@@ -33,7 +33,7 @@ def collector_health(latest: DataFrame, as_of: Column) -> DataFrame:
     age = S.age_seconds(as_of, F.col("collected_at"))
     return latest.select(
         "source_database", "collector", "success", F.col("collected_at").alias("last_collection"),
-        age.alias("data_age_seconds"), F.round("duration_seconds", 3).alias("duration_seconds"),
+        age.alias("data_age_seconds"), S.round_half_up(F.col("duration_seconds"), 3).alias("duration_seconds"),
         *[c for c in ("sample_count", "error_message") if c in latest.columns],
     ).orderBy("success", F.col("data_age_seconds").desc(), "source_database", "collector")
 
@@ -72,7 +72,7 @@ def capacity_risks(tablespaces: DataFrame, limits: DataFrame, diskgroups: DataFr
     ])
     worst = (F.col("used_percent") / F.col("alert_threshold")).desc()
     return risks.orderBy(worst, "source_database", "category", "object_name").select(
-        "source_database", "category", "object_name", "inst_id", F.round("used_percent", 2).alias("used_percent"),
+        "source_database", "category", "object_name", "inst_id", S.round_half_up(F.col("used_percent"), 2).alias("used_percent"),
         "alert_threshold",
         F.when(F.col("used_percent") > F.col("alert_threshold"), "ALERT THRESHOLD").otherwise("WATCH").alias("state"),
     )
@@ -105,12 +105,12 @@ def cpu_pga_pressure(instances: DataFrame, counter_rates: DataFrame, latest_stat
         return F.col(a) / F.nullif(F.col(b), F.lit(0.0))
 
     def pct(a, b):
-        return F.round(F.col(a) * 100.0 / F.nullif(F.col(b), F.lit(0.0)), 1)
+        return S.round_half_up(F.col(a) * 100.0 / F.nullif(F.col(b), F.lit(0.0)), 1)
 
     pressure = F.greatest(F.coalesce(ratio("_cores", "cpu_capacity"), F.lit(0.0)),
                           F.coalesce(ratio("pga_allocated_bytes", "pga_limit_bytes"), F.lit(0.0)))
     return capacity.join(cpu, "source_database", "left").orderBy(pressure.desc(), "source_database").select(
-        "source_database", F.round("_cores", 2).alias("db_cpu_cores"), "cpu_capacity",
+        "source_database", S.round_half_up(F.col("_cores"), 2).alias("db_cpu_cores"), "cpu_capacity",
         pct("_cores", "cpu_capacity").alias("cpu_used_percent"),
         "pga_allocated_bytes", "pga_peak_bytes", "pga_limit_bytes",
         pct("pga_allocated_bytes", "pga_limit_bytes").alias("pga_current_percent"),

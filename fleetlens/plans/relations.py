@@ -13,6 +13,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fleetlens.operators.samples import cursor_context
+
 
 @dataclass(frozen=True)
 class Relation:
@@ -49,7 +51,7 @@ RELATIONS: dict[str, Relation] = {
     "R-11": Relation("blocking_session_samples", "sql_texts", (), False,
                      {"waiter": _same("sql_id"), "blocker": (("blocking_sql_id", "sql_id"),)}),
     "R-12": Relation("database_activity_samples", "sql_texts", (), False,
-                     {"own": _same("sql_id"), "top_level": (("top_level_sql_id", "sql_id"),)}),
+                     {"own": _same("sql_id"), "top": (("top_level_sql_id", "sql_id"),)}),
     "R-13": Relation("database_activity_samples", "session_samples",
                      (("inst_id", "inst_id"), ("session_id", "sid"), ("session_serial_number", "serial_number")),
                      True),
@@ -72,9 +74,12 @@ def relate(left: DataFrame, right: DataFrame, rel_id: str, how: str = "left",
     """Join two stored tables along a documented relation.
 
     Columns of the right side get the prefix ``r_`` (``<variant>_`` where a relation has
-    several keys into one dictionary).  ``at=None`` drops the snapshot-time match.
+    several keys into one dictionary).  ``at=None`` drops the snapshot-time match.  Cursor
+    metadata is reduced to one row per plan before SQL samples meet it.
     """
     rel = RELATIONS[rel_id]
+    if rel_id == "R-7":
+        right = cursor_context(right)
     joined = left
     for name, keys in (rel.variants or {"r": rel.keys}).items():
         pairs = [("source_database", "source_database"), *keys]
