@@ -57,16 +57,19 @@ def mask_dsn(c: Column) -> Column:
 
 
 def parse_float(c: Column) -> Column:
-    """Float text to double; anything that is not a float in range gives NULL.
+    """Float text to double; anything that is not a float in range gives NULL."""
+    s = trim_space(c)
+    return checked_float(s, s.try_cast("double"))
+
 
-    The cast alone also takes a ``d`` or ``f`` suffix, a signed NaN, and a number out of
-    range as infinite; those are no floats here.
+def checked_float(s: Column, number: Column) -> Column:
+    """``number``, the cast of the trimmed text ``s``, unless the text is no float.
+
+    The cast also takes a ``d`` or ``f`` suffix, a signed NaN, and a number out of
+    range as infinite.
     """
-    s = trim_space(c)
-    number = s.try_cast("double")
-    infinite = F.abs(number) == F.lit(float("inf"))
     return (
-        F.when(infinite, F.when(F.lower(s).contains("n"), number))
+        F.when(F.abs(number) == F.lit(float("inf")), F.when(F.lower(s).contains("n"), number))
         .when(F.isnan(number), F.when(F.lower(s) == "nan", number))
         .when(~F.lower(F.right(s, F.lit(1))).isin("d", "f"), number)
     )

@@ -10,8 +10,8 @@ from pyspark.sql import types as T
 
 from fleetlens.functions import scalars as S
 
-SAMPLE_COLUMNS = ["collected_at", "source_database", "context", "metric_name", "metric_help", "metric_type",
-                  "value", "labels"]
+_SAMPLE_TYPES = {"collected_at": "timestamp", "source_database": "string", "context": "string", "metric_name": "string",
+                 "metric_help": "string", "metric_type": "string", "value": "double", "labels": "map<string,string>"}
 
 
 @dataclass(frozen=True)
@@ -110,36 +110,44 @@ def melt_metrics(rows: DataFrame, definition: MetricDefinition, const_labels: Da
     and a declared label the result lacks is empty.
     """
     d = definition.normalised()
-    if const_labels is not None:
-        rows = rows.join(const_labels, "source_database", "left")
-    else:
-        rows = rows.withColumn("const_labels", F.create_map().cast(T.MapType(T.StringType(), T.StringType())))
     declared = F.array(*[F.lit(n) for n in d.label_names]).cast("array<string>")
-    rows = rows.where(~duplicate_labels(F.map_keys("const_labels"), declared))
+    if const_labels is not None:
+        # The clash of label names is decided once per database, not per row.
+        per_database = const_labels.withColumn("_clash", duplicate_labels(F.map_keys("const_labels"), declared))
+        rows = rows.join(per_database, "source_database", "left").where(~F.coalesce("_clash", F.lit(False)))
 
     def text(name: str) -> Column:
         return F.col(name) if name in rows.columns else F.lit("")
 
-    own = [x for n in d.label_names for x in (F.lit(n), text(n))]
-    labels = F.col("const_labels")
-    if own:
-        labels = F.map_concat(labels, F.create_map(*own))
+    labels = F.create_map(*[x for n in d.label_names for x in (F.lit(n), text(n))]).cast(
+        T.MapType(T.StringType(), T.StringType()))
+    if const_labels is not None:
+        labels = F.when(F.col("const_labels").isNull(), labels).otherwise(F.map_concat("const_labels", labels))
     present = [m for m in d.metrics_desc if m in rows.columns]
     if not present:
-        present_samples = F.array().cast("array<struct<metric:string,help:string,type:string,text:string>>")
-    else:
-        present_samples = F.array(*[
-            F.struct(
-                F.lit(m).alias("metric"), F.lit(d.metrics_desc[m]).alias("help"),
-                F.lit(d.metrics_type.get(m, "").lower() or "gauge").alias("type"), F.col(m).alias("text"),
-            ) for m in present
-        ])
-    name = S.clean_name(text(d.field_to_append)) if d.field_to_append else F.col("_m.metric")
-    samples = rows.withColumns({"_labels": labels, "_m": F.explode(present_samples)})
+        return rows.select(*[F.lit(None).cast(t).alias(n) for n, t in _SAMPLE_TYPES.items()]).limit(0)
+    melted = [
+        c for i, m in enumerate(present)
+        for c in (F.lit(m), F.lit(d.metrics_desc[m]), F.lit(d.metrics_type.get(m, "").lower() or "gauge"),
+                  F.col(f"_value_{i}"))
+    ]
+    # Values are parsed step by step below the generator, so that each cast is done once.
+    rows = rows.withColumns({f"_text_{i}": S.trim_space(F.col(m)) for i, m in enumerate(present)})
+    rows = rows.withColumns({f"_number_{i}": F.col(f"_text_{i}").try_cast("double") for i in range(len(present))})
+    rows = rows.withColumns({
+        f"_value_{i}": F.when(F.col(m) == S.NIL, F.lit(0.0)).otherwise(
+            S.checked_float(F.col(f"_text_{i}"), F.col(f"_number_{i}")))
+        for i, m in enumerate(present)
+    })
+    name = S.clean_name(text(d.field_to_append)) if d.field_to_append else F.lit(None)
+    samples = rows.select(
+        "collected_at", "source_database", name.alias("_name"), labels.alias("labels"),
+        F.stack(F.lit(len(present)), *melted).alias("_metric", "metric_help", "metric_type", "value"),
+    )
     return samples.select(
-        "collected_at", "source_database", F.lit(d.context).alias("context"), name.alias("metric_name"),
-        F.col("_m.help").alias("metric_help"), F.col("_m.type").alias("metric_type"),
-        S.parse_metric_value(F.col("_m.text")).alias("value"), F.col("_labels").alias("labels"),
+        "collected_at", "source_database", F.lit(d.context).alias("context"),
+        (F.col("_name") if d.field_to_append else F.col("_metric")).alias("metric_name"), "metric_help", "metric_type",
+        "value", "labels",
     ).where(F.col("value").isNotNull())
 
 
