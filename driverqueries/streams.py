@@ -63,6 +63,17 @@ def activity_ingest_bounded(fx):
 select source_database, inst_id, con_id, stat_name, seq, collected_at, cumulative_value, delta_value, interval_seconds, counter_reset
 from ({series._DELTA}) d""")
 def counter_delta(fx):
+    root = scratch_dir(fx.spark, "counter-store")
+    _wait(jobs.stream_counter_store(_adapted(fx, "counter"), root, f"{root}/_checkpoint"))
+    return sinks.read_table(fx.spark, root, "system_counter_samples").select(
+        "source_database", "inst_id", "con_id", "stat_name", "seq", "collected_at", "cumulative_value", "delta_value",
+        "interval_seconds", "counter_reset")
+
+
+@query("st_2_counter_delta_keyed", f"""
+select source_database, inst_id, con_id, stat_name, seq, collected_at, cumulative_value, delta_value, interval_seconds, counter_reset
+from ({series._DELTA}) d""")
+def counter_delta_keyed(fx):
     return _stored_files(fx, jobs.stream_counter_delta(_adapted(fx, "counter")), "counter-delta")
 
 
@@ -100,6 +111,14 @@ def daily_ingest(fx):
 
 @query("st_6_thin_stream", series._thin_sql("{fx_counter}", ["source_database"], ">="))
 def thin_stream(fx):
+    root = scratch_dir(fx.spark, "thin-store")
+    _wait(jobs.stream_thin_store(_adapted(fx, "counter"), root, f"{root}/_checkpoint", ["source_database"],
+                                 "collected_at", 3 * 3600))
+    return sinks.read_table(fx.spark, root, "kept_ticks").select("source_database", "collected_at")
+
+
+@query("st_6_thin_stream_keyed", series._thin_sql("{fx_counter}", ["source_database"], ">="))
+def thin_stream_keyed(fx):
     return _stored_files(fx, jobs.stream_thin(_adapted(fx, "counter"), ["source_database"], "collected_at", 3 * 3600), "thin")
 
 

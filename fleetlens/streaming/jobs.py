@@ -18,6 +18,7 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 
 from fleetlens import schemas
 from fleetlens.operators import accounting, deltas, merges, samples
+from fleetlens.operators.timeline import newest_per_key, thin
 from fleetlens.sources import sinks
 
 
@@ -126,6 +127,43 @@ def stream_consumers(stream: DataFrame, root: str, checkpoint: str, keys=deltas.
     return per_batch(stream, checkpoint, step, **trigger)
 
 
+def stream_counter_store(stream: DataFrame, root: str, checkpoint: str, keys=deltas.SERIES_KEYS,
+                         ts: str = "collected_at", value: str = "cumulative_value", seq: str = "seq",
+                         table: str = "system_counter_samples", **trigger) -> StreamingQuery:
+    """Counter delta with reset across micro-batches, balanced for any series size.
+
+    State is the last reading of every series; it joins the next batch as its baseline.
+    A reading older than that one has no baseline any more and gets no delta.
+    """
+    def step(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        needed = batch.select(*keys, ts, seq, value)
+        stored = sinks.read_state(spark, root, f"{table}_last", needed.schema, before=batch_id)
+        rows = stored.withColumn("_stored", F.lit(True)).unionByName(needed.withColumn("_stored", F.lit(False)))
+        made = deltas.counter_delta(rows, keys, ts, value, seq).where(~F.col("_stored")).drop("_stored")
+        sinks.commit_batch(spark, root, batch_id, {table: made})
+        last = newest_per_key(rows.drop("_stored"), keys, [ts, seq])
+        sinks.write_state(spark, root, f"{table}_last", last, batch_id)
+
+    return per_batch(stream, checkpoint, step, **trigger)
+
+
+def stream_thin_store(stream: DataFrame, root: str, checkpoint: str, keys: Sequence[str], ts: str, interval: float,
+                      strict: bool = False, table: str = "kept_ticks", **trigger) -> StreamingQuery:
+    """Minimum-spacing thinning across micro-batches; the last kept tick of a key starts the next batch."""
+    def step(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        ticks = batch.select(*keys, ts)
+        stored = sinks.read_state(spark, root, f"{table}_last", ticks.schema, before=batch_id)
+        marks = stored.withColumnRenamed(ts, "_last")
+        fresh = ticks.join(marks, list(keys), "left").where(F.col("_last").isNull() | (F.col(ts) > F.col("_last")))
+        kept = thin(stored.unionByName(fresh.select(*keys, ts)), keys, ts, interval, strict)
+        sinks.commit_batch(spark, root, batch_id, {table: kept.join(stored, [*keys, ts], "left_anti")})
+        sinks.write_state(spark, root, f"{table}_last", newest_per_key(kept, keys, [ts]), batch_id)
+
+    return per_batch(stream, checkpoint, step, **trigger)
+
+
 def stream_plan_cache(candidates: DataFrame, plan_lines: DataFrame, root: str, checkpoint: str,
                       **trigger) -> StreamingQuery:
     """Plan cache: every batch of candidates fetches the unknown plans and remembers them."""
@@ -145,6 +183,10 @@ def stream_plan_cache(candidates: DataFrame, plan_lines: DataFrame, root: str, c
 
 
 # --- keyed folds -----------------------------------------------------------------
+#
+# One key's rows of one micro-batch are folded by one task.  These forms suit feeds of
+# many small series and low latency; where one series may hold a large share of a
+# batch, use the ``*_store`` forms above.
 
 def keyed_fold(stream: DataFrame, keys: Sequence[str], order: Sequence[str], columns: Sequence[str],
                out: str, state: str, start: tuple, step, timeout_ms: int | None = None) -> DataFrame:

@@ -51,6 +51,26 @@ def test_counter_delta_over_batches(spark, at, tmp_path):
     same(files(spark, tmp_path, jobs.stream_counter_delta(stream)), deltas.counter_delta(df))
 
 
+def test_counter_store_over_batches(spark, at, tmp_path):
+    df = counters(spark, at)
+    stream = land(spark, tmp_path, df, [70, 71, 180], "seq")
+    root = str(tmp_path / "store")
+    jobs.stream_counter_store(stream, root, str(tmp_path / "cp")).awaitTermination()
+    same(sinks.read_table(spark, root, "system_counter_samples").drop("batch_id", "day"), deltas.counter_delta(df))
+
+
+def test_thin_store_over_batches(spark, at, tmp_path):
+    df = counters(spark, at)
+    for strict in (False, True):
+        (tmp_path / str(strict)).mkdir()
+        stream = land(spark, tmp_path / str(strict), df, [33, 150], "seq")
+        root = str(tmp_path / str(strict) / "store")
+        jobs.stream_thin_store(stream, root, str(tmp_path / str(strict) / "cp"), ["source_database"], "collected_at", 7,
+                               strict).awaitTermination()
+        same(sinks.read_table(spark, root, "kept_ticks").drop("batch_id"),
+             timeline.thin(df, ["source_database"], "collected_at", 7, strict))
+
+
 def test_thinning_over_batches(spark, at, tmp_path):
     df = counters(spark, at)
     stream = land(spark, tmp_path, df, [33, 150], "seq")
