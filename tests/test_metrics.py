@@ -134,3 +134,31 @@ def test_integers(spark):
 
     row = integers(spark).agg(F.count("*"), F.min("value"), F.max("value"), F.count_if(F.col("key") == F.col("value"))).first()
     assert tuple(row) == (1001, 0, 1000, 1001)
+
+
+def test_shipped_sample_metrics_run(spark, at):
+    import os
+
+    from fleetlens.schemas import RAW
+
+    path = os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "examples", "sample_metrics.toml")
+    loaded = definitions.load_definitions([path])
+    rows = {
+        "sql": [("db", at(300), 1, f"s{i}", i, 1, None, None, None, 10 * (i + 1), at(100), i) for i in range(20)],
+        "segments": [("db", at(0), f"t{i % 3}", "TABLE", i, i) for i in range(9)],
+        "queues": [("db", at(0), 1, q, f"q{q}", q) for q in range(3)],
+        "subscriber_stat": [("db", at(0), 1, q, s, 10, 4, 1, 2, 0) for q in range(3) for s in range(2)],
+        "instance": [("db", at(0), 3, "i", "OPEN", "ACTIVE", at(0), 0)],
+    }
+    for view, schema in RAW.items():
+        spark.createDataFrame(rows.get(view, []), schema).createOrReplaceTempView(f"raw_{view}")
+    databases = spark.createDataFrame([("db",)], "source_database string")
+    values = {}
+    for d in loaded.values():
+        for r in metrics.run_metric(spark, d, databases, F.lit(at(0)).cast("timestamp")).collect():
+            values.setdefault(r.metric_name, []).append(r.value)
+    assert (values["p95_time_usecs"], values["p99_time_usecs"]) == ([190.0], [200.0])
+    assert (values["p95_rows"], values["total_queues"], values["total_subscribers"]) == ([19.0], [3.0], [2.0])
+    assert (sorted(values["table_bytes"]), values["curr_inst_id"], values["inst_id"]) == ([9.0, 12.0, 15.0], [3.0], [1.0])
+    assert (values["remained_msgs"], sum(values["value"]), values["data"]) == ([6.0] * 6, 500500.0, [123.45])
+    assert "cluster_bytes" not in values
