@@ -304,6 +304,38 @@ def activity_timeout(fx):
     return _values(fx, "A-9", _runtime_tables(fx), noon, "source_database")
 
 
+@query("t_4_latest_runtime_row", """
+select observed_at, configured_query_timeout_seconds from {fx_runtime}
+where scheduler = 'click' and observed_at >= timestamp '2024-01-30 12:00:00' - interval '3 minutes' order by observed_at desc limit 1""")
+def latest_runtime_row(fx):
+    recent = fx.runtime.where("scheduler = 'click' and observed_at >= timestamp '2024-01-30 12:00:00' - interval 3 minutes")
+    return recent.orderBy(F.col("observed_at").desc()).limit(1).select("observed_at", "configured_query_timeout_seconds")
+
+
+@query("j_19_status_with_runtime_row", """
+with r as (
+  select configured_interval_seconds as every from {fx_latest_runtime} where scheduler = 'error' order by observed_at desc limit 1
+)
+select source_database, collector, duration_seconds * 100.0 / nullif(every, 0) as share from {fx_latest_status} cross join r""")
+def status_with_runtime_row(fx):
+    # One runtime row at most: a scalar subquery instead of a cross join.
+    newest = fx.latest_runtime.where("scheduler = 'error'").agg(
+        F.max_by(F.struct("configured_interval_seconds"), "observed_at")).scalar()
+    rows = fx.latest_status.withColumn("_r", newest).where(F.col("_r").isNotNull())
+    share = S.ratio_percent(F.col("duration_seconds"), F.col("_r.configured_interval_seconds"))
+    return rows.select("source_database", "collector", share.alias("share"))
+
+
+@query("j_21_status_at_last_attempt", f"""
+select d.source_database, d.collected_at, d.inst_id, d.dbid from {{fx_database}} d join ({_STATE_STATUS}) st
+  on st.source_database = d.source_database and st.collected_at = d.collected_at""")
+def status_at_last_attempt(fx):
+    latest = fx.instance.groupBy("source_database").agg(F.max("collected_at").alias("collected_at")).withColumn(
+        "collector", F.lit("operational.database_status"))
+    return views.latest_snapshot(fx.database, latest, "operational.database_status").select(
+        "source_database", "collected_at", "inst_id", "dbid")
+
+
 def _share(duration):
     return f"""
 select ha_scope, case when scheduler = 'click' then 'activity' else scheduler end as scheduler,

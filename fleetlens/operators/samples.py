@@ -560,12 +560,14 @@ def percentiles(df: DataFrame, by: Sequence[str], column: str, ps: dict[str, flo
     rank = Window.partitionBy(*by, "_name").orderBy(F.col("_v").asc_nulls_first()).rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
-    found = (
-        collapsed.withColumn("_rank", F.sum("_count").over(rank))
-        .where((F.col("_rank") >= F.col("_target")))
-        .groupBy(*by).agg(*[F.min(F.when(F.col("_name") == n, F.col("_v"))).alias(n) for n in names])
-    )
-    return found
+    reached = F.when(
+        (F.col("_rank") >= F.col("_target")), F.struct(F.col("_v").isNotNull().alias("inside"), F.col("_v").alias("v")))
+    found = collapsed.withColumn("_rank", F.sum("_count").over(rank)).groupBy(*by).agg(
+        *[F.min(F.when(F.col("_name") == n, reached)).alias(n) for n in names])
+    # The sketch keeps its error bound, so the percentile lies inside; a miss must not pass unseen.
+    missed = F.raise_error(F.lit("percentile outside its bracket")).cast(df.schema[column].dataType)
+    return found.select(*by, *[
+        F.when(F.coalesce(F.col(f"{n}.inside"), F.lit(False)), F.col(f"{n}.v")).otherwise(missed).alias(n) for n in names])
 
 
 def ordinal_percentiles(df: DataFrame, by: Sequence[str], ps: dict[str, float]) -> DataFrame:
