@@ -35,12 +35,14 @@ def test_previous_values_equal_a_plain_lag_on_a_hot_series(spark):
     rows = [(rng.choice(["hot", "hot", "cold", None]), start + timedelta(seconds=rng.randrange(0, 40_000, 7)), i, i * 3)
             for i in range(3000)]
     df = spark.createDataFrame(rows, "k string, t timestamp, seq long, v long")
-    got = {r.seq: (r.prev_t, r.prev_v) for r in timeline.previous_values(df, ["k"], "t", ["t", "v"], "seq", 600).collect()}
     last, expected = {}, {}
     for k, t, seq, v in sorted(rows, key=lambda r: (r[1], r[2])):
         expected[seq] = last.get(k, (None, None))
         last[k] = (t, v)
-    assert got == expected
+    # All series in slots, only the large one, none.
+    for large in (0, 1200, None):
+        rows_ = timeline.previous_values(df, ["k"], "t", ["t", "v"], "seq", 600, large).collect()
+        assert {r.seq: (r.prev_t, r.prev_v) for r in rows_} == expected, large
 
 
 def test_running_total_and_last_known_cross_slots(spark):
@@ -49,8 +51,8 @@ def test_running_total_and_last_known_cross_slots(spark):
     rows = [(start + timedelta(seconds=rng.randrange(20_000)), i, rng.randrange(5), rng.choice([None, None, f"x{i}"]))
             for i in range(800)]
     df = spark.createDataFrame(rows, "t timestamp, seq long, n long, x string").withColumn("k", F.lit("one"))
-    totals = timeline.running_total(df, ["k"], "t", F.col("n"), "total", "seq", 300)
-    known = timeline.last_known(totals, ["k"], "t", F.col("x"), "before", "seq", 300)
+    totals = timeline.running_total(df, ["k"], "t", F.col("n"), "total", "seq", 300, 0)
+    known = timeline.last_known(totals, ["k"], "t", F.col("x"), "before", "seq", 300, 0)
     got = {r.seq: (r.total, r.before) for r in known.collect()}
     total, before = 0, None
     for _, seq, n, x in sorted(rows, key=lambda r: (r[0], r[1])):
