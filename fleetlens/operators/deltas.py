@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from fleetlens.functions import scalars as S
 from fleetlens.operators.timeline import (
-    HOUR, last_known, newest_per_key, previous_values, running_total, since_reset,
+    HOUR, newest_per_key, previous_values, running_total, since_reset,
 )
 
 # --- fixed values ---------------------------------------------------------
@@ -148,18 +148,13 @@ def connection_states(events: DataFrame, seq: str = "seq", slot_seconds: float =
     ``events``: source_database, event_at, seq, kind, message, duration_seconds, where kind is
     ``failure``, ``probe_start``, ``probe_failed``, ``probe_ok`` or ``activate``.
 
-    A probe starts only from quarantine.  The state before an event follows from the
-    last event that is not a probe start and from whether probe starts came in
-    between, so the fold is two look-backs and one aggregation.
+    A probe starts only from quarantine, and a database is in quarantine exactly when the
+    event before was a failure; so the fold is one look-back and one aggregation.
     """
     broken = F.col("kind").isin("failure", "probe_failed")
     healthy = F.col("kind").isin("probe_ok", "activate")
-    rows = last_known(events, ["source_database"], "event_at",
-                      F.when(F.col("kind") != "probe_start", F.col("kind")), "_outcome", seq, slot_seconds)
-    rows = previous_values(rows, ["source_database"], "event_at", ["kind"], seq, slot_seconds)
-    quarantined = F.coalesce(
-        F.col("_outcome").isin("failure", "probe_failed") & (F.col("prev_kind") != "probe_start"), F.lit(False)
-    )
+    rows = previous_values(events, ["source_database"], "event_at", ["kind"], seq, slot_seconds)
+    quarantined = F.coalesce(F.col("prev_kind").isin("failure", "probe_failed"), F.lit(False))
     rows = rows.withColumn("_counts", (F.col("kind") != "probe_start") | quarantined)
     at = F.struct("event_at", seq)
     probe = (F.col("kind") == "probe_start") & F.col("_counts")

@@ -122,33 +122,6 @@ def running_total(df: DataFrame, keys: Sequence[str], ts: str, increment: Column
     return both.withColumn(name, F.sum("_inc").over(inside)).where(~F.col(CARRY)).select(*df.columns, name)
 
 
-def last_known(df: DataFrame, keys: Sequence[str], ts: str, value: Column, name: str,
-               seq: str | None = None, slot_seconds: float = HOUR, large_rows: int | None = None) -> DataFrame:
-    """Add ``name``: the latest non-null ``value`` of the series strictly before the row."""
-    order = [ts] + ([seq] if seq else [])
-    slotted, large = with_slots(df.withColumn("_value", value), keys, ts, slot_seconds, large_rows)
-    tails = large.groupBy(*keys, SLOT).agg(
-        F.max_by("_value", F.when(F.col("_value").isNotNull(), F.struct(*order))).alias("_value")
-    )
-    before = Window.partitionBy(*keys).orderBy(SLOT).rowsBetween(Window.unboundedPreceding, -1)
-    carried = (
-        tails.withColumn("_value", F.last("_value", ignorenulls=True).over(before))
-        .where(F.col("_value").isNotNull())
-        .withColumn(CARRY, F.lit(True))
-    )
-    both = slotted.withColumn(CARRY, F.lit(False)).unionByName(carried, allowMissingColumns=True)
-    inside = (
-        Window.partitionBy(*keys, SLOT)
-        .orderBy(F.col(CARRY).desc(), *order)
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    return (
-        both.withColumn(name, F.last("_value", ignorenulls=True).over(inside))
-        .where(~F.col(CARRY))
-        .select(*df.columns, name)
-    )
-
-
 def since_reset(df: DataFrame, keys: Sequence[str], ts: str, reset: Column,
                 seq: str | None = None) -> DataFrame:
     """Rows of every series that come after its last ``reset`` row (all rows if it has none)."""

@@ -45,20 +45,16 @@ def test_previous_values_equal_a_plain_lag_on_a_hot_series(spark):
         assert {r.seq: (r.prev_t, r.prev_v) for r in rows_} == expected, large
 
 
-def test_running_total_and_last_known_cross_slots(spark):
+def test_running_total_crosses_slots(spark):
     rng = random.Random(3)
     start = datetime(2024, 1, 1)
-    rows = [(start + timedelta(seconds=rng.randrange(20_000)), i, rng.randrange(5), rng.choice([None, None, f"x{i}"]))
-            for i in range(800)]
-    df = spark.createDataFrame(rows, "t timestamp, seq long, n long, x string").withColumn("k", F.lit("one"))
-    totals = timeline.running_total(df, ["k"], "t", F.col("n"), "total", "seq", 300, 0)
-    known = timeline.last_known(totals, ["k"], "t", F.col("x"), "before", "seq", 300, 0)
-    got = {r.seq: (r.total, r.before) for r in known.collect()}
-    total, before = 0, None
-    for _, seq, n, x in sorted(rows, key=lambda r: (r[0], r[1])):
+    rows = [(start + timedelta(seconds=rng.randrange(20_000)), i, rng.randrange(5)) for i in range(800)]
+    df = spark.createDataFrame(rows, "t timestamp, seq long, n long").withColumn("k", F.lit("one"))
+    got = {r.seq: r.total for r in timeline.running_total(df, ["k"], "t", F.col("n"), "total", "seq", 300, 0).collect()}
+    total = 0
+    for _, seq, n in sorted(rows, key=lambda r: (r[0], r[1])):
         total += n
-        assert got[seq] == (total, before)
-        before = x if x is not None else before
+        assert got[seq] == total
 
 
 SQL = "source_database string, inst_id long, sql_id string, plan_hash_value long, collected_at timestamp, elapsed_time_micro long, cpu_time_micro long, user_io_wait_micro long"
