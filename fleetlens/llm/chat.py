@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: how the public byte-level vocabulary splits text before merging.
-PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 MARKS = ("<|im_start|>", "<|im_sep|>", "<|im_end|>")
 LEARNED_ROLE = "assistant"
 #: A chunk is closed at the first turn that fills it to so many tokens.
