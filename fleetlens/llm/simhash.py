@@ -179,7 +179,7 @@ def cut(prints: DataFrame, cap: int) -> list[tuple[int, int]]:
         width = min(STRIDE, BITS - depth)
         under = prints.where(F.shiftrightunsigned("fp", BITS - depth).isin(heavy)) if depth else prints
         key = F.shiftrightunsigned("fp", BITS - depth - width)
-        counts = {r[0]: r[1] for r in under.groupBy(key.alias("k")).count().collect()}
+        counts = {r[0] & (1 << BITS) - 1: r[1] for r in under.groupBy(key.alias("k")).count().collect()}
         level, counts_at = depth + width, {(k, depth + width): c for k, c in counts.items()}
         for d in range(level - 1, depth - 1, -1):
             for (k, at), c in list(counts_at.items()):
