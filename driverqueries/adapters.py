@@ -32,6 +32,18 @@ ADAPTERS: dict[str, str] = {
 select event_id as seq, cast(ts as timestamp) as collected_at, concat('db', cast(user_id % 4 as string)) as source_database,
   user_id % 2 + 1 as inst_id, cast(0 as bigint) as con_id, event_type as stat_name,
   (event_id * 37) % 1009 as cumulative_value
+from {events}""",
+    # A third of the readings has no arrival number, a few have no time.
+    "fx_counter_null_seq": """
+select case when event_id % 3 <> 0 or event_id % 50 = 1 then event_id end as seq, case when event_id % 50 <> 1 then cast(ts as timestamp) end as collected_at,
+  concat('db', cast(user_id % 4 as string)) as source_database, cast(1 as bigint) as inst_id, cast(0 as bigint) as con_id,
+  'user calls' as stat_name, (event_id * 37) % 1009 as cumulative_value
+from {events}""",
+    # Two of three readings belong to one series.
+    "fx_counter_hot": """
+select event_id as seq, cast(ts as timestamp) as collected_at,
+  case when event_id % 3 < 2 then 'db0' else concat('db', cast(user_id % 50 as string)) end as source_database,
+  cast(1 as bigint) as inst_id, cast(0 as bigint) as con_id, 'user calls' as stat_name, (event_id * 37) % 1009 as cumulative_value
 from {events}""",
     "fx_sqlstats": """
 select date_trunc('hour', cast(ts as timestamp)) as collected_at, concat('db', cast(user_id % 2 as string)) as source_database,

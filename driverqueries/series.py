@@ -26,6 +26,20 @@ def counter_delta(fx):
     return deltas.counter_delta(fx.counter).select(*DELTA_COLUMNS)
 
 
+# Every second reading has no arrival number; times are whole days, so that ties are decided by it.
+_NULL_SEQ = _DELTA.replace("{fx_counter}", "{fx_counter_null_seq}").replace("order by collected_at, seq)", "order by collected_at nulls first, seq nulls first)")
+
+
+@query("w_2_counter_delta_null_seq", _NULL_SEQ)
+def counter_delta_null_seq(fx):
+    return deltas.counter_delta(fx.counter_null_seq).select(*DELTA_COLUMNS)
+
+
+@query("w_2_counter_delta_hot_series", _DELTA.replace("{fx_counter}", "{fx_counter_hot}"))
+def counter_delta_hot_series(fx):
+    return deltas.counter_delta(fx.counter_hot, slot_seconds=900).select(*DELTA_COLUMNS)
+
+
 _RATES = f"""
 with d as ({_DELTA})
 select *, case when interval_seconds > 0 and not counter_reset then cast(delta_value as double) / interval_seconds end as value_per_second

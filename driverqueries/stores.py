@@ -300,12 +300,10 @@ def retain(fx):
 
 
 @query("snk_15_delete_oldest", """
-select seq, collected_at from (
-  select seq, collected_at, row_number() over (order by collected_at, seq) as rn from {fx_cursor}) r
-where rn > 1500 or collected_at >= timestamp '2024-01-15 00:00:00'""")
+select seq, collected_at from {fx_cursor} where collected_at >= timestamp '2024-01-15 00:00:00'""")
 def delete_oldest(fx):
     cutoff = F.lit("2024-01-15 14:35:12").cast("timestamp")
-    return merges.delete_oldest(fx.cursor, "collected_at", ["seq"], cutoff, 1500).select("seq", "collected_at")
+    return merges.delete_oldest(fx.cursor, "collected_at", ["seq"], cutoff).select("seq", "collected_at")
 
 
 @query("snk_16_batch_commit", """

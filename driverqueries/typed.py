@@ -223,7 +223,7 @@ def sql_text_rows(fx):
 
 
 @query("pf_18_scrape_status", """
-select seq, error_message is null as success, substring(error_message, 1, 2048) as error_message from {fx_status}""")
+select seq, error_message is null as success, error_message from {fx_status}""")
 def scrape_status(fx):
     return samples.scrape_status_rows(fx.status.drop("success")).select("seq", "success", "error_message")
 

@@ -22,8 +22,6 @@ CURSOR_KEYS = ["source_database", "inst_id", "sql_id", "child_number", "plan_has
 PLAN_LINE_KEYS = [*CURSOR_KEYS, "plan_line_id"]
 PLAN_TIMES = ["first_seen_at", "last_seen_at", "last_referenced_at"]
 ACTIVITY_DEFAULTS = {"sample_source": "LEGACY", "sample_duration_micro": 2_000_000}
-# Metadata rows deleted by one retention pass: five rounds of 2,000.
-DELETE_BOUND = 5 * 2000
 # --------------------------------------------------------------------------
 
 
@@ -204,11 +202,12 @@ def retain(df: DataFrame, ts: str, cutoff: Column) -> DataFrame:
 
 
 def delete_oldest(df: DataFrame, ts: str, keys: Sequence[str], cutoff: Column,
-                  limit: int = DELETE_BOUND) -> DataFrame:
-    """Drop at most ``limit`` expired rows, oldest first.  ``keys`` are unique per row."""
-    doomed = (
-        df.where(F.col(ts) < S.day_start_utc(cutoff)).select(ts, *keys).orderBy(ts, *keys).limit(limit)
-    )
+                  limit: int | None = None) -> DataFrame:
+    """Drop the expired rows, or with a ``limit`` the oldest so many of them.  ``keys`` are unique per row."""
+    expired = F.coalesce(F.col(ts) < S.day_start_utc(cutoff), F.lit(False))
+    if limit is None:
+        return df.where(~expired)
+    doomed = df.where(expired).select(ts, *keys).orderBy(ts, *keys).limit(limit)
     return df.join(doomed.select(*keys), list(keys), "left_anti").select(*df.columns)
 
 

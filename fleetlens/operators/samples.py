@@ -629,16 +629,20 @@ def integers(spark, n: int = 1000) -> DataFrame:
 
 # --- statuses and runtime rows ------------------------------------------------
 
-def scrape_status_rows(outcomes: DataFrame, message_length: int = 2048) -> DataFrame:
-    """Status row of a collection: it succeeded when it has no error."""
+def scrape_status_rows(outcomes: DataFrame, message_length: int | None = None) -> DataFrame:
+    """Status row of a collection: it succeeded when it has no error.  Messages are kept whole unless a length is given."""
     return outcomes.withColumns({
         "success": F.col("error_message").isNull(),
-        "error_message": S.cut(F.col("error_message"), message_length),
+        "error_message": _message(message_length),
     })
 
 
+def _message(length: int | None) -> Column:
+    return F.col("error_message") if length is None else S.cut(F.col("error_message"), length)
+
+
 def runtime_rows(cycles: DataFrame, statuses: DataFrame, completion_collector: str,
-                 message_length: int = 2000) -> DataFrame:
+                 message_length: int | None = None) -> DataFrame:
     """Runtime row of a collection cycle.
 
     ``cycles``: cycle_id, scheduled_at, started_at, collection_finished_at, finished_at,
@@ -665,7 +669,7 @@ def runtime_rows(cycles: DataFrame, statuses: DataFrame, completion_collector: s
         "write_duration_seconds": F.greatest(
             zero, S.seconds_between(F.col("finished_at"), F.col("collection_finished_at"))),
         "total_duration_seconds": F.greatest(zero, S.seconds_between(F.col("finished_at"), F.col("started_at"))),
-        "error_message": S.cut(F.col("error_message"), message_length),
+        "error_message": _message(message_length),
     })
 
 

@@ -1,26 +1,21 @@
 """Series helpers that stay balanced when one series holds most of the rows.
 
-A window over the bare series key puts a whole series into one task.  That is fine
-for most series; the large ones are told by a count and cut into fixed time slots.
-Their heavy window runs per (series, slot), and only one summary row per slot crosses
-slot borders.  The summary enters the next slot as a carry row, so nothing has to be
-joined back and NULL keys group as usual.
+A window over the bare series key would put a whole series into one task.  Every series is cut
+into fixed time slots instead: the window runs per (series, slot), and only one summary row per
+slot crosses slot borders.  The summary enters the next slot as a carry row, so nothing has to be
+joined back and NULL keys group as usual.  Rows without a time form a slot of their own before
+all others, as they sort first in a window.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 HOUR = 3600.0
 SLOT, CARRY = "_slot", "_carry"
-# A series is large above this many rows, and above this share of all rows: the list of
-# large series never has more than 20,000 entries and can be broadcast.
-LARGE_ROWS = 1_000_000
-LARGE_SHARE = 20_000
 
 
 def slot_start(ts: Column, slot_seconds: float) -> Column:
@@ -29,26 +24,6 @@ def slot_start(ts: Column, slot_seconds: float) -> Column:
     return micros - F.pmod(micros, F.lit(int(slot_seconds * 1_000_000)))
 
 
-def with_slots(df: DataFrame, keys: Sequence[str], ts: str, slot_seconds: float,
-               large_rows: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """The rows with their slot, NULL in series that are not large; and the large series' rows alone."""
-    slot = slot_start(F.col(ts), slot_seconds)
-    if not keys:
-        slotted = df.withColumn(SLOT, slot)
-        return slotted, slotted
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-    total = counts.agg(F.sum("_rows")).scalar()
-    floor = F.lit(LARGE_ROWS if large_rows is None else large_rows)
-    large = F.broadcast(
-        counts.where((F.col("_rows") > floor) & (F.col("_rows") * LARGE_SHARE > total))
-        .select(*[F.col(k).alias(f"_large_{k}") for k in keys], F.lit(True).alias("_large"))
-    )
-    match = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_large_{k}")) for k in keys])
-    slotted = df.join(large, match, "left").select(*df.columns, F.when(F.col("_large"), slot).alias(SLOT))
-    alone = df.join(large, match).select(*df.columns, slot.alias(SLOT))
-    return slotted, alone
-
-
 def newest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
     """The row with the highest ``order`` of every key, combined before the shuffle."""
     return _pick(df, keys, order, F.max_by)
@@ -67,30 +42,29 @@ def _pick(df, keys, order, chooser) -> DataFrame:
     return chosen.select(*[F.col(c) if c in keys else F.col(f"_row.`{c}`").alias(c) for c in df.columns])
 
 
-def position(ts: str, seq: str | None, slot: str = SLOT) -> Column:
-    """Place of a row within its slot as one fixed-width number, so that finding a slot's
-    last row is a hash aggregate.  Fits any arrival number that is not negative."""
-    offset = F.unix_micros(ts) - F.col(slot)
+def place(ts: str, seq: str | None, slot: str = SLOT) -> Column:
+    """Place of a row within its slot as one number that is never NULL, so that finding a slot's
+    last row is a hash aggregate.  NULL sorts before every time and every arrival number."""
+    offset = F.coalesce(F.unix_micros(ts) - F.col(slot), F.lit(0))
     if seq is None:
         return offset
-    return offset.cast("decimal(18,0)") * F.lit(str(10**19)).cast("decimal(20,0)") + F.col(seq).cast("decimal(19,0)")
+    arrival = F.coalesce(F.col(seq).cast("decimal(20,0)") + F.lit(str(2**63 + 1)).cast("decimal(20,0)"), F.lit(0).cast("decimal(20,0)"))
+    return offset.cast("decimal(17,0)") * F.lit(str(10**20)).cast("decimal(21,0)") + arrival
 
 
 def previous_values(df: DataFrame, keys: Sequence[str], ts: str, values: Sequence[str],
-                    seq: str | None = None, slot_seconds: float = HOUR, large_rows: int | None = None) -> DataFrame:
+                    seq: str | None = None, slot_seconds: float = HOUR) -> DataFrame:
     """Add ``prev_<value>`` columns from the preceding row of the series by (ts, seq)."""
     order = [ts] + ([seq] if seq else [])
     needed = list(dict.fromkeys([ts, *values]))
-    slotted, large = with_slots(df, keys, ts, slot_seconds, large_rows)
-    tails = large.groupBy(*keys, SLOT).agg(*[
-        (F.max(c) if c == ts else F.max_by(c, position(ts, seq))).alias(c) for c in needed
-    ])
+    slotted = df.withColumn(SLOT, slot_start(F.col(ts), slot_seconds))
+    last = place(ts, seq)
+    tails = slotted.groupBy(*keys, SLOT).agg(*[F.max_by(c, last).alias(c) for c in needed])
     # The last row of a slot is repeated as a plain row of the next one, where it sorts first.
     history = Window.partitionBy(*keys).orderBy(SLOT)
     carried = (
-        tails.select(*keys, SLOT, *[F.lag(c).over(history).alias(c) for c in needed])
-        .where(F.col(ts).isNotNull())
-        .withColumn(CARRY, F.lit(True))
+        tails.select(*keys, SLOT, *[F.lag(c).over(history).alias(c) for c in needed], F.lag(F.lit(True)).over(history).alias(CARRY))
+        .where(F.col(CARRY))
     )
     both = slotted.withColumn(CARRY, F.lit(False)).unionByName(carried, allowMissingColumns=True)
     inside = Window.partitionBy(*keys, SLOT).orderBy(*order)
@@ -102,11 +76,11 @@ def previous_values(df: DataFrame, keys: Sequence[str], ts: str, values: Sequenc
 
 
 def running_total(df: DataFrame, keys: Sequence[str], ts: str, increment: Column, name: str,
-                  seq: str | None = None, slot_seconds: float = HOUR, large_rows: int | None = None) -> DataFrame:
+                  seq: str | None = None, slot_seconds: float = HOUR) -> DataFrame:
     """Add ``name``: the sum of ``increment`` over the series up to and including the row."""
     order = [ts] + ([seq] if seq else [])
-    slotted, large = with_slots(df.withColumn("_inc", increment), keys, ts, slot_seconds, large_rows)
-    sums = large.groupBy(*keys, SLOT).agg(F.sum("_inc").alias("_inc"))
+    slotted = df.withColumn("_inc", increment).withColumn(SLOT, slot_start(F.col(ts), slot_seconds))
+    sums = slotted.groupBy(*keys, SLOT).agg(F.sum("_inc").alias("_inc"))
     before = Window.partitionBy(*keys).orderBy(SLOT).rowsBetween(Window.unboundedPreceding, -1)
     carried = (
         sums.withColumn("_inc", F.sum("_inc").over(before))

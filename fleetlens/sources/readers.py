@@ -12,7 +12,6 @@ from fleetlens.operators.samples import recent  # noqa: F401  (part of the sourc
 
 # --- fixed values ---------------------------------------------------------
 LOG_FLOOR = "1900-01-01T01:01:01.001Z"
-LOG_LINE_LIMIT = 1_048_576
 LOG_SCHEMA = T.StructType([
     T.StructField("timestamp", T.StringType()),
     T.StructField("database", T.StringType()),
@@ -86,16 +85,19 @@ def read_log_lines(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def last_log_record(lines: DataFrame, database: str | None = None, position: str = "position") -> DataFrame:
+def last_log_record(lines: DataFrame, database: str | None = None, position: str = "position",
+                    line_limit: int | None = None) -> DataFrame:
     """The last record in file order per database, or of one database.
 
-    ``lines``: value and position.  Blank lines are skipped, a line over 1 MiB or one
-    that is no JSON fails the job.  Without any record of ``database`` the default
+    ``lines``: value and position.  Blank lines are skipped, a line that is
+    no JSON, or with a ``line_limit`` one of more bytes, fails the job.  Without any record of ``database`` the default
     record is returned.
     """
     text = S.trim_space(F.col("value"))
-    too_long = F.raise_error(F.lit(f"log line exceeds {LOG_LINE_LIMIT} bytes")).cast("string")
-    checked = F.when(F.octet_length("value") > LOG_LINE_LIMIT, too_long).otherwise(text)
+    checked = text
+    if line_limit is not None:
+        too_long = F.raise_error(F.lit(f"log line exceeds {line_limit} bytes")).cast("string")
+        checked = F.when(F.octet_length("value") > line_limit, too_long).otherwise(text)
     records = (
         lines.withColumn("_text", checked).where(F.length("_text") > 0)
         .select(F.from_json("_text", LOG_SCHEMA, {"mode": "FAILFAST"}).alias("r"), F.col(position).alias("_at"))

@@ -39,10 +39,23 @@ def test_previous_values_equal_a_plain_lag_on_a_hot_series(spark):
     for k, t, seq, v in sorted(rows, key=lambda r: (r[1], r[2])):
         expected[seq] = last.get(k, (None, None))
         last[k] = (t, v)
-    # All series in slots, only the large one, none.
-    for large in (0, 1200, None):
-        rows_ = timeline.previous_values(df, ["k"], "t", ["t", "v"], "seq", 600, large).collect()
-        assert {r.seq: (r.prev_t, r.prev_v) for r in rows_} == expected, large
+    for slot in (1, 600, 10**7):
+        rows_ = timeline.previous_values(df, ["k"], "t", ["t", "v"], "seq", slot).collect()
+        assert {r.seq: (r.prev_t, r.prev_v) for r in rows_} == expected, slot
+
+
+def test_missing_times_and_arrival_numbers_sort_first(spark):
+    rng = random.Random(6)
+    start = datetime(2024, 1, 1)
+    rows = [("one", start + timedelta(seconds=30 * i), None if i % 2 else i, rng.randrange(100)) for i in range(300)]
+    rows += [("one", start + timedelta(seconds=30 * i), 10_000 + i, rng.randrange(100)) for i in range(0, 300, 7)]
+    rows += [("one", None, -i, rng.randrange(100)) for i in range(1, 4)]
+    df = spark.createDataFrame(rows, "k string, t timestamp, seq long, v long")
+    ordered = sorted(rows, key=lambda r: (r[1] is not None, r[1] or start, r[2] is not None, r[2] or 0))
+    expected = sorted(map(str, [(*r, *((None, None) if b is None else (b[1], b[3]))) for b, r in zip([None, *ordered], ordered)]))
+    for slot in (1, 90, 10**7):
+        got = timeline.previous_values(df, ["k"], "t", ["t", "v"], "seq", slot).collect()
+        assert sorted(str(tuple(r)) for r in got) == expected, slot
 
 
 def test_running_total_crosses_slots(spark):
@@ -50,7 +63,7 @@ def test_running_total_crosses_slots(spark):
     start = datetime(2024, 1, 1)
     rows = [(start + timedelta(seconds=rng.randrange(20_000)), i, rng.randrange(5)) for i in range(800)]
     df = spark.createDataFrame(rows, "t timestamp, seq long, n long").withColumn("k", F.lit("one"))
-    got = {r.seq: r.total for r in timeline.running_total(df, ["k"], "t", F.col("n"), "total", "seq", 300, 0).collect()}
+    got = {r.seq: r.total for r in timeline.running_total(df, ["k"], "t", F.col("n"), "total", "seq", 300).collect()}
     total = 0
     for _, seq, n in sorted(rows, key=lambda r: (r[0], r[1])):
         total += n

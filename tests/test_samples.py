@@ -117,7 +117,9 @@ def test_runtime_rows(spark, at):
                                      "cycle_id long, collector string, success boolean")
     row = samples.runtime_rows(cycles, statuses, "scheduled").first()
     assert (row.missed_intervals, row.databases_attempted, row.databases_succeeded, row.error_count) == (2, 2, 1, 1)
-    assert (row.scheduling_lag_seconds, row.collection_duration_seconds, len(row.error_message)) == (4.5, 0.9, 2000)
+    assert (row.scheduling_lag_seconds, row.collection_duration_seconds, len(row.error_message)) == (4.5, 0.9, 3000)
+    short = samples.runtime_rows(cycles, statuses, "scheduled", message_length=2000).first()
+    assert len(short.error_message) == 2000
 
 
 def test_enriched_sql_lists(spark, at):

@@ -39,8 +39,9 @@ def test_bad_and_long_lines_fail(spark, tmp_path):
     assert len(readers.last_log_record(large, "a").first().message) == 70_000
     (tmp_path / "h").mkdir()
     huge = readers.read_log_lines(spark, write(tmp_path / "h", [line(database="a", message="x" * 1_100_000)]))
+    assert len(readers.last_log_record(huge, "a").first().message) == 1_100_000
     with pytest.raises(Exception, match="exceeds"):
-        readers.last_log_record(huge, "a").collect()
+        readers.last_log_record(huge, "a", line_limit=1 << 20).collect()
 
 
 def test_new_log_rows(spark, at):
