@@ -443,8 +443,7 @@ def slow_queries(fx):
         context="slow_queries", labels=("inst_id",), metrics_desc={"p95": "95th percentile", "p99": "99th percentile"},
         request="""select inst_id, percentile_disc(0.95) within group (order by elapsed_time_micro) as p95,
                    percentile_disc(0.99) within group (order by elapsed_time_micro) as p99 from raw_sql group by inst_id""")
-    one = fx.cursor.select(F.lit("fleet").alias("source_database")).limit(1)
-    melted = metrics.run_metric(fx.spark, definition, one, fx.as_of)
+    melted = metrics.run_metric(fx.spark, definition, "fleet", fx.as_of)
     return melted.groupBy(F.col("labels")["inst_id"].alias("inst_id")).agg(
         *[F.max(F.when(F.col("metric_name") == p, F.col("value"))).cast("long").alias(p) for p in ("p95", "p99")])
 
@@ -459,6 +458,16 @@ def top_segment_metric(fx):
         ignore_zero_result=True,
         request="""select segment_name, sum(bytes) as table_bytes from raw_segments where segment_type = 'TABLE'
                    group by segment_name order by table_bytes desc, segment_name limit 100""")
-    one = fx.segment.select(F.lit("fleet").alias("source_database")).limit(1)
-    return metrics.run_metric(fx.spark, definition, one, fx.as_of).select(
+    return metrics.run_metric(fx.spark, definition, "fleet", fx.as_of).select(
         F.col("labels")["segment_name"].alias("segment_name"), "value")
+
+
+@query("udf_1_per_database", """
+select source_database, cast(inst_id as string) as inst_id, cast(count(distinct sql_id) as double) as value from {fx_cursor} group by 1, 2""")
+def statements_per_database(fx):
+    _registered(fx, raw_sql=fx.cursor)
+    definition = metrics.MetricDefinition(
+        context="statements", labels=("inst_id",), metrics_desc={"statements": "distinct statements"},
+        request="select source_database, inst_id, count(distinct sql_id) as statements from raw_sql group by source_database, inst_id")
+    return metrics.run_metric(fx.spark, definition, as_of=fx.as_of).select(
+        "source_database", F.col("labels")["inst_id"].alias("inst_id"), "value")

@@ -340,6 +340,21 @@ def database_status(fx):
     return samples.database_status(fx.instance, fx.database, fx.product)
 
 
+# Several identities of an instance: the last by arrival counts, not the largest.
+@query("j_4_last_identity_wins", """
+with last as (select concat('db', cast(user_id % 4 as string)) as source_database, date_trunc('day', cast(ts as timestamp)) as collected_at,
+  user_id % 3 + 1 as inst_id, arg_max(event_type, event_id) as db_unique_name from {events} group by 1, 2, 3)
+select i.source_database, i.collected_at, i.inst_id, i.instance_name, l.db_unique_name
+from {fx_instance} i left join last l using (source_database, collected_at, inst_id)""")
+def last_identity(fx):
+    source = fx.events.select(
+        F.concat(F.lit("db"), (F.col("user_id") % 4).cast("string")).alias("source_database"),
+        F.date_trunc("day", F.col("ts").cast("timestamp")).alias("collected_at"), (F.col("user_id") % 3 + 1).alias("inst_id"),
+        F.col("event_type").alias("db_unique_name"), F.col("event_id").alias("seq"))
+    rows = fx.instance.select("source_database", "collected_at", "inst_id", "instance_name")
+    return samples.update_from(rows, source, ["source_database", "collected_at", "inst_id"], ["db_unique_name"], ["seq"])
+
+
 _COUNTS = """
 select source_database, collected_at, inst_id, count(*) filter (where type = 'USER') as user_sessions,
   count(*) filter (where type = 'USER' and status = 'ACTIVE') as active_user_sessions,

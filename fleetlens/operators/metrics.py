@@ -172,11 +172,12 @@ def zero_results(databases: DataFrame, samples: DataFrame, definition: MetricDef
     return databases.select("source_database").distinct().join(seen, "source_database", "left_anti")
 
 
-def run_metric(spark: SparkSession, definition: MetricDefinition, databases: DataFrame | None = None,
+def run_metric(spark: SparkSession, definition: MetricDefinition, database: str | None = None,
                as_of: Column | None = None, const_labels: DataFrame | None = None) -> DataFrame:
     """Run the SQL of a metric over the registered raw views and melt its result.
 
-    A result without source_database belongs to every database the metric is enabled for.
+    A result without source_database belongs to ``database``, or to the only database the
+    metric is enabled for; without either the request must select source_database.
     """
     if not definition.request:
         raise ValueError(f"metric {definition.context} has no request")
@@ -185,8 +186,11 @@ def run_metric(spark: SparkSession, definition: MetricDefinition, databases: Dat
     result = spark.sql(definition.request)
     names = [c.lower() for c in result.columns]
     if "source_database" not in names:
-        targets = databases.agg(F.collect_set("source_database")).scalar()
-        result = result.withColumn("source_database", F.explode(targets))
+        if database is None and len(definition.databases or ()) == 1:
+            database = definition.databases[0]
+        if database is None:
+            raise ValueError(f"metric {definition.context} names no database: select source_database or give one")
+        result = result.withColumn("source_database", F.lit(database))
     if definition.databases is not None:
         result = result.where(F.col("source_database").isin(list(definition.databases)))
     if "collected_at" not in names:

@@ -266,7 +266,8 @@ def update_from(rows: DataFrame, source: DataFrame, keys: Sequence[str], columns
                 order: Sequence[str] = ()) -> DataFrame:
     """Replace ``columns`` of the rows that ``source`` matches; other rows stay as they are.
 
-    The last source row of a key wins; no rows are added.
+    Of several source rows of a key the last by ``order`` wins; without an order a source
+    must have one row per key.  No rows are added.
     """
     last = newest_per_key(source.select(*keys, *columns, *order), keys, order or columns)
     marked = last.select(*keys, F.struct(*columns).alias("_new"))
@@ -301,9 +302,9 @@ def first_product(products: DataFrame) -> DataFrame:
     )
 
 
-def database_identity(databases: DataFrame, products: DataFrame) -> DataFrame:
-    """Identity of every database instance with its product, if one is known."""
-    names = existing(databases, ["dbid", "db_unique_name", "protection_mode", "protection_level"])
+def database_identity(databases: DataFrame, products: DataFrame, order: Sequence[str] = ()) -> DataFrame:
+    """Identity of every database instance with its product, if one is known; ``order`` columns are kept."""
+    names = [*existing(databases, ["dbid", "db_unique_name", "protection_mode", "protection_level"]), *order]
     return databases.select(*SNAPSHOT, "inst_id", *names).join(first_product(products), SNAPSHOT, "left")
 
 
@@ -320,9 +321,10 @@ def instance_status(instances: DataFrame, databases: DataFrame) -> DataFrame:
 
 def database_status(instances: DataFrame, databases: DataFrame, products: DataFrame) -> DataFrame:
     """Status rows enriched with the database identity."""
-    identity = database_identity(databases, products)
-    columns = [c for c in identity.columns if c not in (*SNAPSHOT, "inst_id")]
-    return update_from(instance_status(instances, databases), identity, [*SNAPSHOT, "inst_id"], columns)
+    order = existing(databases, ["seq"])
+    identity = database_identity(databases, products, order)
+    columns = [c for c in identity.columns if c not in (*SNAPSHOT, "inst_id", *order)]
+    return update_from(instance_status(instances, databases), identity, [*SNAPSHOT, "inst_id"], columns, order)
 
 
 # --- capacity --------------------------------------------------------------

@@ -116,17 +116,17 @@ def test_zero_results(spark, at):
                               labels=("label1",), metrics_type={"data": "histogram"}, metrics_buckets={"data": {"le_20": "20"}}),
      [("data", 123.45, {"label1": "x"})])])
 def test_run_metric(spark, at, definition, expected):
-    databases = spark.createDataFrame([("db",)], "source_database string")
-    got = metrics.run_metric(spark, definition, databases, F.lit(at(5)).cast("timestamp")).collect()
+    got = metrics.run_metric(spark, definition, "db", F.lit(at(5)).cast("timestamp")).collect()
     assert sorted((r.metric_name, r.value, r.labels) for r in got) == expected
     assert {(r.source_database, r.collected_at) for r in got} == {("db", at(5))}
 
 
 def test_run_metric_limits_databases(spark, at):
-    databases = spark.createDataFrame([("db1",), ("db2",)], "source_database string")
     d = metrics.MetricDefinition("ctx", {"v": "h"}, "select 1 as v", databases=("db2",))
-    got = metrics.run_metric(spark, d, databases, F.lit(at(0)).cast("timestamp")).collect()
+    got = metrics.run_metric(spark, d, as_of=F.lit(at(0)).cast("timestamp")).collect()
     assert [r.source_database for r in got] == ["db2"]
+    with pytest.raises(ValueError, match="names no database"):
+        metrics.run_metric(spark, metrics.MetricDefinition("ctx", {"v": "h"}, "select 1 as v"))
 
 
 def test_integers(spark):
@@ -152,10 +152,9 @@ def test_shipped_sample_metrics_run(spark, at):
     }
     for view, schema in RAW.items():
         spark.createDataFrame(rows.get(view, []), schema).createOrReplaceTempView(f"raw_{view}")
-    databases = spark.createDataFrame([("db",)], "source_database string")
     values = {}
     for d in loaded.values():
-        for r in metrics.run_metric(spark, d, databases, F.lit(at(0)).cast("timestamp")).collect():
+        for r in metrics.run_metric(spark, d, "db", F.lit(at(0)).cast("timestamp")).collect():
             values.setdefault(r.metric_name, []).append(r.value)
     assert (values["p95_time_usecs"], values["p99_time_usecs"]) == ([190.0], [200.0])
     assert (values["p95_rows"], values["total_queues"], values["total_subscribers"]) == ([19.0], [3.0], [2.0])

@@ -38,6 +38,15 @@ def test_update_from_leaves_unmatched_rows(spark, at, column, value):
     assert [(r.inst_id, r.dbid) for r in got] == [(1, 9), (2, 5)]
 
 
+def test_last_identity_of_an_instance_wins(spark, at):
+    keys = "source_database string, collected_at timestamp, inst_id long"
+    instances = spark.createDataFrame([("db", at(0), 1, "i", "OPEN", "ACTIVE", at(0))], f"{keys}, instance_name string, status string, database_status string, startup_time timestamp")
+    databases = spark.createDataFrame([("db", at(0), 1, 9, "b", 1), ("db", at(0), 1, 1, "a", 2)], f"{keys}, dbid long, db_unique_name string, seq long")
+    products = spark.createDataFrame([], "source_database string, collected_at timestamp, product string, version string, version_full string")
+    got = samples.database_status(instances, databases, products).select("dbid", "db_unique_name").distinct().collect()
+    assert [tuple(r) for r in got] == [(1, "a")]
+
+
 def test_update_from_takes_null_of_a_match(spark, at):
     rows = frame(spark, at, "inst_id long, dbid long", [("db", 0, 1, 5)])
     source = frame(spark, at, "inst_id long, dbid long", [("db", 0, 1, None)])
