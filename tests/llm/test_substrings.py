@@ -50,7 +50,7 @@ def test_long_text_in_segments(docs_of, monkeypatch):
     rng = random.Random(3)
     passage = "".join(rng.choice("abcdef") for _ in range(300))
     body = lambda n: "".join(rng.choice("ghijkl") for _ in range(n))
-    texts = [body(S.SEGMENT - 150) + passage + body(2000), body(500) + passage]
+    texts = [body(S.SEGMENT - 151) + "X" + passage + "Y" + body(2000), body(499) + "Z" + passage]
     rows = S.without_repeats(docs_of(list(enumerate(texts)))).orderBy("doc_id").collect()
     assert [[(s["start"], s["end"]) for s in r["spans"]] for r in rows] == [[(S.SEGMENT - 150, S.SEGMENT + 150)], [(500, 800)]]
 
