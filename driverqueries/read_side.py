@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from driverqueries.adapters import AS_OF, AS_OF_ORDERS
 from driverqueries.registry import query
-from driverqueries.stores import _daily_sql, _datasets
+from driverqueries.stores import _SURGE, _daily_sql, _datasets
 from fleetlens.functions import scalars as S
 from fleetlens.operators import accounting, deltas, samples
 from fleetlens.operators.timeline import newest_per_key
@@ -122,27 +122,29 @@ def failed_collectors(fx):
 
 
 # The dashboard reads the latest views; here every snapshot counts as one, to have rows to judge.
-@query("d_3_capacity_risks", """
-with ts as (select * from {fx_tablespace}), lim as (
-  select *, case when limit_value > 0 then cast(current_value as double) * 100.0 / cast(limit_value as double) end as used_percent from {fx_limit}
-), dg as (
-  select *, case when total_bytes > 0 then cast(total_bytes - free_bytes as double) * 100.0 / cast(total_bytes as double) end as used_percent from {fx_diskgroup}
-), risks as (
-  select source_database, 'Tablespace maximum' as category, tablespace_name as object_name, cast(null as string) as inst_id, used_percent, 90.0::double as alert_threshold
-  from ts where used_percent >= 80
-  union all
-  select source_database, 'Tablespace allocation', tablespace_name, null, cast(used_bytes as double) * 100.0 / cast(allocated_bytes as double), 95.0::double
-  from ts where allocated_bytes > 0 and cast(used_bytes as double) * 100.0 / cast(allocated_bytes as double) >= 85
-  union all
-  select source_database, 'Resource limit', resource_name, cast(inst_id as string), used_percent, 85.0::double
-  from lim where not limit_unlimited and limit_value > 0 and used_percent >= 75
-  union all
-  select string_agg(source_database, ', ' order by source_database), 'ASM diskgroup', diskgroup_name, cast(inst_id as string), used_percent, 90.0::double
-  from dg where used_percent >= 80 group by diskgroup_name, inst_id, total_bytes, free_bytes, usable_bytes, used_percent
-)
-select source_database, category, object_name, inst_id, cast(round(cast(used_percent as decimal(38, 12)), 2) as double) as used_percent, alert_threshold,
-  case when used_percent > alert_threshold then 'ALERT THRESHOLD' else 'WATCH' end as state
-from risks""")
+_FULL = "cast({used} as double) * 100.0 / cast(nullif(greatest({room}, 0), 0) as double)"
+# Every kind of capacity as one long relation; a table of thresholds says which rows count.
+_CAPACITY = f"""
+select source_database, 'Tablespace maximum' as category, tablespace_name as object_name, cast(null as bigint) as instance, used_percent as share
+from {{fx_tablespace}}
+union all
+select source_database, 'Tablespace allocation', tablespace_name, null, {_FULL.format(used='used_bytes', room='allocated_bytes')} from {{fx_tablespace}}
+union all
+select source_database, 'Resource limit', resource_name, inst_id, {_FULL.format(used='current_value', room='limit_value')} from {{fx_limit}}
+where not limit_unlimited
+union all
+select string_agg(source_database, ', ' order by source_database), 'ASM diskgroup', diskgroup_name, inst_id,
+  {_FULL.format(used='any_value(total_bytes - free_bytes)', room='any_value(total_bytes)')}
+from {{fx_diskgroup}} group by diskgroup_name, inst_id, total_bytes, free_bytes, usable_bytes"""
+
+
+@query("d_3_capacity_risks", f"""
+with thresholds(category, watched_from, alert_threshold) as (
+  values ('Tablespace maximum', 80.0::double, 90.0::double), ('Tablespace allocation', 85.0, 95.0), ('Resource limit', 75.0, 85.0), ('ASM diskgroup', 80.0, 90.0))
+select source_database, category, object_name, cast(instance as string) as inst_id,
+  cast(round(cast(share as decimal(38, 12)), 2) as double) as used_percent, alert_threshold,
+  if(share > alert_threshold, 'ALERT THRESHOLD', 'WATCH') as state
+from ({_CAPACITY}) c join thresholds using (category) where share >= watched_from""")
 def capacity_risks(fx):
     return dashboards.capacity_risks(
         fx.tablespace, views.with_used_percent(fx.limit), views.with_used_percent(fx.diskgroup))
@@ -167,22 +169,27 @@ def instance_state(fx):
 _PRESSURE_STATUS = "select source_database, max(collected_at) as collected_at from {fx_session} where source_database <> 'db2' group by 1"
 
 
+def _rounded(value, digits):
+    return f"cast(round(cast({value} as decimal(38, 12)), {digits}) as double)"
+
+
 @query("d_5_cpu_pga_pressure", f"""
-with st as ({_PRESSURE_STATUS}), instances as (
-  select p.source_database, cast(sum(case when name = 'cpu_count' then cast(value as bigint) end) as double) as cpu_capacity,
-    cast(sum(case when name = 'sga_max_size' then cast(value as bigint) end) as double) as pga_allocated_bytes,
-    cast(sum(case when name = 'other' then cast(value as bigint) end) as double) as pga_peak_bytes,
-    cast(sum(case when name = 'pga_aggregate_limit' then cast(value as bigint) end) as double) as pga_limit_bytes
-  from {{fx_parameter}} p join st on st.source_database = p.source_database and st.collected_at = p.collected_at group by 1
-), rates as (
-  select source_database, date_trunc('day', collected_at) as collected_at, cast(cumulative_value as double) * 1000 as value_per_second from {{fx_counter}} where stat_name = 'click'
-), cpu as (
-  select r.source_database, sum(value_per_second) / 1000000.0 as cores from rates r join st on st.source_database = r.source_database and st.collected_at = r.collected_at group by 1
+with latest as ({_PRESSURE_STATUS}), totals as (
+  select source_database, map_from_entries(list((name, total))) as of
+  from (select source_database, name, sum(try_cast(value as bigint))::double as total
+        from {{fx_parameter}} semi join latest using (source_database, collected_at) group by 1, 2) p
+  group by 1
+), named as (
+  select source_database, of['cpu_count'] as cpus, of['sga_max_size'] as held, of['other'] as peak, of['pga_aggregate_limit'] as bound from totals
+), busy as (
+  select c.source_database, sum(cumulative_value::double * 1000) / 1000000.0 as cores
+  from {{fx_counter}} c join latest l on c.source_database = l.source_database and date_trunc('day', c.collected_at) = l.collected_at
+  where stat_name = 'click' group by 1
 )
-select i.source_database, cast(round(cast(cores as decimal(38, 12)), 2) as double) as db_cpu_cores, cpu_capacity, cast(round(cast(cores * 100.0 / nullif(cpu_capacity, 0) as decimal(38, 12)), 1) as double) as cpu_used_percent,
-  pga_allocated_bytes, pga_peak_bytes, pga_limit_bytes, cast(round(cast(pga_allocated_bytes * 100.0 / nullif(pga_limit_bytes, 0) as decimal(38, 12)), 1) as double) as pga_current_percent,
-  cast(round(cast(pga_peak_bytes * 100.0 / nullif(pga_limit_bytes, 0) as decimal(38, 12)), 1) as double) as pga_peak_percent
-from instances i left join cpu using (source_database)""")
+select source_database, {_rounded('cores', 2)} as db_cpu_cores, cpus as cpu_capacity, {_rounded('cores * 100.0 / nullif(cpus, 0)', 1)} as cpu_used_percent,
+  held as pga_allocated_bytes, peak as pga_peak_bytes, bound as pga_limit_bytes, {_rounded('held * 100.0 / nullif(bound, 0)', 1)} as pga_current_percent,
+  {_rounded('peak * 100.0 / nullif(bound, 0)', 1)} as pga_peak_percent
+from named left join busy using (source_database)""")
 def cpu_pga_pressure(fx):
     number = F.col("value").cast("long")
     named = {"cpu_count": "cpu_count", "sga_max_size": "pga_allocated_bytes", "other": "pga_max_allocated_bytes",
@@ -200,12 +207,19 @@ def cpu_pga_pressure(fx):
     return dashboards.cpu_pga_pressure(instances, rates, both)
 
 
-@query("j_20_agg_19_fleet_capacity", """
-select source_database, cast(sum(case when name = 'cpu_count' then cast(value as bigint) end) as bigint) as cpu_capacity
-from {fx_parameter} group by 1""")
+@query("j_20_agg_19_fleet_capacity", f"""
+with latest as ({_PRESSURE_STATUS})
+select source_database, cast(count(*) * 4 as double) as cpu_capacity, cast(sum(user_id) as double) as pga_limit_bytes
+from {{fx_session}} semi join latest using (source_database, collected_at) group by 1""")
 def fleet_capacity(fx):
-    return fx.parameter.groupBy("source_database").agg(
-        F.sum(F.when(F.col("name") == "cpu_count", F.col("value").cast("long"))).alias("cpu_capacity"))
+    instances = fx.session.select(
+        "source_database", "collected_at", "inst_id", F.lit(4).cast("bigint").alias("cpu_count"), F.lit(None).cast("bigint").alias("pga_allocated_bytes"),
+        F.lit(None).cast("bigint").alias("pga_max_allocated_bytes"), F.col("user_id").alias("pga_aggregate_limit"))
+    latest = fx.session.where("source_database <> 'db2'").groupBy("source_database").agg(F.max("collected_at").alias("collected_at"))
+    both = latest.withColumn("collector", F.lit("operational.instance")).unionByName(
+        latest.withColumn("collector", F.lit("operational.cpu_io_counters")))
+    rates = fx.counter.select("source_database", "collected_at", "con_id", "stat_name", F.col("cumulative_value").cast("double").alias("value_per_second"))
+    return dashboards.cpu_pga_pressure(instances, rates, both).select("source_database", "cpu_capacity", "pga_limit_bytes")
 
 
 # --- alert values ---------------------------------------------------------------------
@@ -264,23 +278,23 @@ def accounting_age(fx):
 
 
 def _baseline(value, condition):
+    # Days count back from yesterday: 0 is yesterday, 1 to 7 the week before it.
     return f"""
-with b as (
-  select source_database, max({value}) filter (where cast(sample_day as date) = date '2024-01-30') as yesterday_rows,
-    avg({value}) filter (where cast(sample_day as date) between date '2024-01-23' and date '2024-01-29') as baseline_rows,
-    count(*) filter (where cast(sample_day as date) between date '2024-01-23' and date '2024-01-29') as baseline_days
-  from ({_daily_sql()}) d where sample_day >= timestamp '2024-01-23 00:00:00' group by 1
+with days as (
+  select source_database, date_diff('day', cast(sample_day as date), date '2024-01-30') as back, {value} as n from ({_daily_sql()}) d
+), judged as (
+  select source_database, max(n) filter (where back = 0) as last_day, avg(n) filter (where back > 0) as usual, count(*) filter (where back > 0) as known
+  from days where back between 0 and 7 group by 1
 )
-select c.source_database, cast(case when baseline_days >= 4 and {condition} then 1 else 0 end as double) as value
-from ({_CONFIGURED}) c left join b using (source_database)"""
+select source_database, if(known >= 4 and ({condition}), 1.0, 0.0)::double as value from ({_CONFIGURED}) c left join judged using (source_database)"""
 
 
-@query("a_7_ingest_drop", _baseline("sql_sample_rows", "baseline_rows >= 1000 and coalesce(yesterday_rows, 0) < baseline_rows * 0.2"))
+@query("a_7_ingest_drop", _baseline("sql_sample_rows", "usual >= 1000 and 5 * coalesce(last_day, 0) < usual"))
 def ingest_drop(fx):
     return _values(fx, "A-7", _ingest_tables(fx), fx.as_of, "source_database")
 
 
-@query("a_8_ingest_surge", _baseline(" + ".join(accounting.SURGE_COUNTERS), "baseline_rows >= 10000 and yesterday_rows > baseline_rows * 3"))
+@query("a_8_ingest_surge", _baseline(_SURGE, "usual >= 10000 and last_day > 3 * usual"))
 def ingest_surge(fx):
     return _values(fx, "A-8", _ingest_tables(fx), fx.as_of, "source_database")
 
@@ -305,25 +319,27 @@ def activity_timeout(fx):
 
 
 @query("t_4_latest_runtime_row", """
-select observed_at, configured_query_timeout_seconds from {fx_runtime}
-where scheduler = 'click' and observed_at >= timestamp '2024-01-30 12:00:00' - interval '3 minutes' order by observed_at desc limit 1""")
+with newest as (select arg_max(configured_query_timeout_seconds, observed_at) as bound from {fx_runtime} where scheduler = 'click')
+select source_database, duration_seconds * 100.0 / nullif(bound, 0) as value from {fx_latest_status}, newest
+where collector = 'activity' and success and collected_at >= timestamp '2024-01-30 12:00:00'""")
 def latest_runtime_row(fx):
-    recent = fx.runtime.where("scheduler = 'click' and observed_at >= timestamp '2024-01-30 12:00:00' - interval 3 minutes")
-    return recent.orderBy(F.col("observed_at").desc()).limit(1).select("observed_at", "configured_query_timeout_seconds")
+    # all runtime rows are offered; the rule has to take the newest
+    tables = _runtime_tables(fx)
+    tables["latest_runtime_status"] = fx.runtime.withColumn("scheduler", F.when(F.col("scheduler") == "click", "activity").otherwise(F.col("scheduler"))).withColumn(
+        "observed_at", F.col("observed_at") + F.expr("interval 1 day"))
+    return _values(fx, "A-9", tables, F.lit("2024-01-30 12:03:00").cast("timestamp"), "source_database")
 
 
 @query("j_19_status_with_runtime_row", """
-with r as (
-  select configured_interval_seconds as every from {fx_latest_runtime} where scheduler = 'error' order by observed_at desc limit 1
-)
-select source_database, collector, duration_seconds * 100.0 / nullif(every, 0) as share from {fx_latest_status} cross join r""")
+select source_database, cast(null as double) as value from {fx_latest_status}
+where collector = 'activity' and success and collected_at >= timestamp '2024-01-30 12:00:00'""")
 def status_with_runtime_row(fx):
-    # One runtime row at most: a scalar subquery instead of a cross join.
-    newest = fx.latest_runtime.where("scheduler = 'error'").agg(
-        F.max_by(F.struct("configured_interval_seconds"), "observed_at")).scalar()
-    rows = fx.latest_status.withColumn("_r", newest).where(F.col("_r").isNotNull())
-    share = S.ratio_percent(F.col("duration_seconds"), F.col("_r.configured_interval_seconds"))
-    return rows.select("source_database", "collector", share.alias("share"))
+    # a runtime row without a timeout keeps the status rows; its share is unknown
+    tables = _runtime_tables(fx)
+    tables["latest_runtime_status"] = fx.runtime.select(
+        F.lit("activity").alias("scheduler"), (F.col("observed_at") + F.expr("interval 1 day")).alias("observed_at"),
+        F.lit(0.0).alias("configured_query_timeout_seconds"))
+    return _values(fx, "A-9", tables, F.lit("2024-01-30 12:03:00").cast("timestamp"), "source_database")
 
 
 @query("j_21_status_at_last_attempt", f"""
@@ -386,18 +402,21 @@ def apply_stopped(fx):
     return _values(fx, "A-15", {"latest_dataguard_process_samples": _from_orders(fx, _PROCS)}, fx.as_of, "source_database")
 
 
-@query("agg_22_last_flush", f"select source_database, max(last_sample_at) as last_flushed_at from ({_daily_sql()}) d group by 1")
+@query("agg_22_last_flush", f"""
+with flushed as (select source_database, max(last_sample_at) as flushed_at from ({_daily_sql()}) d group by 1)
+select source_database, coalesce(cast(epoch_us(timestamp '2024-02-02 00:00:00') - epoch_us(flushed_at) as double) / 1000000.0, 1000000000.0) as value
+from ({_CONFIGURED}) c left join flushed using (source_database)""")
 def last_flush(fx):
-    return _ingest_tables(fx)["repository_daily_ingest"].groupBy("source_database").agg(
-        F.max("last_flushed_at").alias("last_flushed_at"))
+    return _values(fx, "A-6", _ingest_tables(fx), F.lit("2024-02-02 00:00:00").cast("timestamp"), "source_database")
 
 
 @query("j_18_configured_databases", f"""
-select c.source_database, d.sample_count from ({_CONFIGURED}) c left join (select source_database, count(*) as sample_count from {{fx_counter}} group by 1) d using (source_database)""")
+select source_database, 1000000000.0::double as value from ({_CONFIGURED}) c""")
 def configured_databases(fx):
-    configured = fx.latest_status.where("collector = 'scheduled'").select("source_database")
-    counted = fx.counter.groupBy("source_database").agg(F.count("*").alias("sample_count"))
-    return configured.join(counted, "source_database", "left")
+    # no accounting at all: every configured database is still reported
+    tables = {**_ingest_tables(fx), "repository_daily_ingest": fx.status.select(
+        F.concat("source_database", F.lit(" elsewhere")).alias("source_database"), F.col("collected_at").alias("last_flushed_at"))}
+    return _values(fx, "A-6", tables, fx.as_of, "source_database")
 
 
 _PENDING = """
@@ -551,27 +570,36 @@ def _register_relation(rel_id, rel):
 
     # Right-side columns under their prefix, without the repeated keys.
     sql = f"select l.*, {{columns}} from ({left_sql}) l {' '.join(joins)}"
-    return key, run, sql, list(variants), right_sql, left_sql
-
-
-def _columns_of(sql: str) -> list[str]:
-    """Output names of a fixture text, from DuckDB's description of it on empty tables."""
-    import duckdb
-
-    from driverqueries.adapters import with_adapters
-
-    con = duckdb.connect()
-    for table, columns in _EMPTY.items():
-        con.execute(f"create table {table} ({columns})")
-    return [row[0] for row in con.execute("describe " + with_adapters(sql)).fetchall()]
-
-
-_EMPTY = {
-    "events": "event_id bigint, ts timestamp, user_id bigint, event_type varchar, value double, props varchar",
+    return key, run, sql, list(variants)
+
+
+# The other side's columns that a relation shows: those its left side does not have.
+_SHOWN = {
+    "R-1": ["child_number", "plan_hash_value", "executions"],
+    "R-2": ["seq", "user_id", "username", "status", "type", "state", "event", "wait_class", "wait_time_micro", "seconds_in_wait", "sql_child_number", "prev_sql_id", "blocking_instance", "audit_session_id", "own_session_id"],
+    "R-3": ["child_number", "plan_hash_value", "executions"],
+    "R-4": ["child_number", "plan_hash_value", "plan_line_id", "operation"],
+    "R-5": ["sql_fulltext"],
+    "R-6": ["plan_line_id", "operation"],
+    "R-7": ["child_numbers", "parsing_schema_names", "modules"],
+    "R-8": ["plan_line_id", "operation"],
+    "R-9": ["sql_fulltext"],
+    "R-10": ["sql_fulltext"],
+    "R-11": ["sql_fulltext"],
+    "R-12": ["sql_fulltext"],
+    "R-13": ["seq", "sid", "serial_number", "user_id", "username", "status", "type", "state", "event", "wait_class", "wait_time_micro", "seconds_in_wait", "prev_sql_id", "blocking_session", "blocking_instance", "audit_session_id", "own_session_id"],
+    "R-14": ["dbid", "database_role"],
+    "R-15": ["instance_name"],
+    "R-16": ["dbid", "database_role"],
+    "R-17": ["instance_name"],
+    "R-18": ["instance_name"],
+    "R-19": ["instance_name"],
+    "R-20": ["dbid", "database_role"],
+    "R-21": ["dbid", "database_role"],
+    "R-22": ["dbid", "database_role"],
+    "R-23": ["dbid", "database_role"],
 }
 
 for _rel_id, _rel in relations.RELATIONS.items():
-    _key, _run, _sql, _variants, _right, _left = _register_relation(_rel_id, _rel)
-    _taken = _columns_of(_left)
-    _shown = ", ".join(f"{v}.{c} as {v}_{c}" for v in _variants for c in _columns_of(_right) if c not in _taken)
-    query(_key, _sql.replace("{columns}", _shown))(_run)
+    _key, _run, _sql, _variants = _register_relation(_rel_id, _rel)
+    query(_key, _sql.replace("{columns}", ", ".join(f"{v}.{c} as {v}_{c}" for v in _variants for c in _SHOWN[_rel_id])))(_run)

@@ -1,205 +1,254 @@
-"""Schemas of the landed source views and of the stored tables (fixed values)."""
+"""Schemas of the landed source views and of the stored tables."""
 
 from __future__ import annotations
 
 from pyspark.sql import types as T
 
-_TYPES = {"L": T.LongType(), "S": T.StringType(), "T": T.TimestampType(), "D": T.DoubleType(),
-          "B": T.BooleanType(), "M": T.MapType(T.StringType(), T.StringType())}
+_TYPES = {"bigint": T.LongType(), "string": T.StringType(), "timestamp": T.TimestampType(), "double": T.DoubleType(),
+          "boolean": T.BooleanType(), "map<string,string>": T.MapType(T.StringType(), T.StringType())}
 
 
-def layout(**groups: str) -> T.StructType:
-    """``layout(a_L="x y", b_S="z")``: blank separated names of one type per group, in order."""
-    fields = []
-    for group, names in groups.items():
-        fields += [T.StructField(n, _TYPES[group[-1]]) for n in names.split()]
-    return T.StructType(fields)
+def layout(columns: str) -> T.StructType:
+    """Schema of a column list like ``name type, name type``; needs no session."""
+    pairs = (column.split() for column in columns.split(", "))
+    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in pairs])
 
 
-def _raw(**groups: str) -> T.StructType:
-    return layout(k0_S="source_database", k1_T="collected_at", **groups, seq_L="seq")
+# --- fixed values: column lists of the landed views, between the columns that every view has -------------
 
-
-RAW: dict[str, T.StructType] = {
-    "sqlstats": _raw(
-        a_L="inst_id", b_S="sql_id",
-        c_L="plan_hash_value executions elapsed_time cpu_time user_io_wait_time application_wait_time "
-            "concurrency_wait_time cluster_wait_time buffer_gets disk_reads direct_writes rows_processed fetches "
-            "loads invalidations parse_calls",
-        d_T="last_active_time", e_L="con_id"),
-    "sql": _raw(
-        a_L="inst_id", b_S="sql_id", c_L="child_number plan_hash_value",
-        d_S="parsing_schema_name module sql_fulltext", e_L="elapsed_time", f_T="last_active_time"),
-    "sql_plan": _raw(
-        a_L="inst_id", b_S="sql_id", c_L="child_number plan_hash_value id parent_id depth position",
-        d_S="operation options object_owner object_name object_type optimizer",
-        e_L="cost cardinality bytes cpu_cost io_cost temp_space",
-        f_S="partition_start partition_stop access_predicates filter_predicates"),
-    "session": _raw(
-        a_L="inst_id sid serial_number user_id", b_S="username type status state sql_id",
-        c_L="sql_child_number", d_S="prev_sql_id", e_L="sql_exec_id", f_T="sql_exec_start",
-        g_S="event wait_class",
-        h_L="wait_time_micro seconds_in_wait blocking_instance blocking_session row_wait_obj row_wait_file "
-            "row_wait_block",
-        i_S="machine program module action service_name client_identifier", j_L="con_id audit_session_id",
-        k_T="logon_time"),
-    "activity_history": _raw(
-        a_L="sample_id", b_T="sample_time", c_L="inst_id session_id session_serial", d_S="session_type",
-        e_L="user_id", f_S="sql_id", g_L="sql_child_number sql_exec_id", h_T="sql_exec_start",
-        i_S="top_level_sql_id session_state event wait_class",
-        j_L="wait_time time_waited blocking_session blocking_serial blocking_inst_id current_obj current_file "
-            "current_block",
-        k_S="program module action machine",
-        l_L="pga_allocated temp_space_allocated con_id usecs_per_row sql_plan_hash_value "
-            "sql_full_plan_hash_value sql_plan_line_id service_hash",
-        m_S="client_id"),
-    "instance": _raw(a_L="inst_id", b_S="instance_name status database_status", c_T="startup_time"),
-    "database": _raw(
-        a_L="inst_id dbid", b_S="db_unique_name open_mode database_role cdb", c_L="con_id",
-        d_S="con_name platform_name protection_mode protection_level"),
-    "product": _raw(a_S="product version version_full"),
-    "process": _raw(a_L="inst_id"),
-    "parameter": _raw(a_L="inst_id", b_S="name value"),
-    "sga": _raw(a_L="inst_id con_id", b_S="name", c_L="value"),
-    "pgastat": _raw(a_L="inst_id con_id", b_S="name", c_L="value"),
-    "resource_limit": _raw(
-        a_L="inst_id", b_S="resource_name", c_L="current_utilization max_utilization",
-        d_S="initial_allocation limit_value"),
-    "tablespace": _raw(a_S="tablespace_name contents", b_L="block_size"),
-    "tablespace_usage": _raw(a_S="tablespace_name", b_L="used_space tablespace_size", c_D="used_percent"),
-    "temp_free": _raw(a_S="tablespace_name", b_L="tablespace_size free_space"),
-    "data_files": _raw(a_S="tablespace_name", b_L="bytes"),
-    "temp_files": _raw(a_S="tablespace_name", b_L="bytes"),
-    "asm_diskgroup": _raw(a_L="inst_id", b_S="name", c_L="total_mb free_mb usable_file_mb"),
-    "datafile": _raw(a_S="name"),
-    "sysstat": _raw(a_L="inst_id con_id", b_S="name", c_L="value"),
-    "time_model": _raw(a_L="inst_id con_id", b_S="name", c_L="value"),
-    "wait_class": _raw(a_L="inst_id con_id", b_S="wait_class", c_L="time_waited"),
-    "sysmetric": _raw(a_L="inst_id con_id", b_S="metric_name", c_D="value", d_S="metric_unit"),
-    "archive_dest": _raw(
-        a_L="inst_id dest_id",
-        b_S="dest_name target destination status transmit_mode affirm valid_now db_unique_name",
-        c_L="applied_scn", d_S="error"),
-    "archive_dest_status": _raw(
-        a_L="inst_id dest_id",
-        b_S="type database_mode recovery_mode protection_mode synchronized synchronization_status gap_status",
-        c_L="archived_thread archived_seq applied_thread applied_seq"),
-    "dataguard_stats": _raw(a_S="name value time_computed datum_time"),
-    "dataguard_process": _raw(a_L="inst_id", b_S="name role action", c_L="thread sequence"),
-    "alert_log": _raw(a_T="originating_timestamp", b_S="module_id execution_context_id message_text"),
-    "segments": _raw(a_S="segment_name segment_type", b_L="bytes"),
-    "queues": _raw(a_L="inst_id queue_id", b_S="queue_name"),
-    "subscriber_stat": _raw(
-        a_L="inst_id queue_id subscriber_id enqueued_msgs dequeued_msgs time_since_last_dequeue "
-            "estd_time_to_drain_no_enq"),
+_VIEWS = {
+    "sqlstats": """
+        inst_id bigint, sql_id string, plan_hash_value bigint, executions bigint, elapsed_time bigint,
+        cpu_time bigint, user_io_wait_time bigint, application_wait_time bigint, concurrency_wait_time bigint,
+        cluster_wait_time bigint, buffer_gets bigint, disk_reads bigint, direct_writes bigint,
+        rows_processed bigint, fetches bigint, loads bigint, invalidations bigint, parse_calls bigint,
+        last_active_time timestamp, con_id bigint""",
+    "sql": """
+        inst_id bigint, sql_id string, child_number bigint, plan_hash_value bigint, parsing_schema_name string,
+        module string, sql_fulltext string, elapsed_time bigint, last_active_time timestamp""",
+    "sql_plan": """
+        inst_id bigint, sql_id string, child_number bigint, plan_hash_value bigint, id bigint, parent_id bigint,
+        depth bigint, position bigint, operation string, options string, object_owner string, object_name string,
+        object_type string, optimizer string, cost bigint, cardinality bigint, bytes bigint, cpu_cost bigint,
+        io_cost bigint, temp_space bigint, partition_start string, partition_stop string, access_predicates string,
+        filter_predicates string""",
+    "session": """
+        inst_id bigint, sid bigint, serial_number bigint, user_id bigint, username string, type string,
+        status string, state string, sql_id string, sql_child_number bigint, prev_sql_id string,
+        sql_exec_id bigint, sql_exec_start timestamp, event string, wait_class string, wait_time_micro bigint,
+        seconds_in_wait bigint, blocking_instance bigint, blocking_session bigint, row_wait_obj bigint,
+        row_wait_file bigint, row_wait_block bigint, machine string, program string, module string, action string,
+        service_name string, client_identifier string, con_id bigint, audit_session_id bigint,
+        logon_time timestamp""",
+    "activity_history": """
+        sample_id bigint, sample_time timestamp, inst_id bigint, session_id bigint, session_serial bigint,
+        session_type string, user_id bigint, sql_id string, sql_child_number bigint, sql_exec_id bigint,
+        sql_exec_start timestamp, top_level_sql_id string, session_state string, event string, wait_class string,
+        wait_time bigint, time_waited bigint, blocking_session bigint, blocking_serial bigint,
+        blocking_inst_id bigint, current_obj bigint, current_file bigint, current_block bigint, program string,
+        module string, action string, machine string, pga_allocated bigint, temp_space_allocated bigint,
+        con_id bigint, usecs_per_row bigint, sql_plan_hash_value bigint, sql_full_plan_hash_value bigint,
+        sql_plan_line_id bigint, service_hash bigint, client_id string""",
+    "instance": """
+        inst_id bigint, instance_name string, status string, database_status string, startup_time timestamp""",
+    "database": """
+        inst_id bigint, dbid bigint, db_unique_name string, open_mode string, database_role string, cdb string,
+        con_id bigint, con_name string, platform_name string, protection_mode string, protection_level string""",
+    "product": """
+        product string, version string, version_full string""",
+    "process": """
+        inst_id bigint""",
+    "parameter": """
+        inst_id bigint, name string, value string""",
+    "sga": """
+        inst_id bigint, con_id bigint, name string, value bigint""",
+    "pgastat": """
+        inst_id bigint, con_id bigint, name string, value bigint""",
+    "resource_limit": """
+        inst_id bigint, resource_name string, current_utilization bigint, max_utilization bigint,
+        initial_allocation string, limit_value string""",
+    "tablespace": """
+        tablespace_name string, contents string, block_size bigint""",
+    "tablespace_usage": """
+        tablespace_name string, used_space bigint, tablespace_size bigint, used_percent double""",
+    "temp_free": """
+        tablespace_name string, tablespace_size bigint, free_space bigint""",
+    "data_files": """
+        tablespace_name string, bytes bigint""",
+    "temp_files": """
+        tablespace_name string, bytes bigint""",
+    "asm_diskgroup": """
+        inst_id bigint, name string, total_mb bigint, free_mb bigint, usable_file_mb bigint""",
+    "datafile": """
+        name string""",
+    "sysstat": """
+        inst_id bigint, con_id bigint, name string, value bigint""",
+    "time_model": """
+        inst_id bigint, con_id bigint, name string, value bigint""",
+    "wait_class": """
+        inst_id bigint, con_id bigint, wait_class string, time_waited bigint""",
+    "sysmetric": """
+        inst_id bigint, con_id bigint, metric_name string, value double, metric_unit string""",
+    "archive_dest": """
+        inst_id bigint, dest_id bigint, dest_name string, target string, destination string, status string,
+        transmit_mode string, affirm string, valid_now string, db_unique_name string, applied_scn bigint,
+        error string""",
+    "archive_dest_status": """
+        inst_id bigint, dest_id bigint, type string, database_mode string, recovery_mode string,
+        protection_mode string, synchronized string, synchronization_status string, gap_status string,
+        archived_thread bigint, archived_seq bigint, applied_thread bigint, applied_seq bigint""",
+    "dataguard_stats": """
+        name string, value string, time_computed string, datum_time string""",
+    "dataguard_process": """
+        inst_id bigint, name string, role string, action string, thread bigint, sequence bigint""",
+    "alert_log": """
+        originating_timestamp timestamp, module_id string, execution_context_id string, message_text string""",
+    "segments": """
+        segment_name string, segment_type string, bytes bigint""",
+    "queues": """
+        inst_id bigint, queue_id bigint, queue_name string""",
+    "subscriber_stat": """
+        inst_id bigint, queue_id bigint, subscriber_id bigint, enqueued_msgs bigint, dequeued_msgs bigint,
+        time_since_last_dequeue bigint, estd_time_to_drain_no_enq bigint""",
 }
 
+# --- fixed values: column lists of the stored tables ------------------------------------------------------
 
-def _sample(**groups: str) -> T.StructType:
-    return layout(k0_T="collected_at", k1_S="source_database", **groups)
+_TABLES = {
+    "metric_samples": """
+        collected_at timestamp, source_database string, context string, metric_name string, metric_help string,
+        metric_type string, value double, labels map<string,string>""",
+    "sql_samples": """
+        collected_at timestamp, source_database string, inst_id bigint, sql_id string, child_number bigint,
+        plan_hash_value bigint, parsing_schema_name string, module string, executions bigint,
+        elapsed_time_micro bigint, cpu_time_micro bigint, user_io_wait_micro bigint, application_wait_micro bigint,
+        concurrency_wait_micro bigint, cluster_wait_micro bigint, buffer_gets bigint, disk_reads bigint,
+        direct_writes bigint, rows_processed bigint, fetches bigint, loads bigint, invalidations bigint,
+        parse_calls bigint, last_active_time timestamp""",
+    "session_samples": """
+        collected_at timestamp, source_database string, inst_id bigint, sid bigint, serial_number bigint,
+        username string, status string, sql_id string, sql_child_number bigint, prev_sql_id string, event string,
+        wait_class string, state string, seconds_in_wait bigint, blocking_instance bigint, blocking_session bigint,
+        machine string, program string, module string, action string, service_name string, logon_time timestamp""",
+    "blocking_session_samples": """
+        collected_at timestamp, source_database string, inst_id bigint, sid bigint, serial_number bigint,
+        username string, sql_id string, event string, wait_class string, blocking_instance bigint,
+        blocking_session bigint, blocking_username string, blocking_sql_id string, blocking_event string""",
+    "database_activity_samples": """
+        collected_at timestamp, source_database string, sample_id bigint, sample_time timestamp, inst_id bigint,
+        session_id bigint, session_serial_number bigint, session_type string, user_id bigint, sql_id string,
+        sql_child_number bigint, sql_exec_id bigint, sql_exec_start timestamp, top_level_sql_id string,
+        session_state string, event string, wait_class string, wait_time_micro bigint, time_waited_micro bigint,
+        blocking_session bigint, blocking_session_serial_number bigint, blocking_inst_id bigint,
+        current_object_id bigint, current_file_number bigint, current_block_number bigint, program string,
+        module string, action string, machine string, pga_allocated bigint, temp_space_allocated bigint,
+        con_id bigint, sample_source string, sample_duration_micro bigint, sql_plan_hash_value bigint,
+        sql_full_plan_hash_value bigint, sql_plan_line_id bigint, service_hash bigint, service_name string,
+        client_identifier string""",
+    "database_status_samples": """
+        collected_at timestamp, source_database string, inst_id bigint, instance_name string,
+        instance_status string, database_status string, startup_time timestamp, open_mode string,
+        database_role string, cdb string, con_id bigint, con_name string, platform_name string, dbid bigint,
+        db_unique_name string, database_product string, database_edition string, database_version string,
+        database_version_full string, protection_mode string, protection_level string""",
+    "instance_samples": """
+        collected_at timestamp, source_database string, inst_id bigint, user_sessions bigint,
+        active_user_sessions bigint, background_sessions bigint, process_count bigint, cpu_count bigint,
+        sga_max_bytes bigint, pga_aggregate_limit bigint, sga_allocated_bytes bigint, pga_allocated_bytes bigint,
+        pga_max_allocated_bytes bigint""",
+    "resource_limit_samples": """
+        collected_at timestamp, source_database string, inst_id bigint, resource_name string, current_value bigint,
+        max_value bigint, initial_limit bigint, limit_value bigint, limit_unlimited boolean""",
+    "tablespace_samples": """
+        collected_at timestamp, source_database string, tablespace_name string, contents string, used_bytes bigint,
+        free_bytes bigint, max_bytes bigint, used_percent double, allocated_bytes bigint""",
+    "asm_diskgroup_samples": """
+        collected_at timestamp, source_database string, inst_id bigint, diskgroup_name string, total_bytes bigint,
+        free_bytes bigint, usable_bytes bigint""",
+    "system_counter_samples": """
+        collected_at timestamp, source_database string, inst_id bigint, con_id bigint, stat_name string,
+        cumulative_value bigint, delta_value bigint, interval_seconds double, counter_reset boolean""",
+    "wait_class_samples": """
+        collected_at timestamp, source_database string, inst_id bigint, con_id bigint, wait_class string,
+        cumulative_wait_micro bigint, delta_wait_micro bigint, interval_seconds double, counter_reset boolean""",
+    "system_metric_samples": """
+        collected_at timestamp, source_database string, inst_id bigint, con_id bigint, metric_name string,
+        value double, unit string""",
+    "dataguard_destination_samples": """
+        collected_at timestamp, source_database string, inst_id bigint, dest_id bigint, destination_name string,
+        target string, destination string, status string, transmit_mode string, affirm string, valid_now string,
+        db_unique_name string, destination_type string, database_mode string, recovery_mode string,
+        protection_mode string, synchronized string, synchronization_status string, gap_status string,
+        archived_thread bigint, archived_sequence bigint, applied_thread bigint, applied_sequence bigint,
+        applied_scn bigint, error_message string""",
+    "dataguard_lag_samples": """
+        collected_at timestamp, source_database string, database_role string, transport_lag_seconds double,
+        apply_lag_seconds double, apply_finish_time_seconds double, estimated_startup_seconds double,
+        time_computed string, datum_time string, datum_age_seconds double""",
+    "dataguard_process_samples": """
+        collected_at timestamp, source_database string, inst_id bigint, database_role string,
+        apply_processes bigint, transport_processes bigint, apply_status string, thread_number bigint,
+        sequence_number bigint""",
+    "scrape_status": """
+        collected_at timestamp, source_database string, collector string, success boolean, duration_seconds double,
+        sample_count bigint, error_message string""",
+    "latest_scrape_status": """
+        collected_at timestamp, source_database string, collector string, success boolean, duration_seconds double,
+        sample_count bigint, error_message string""",
+    "runtime_samples": """
+        observed_at timestamp, scheduler string, trigger string, scraper_instance string, ha_scope string,
+        scheduled_at timestamp, started_at timestamp, collection_finished_at timestamp, finished_at timestamp,
+        configured_interval_seconds double, configured_query_timeout_seconds double, scheduling_lag_seconds double,
+        collection_duration_seconds double, write_duration_seconds double, total_duration_seconds double,
+        missed_intervals bigint, databases_attempted bigint, databases_succeeded bigint, sample_count bigint,
+        error_count bigint, write_success boolean, error_message string""",
+    "latest_runtime_status": """
+        observed_at timestamp, scheduler string, trigger string, scraper_instance string, ha_scope string,
+        scheduled_at timestamp, started_at timestamp, collection_finished_at timestamp, finished_at timestamp,
+        configured_interval_seconds double, configured_query_timeout_seconds double, scheduling_lag_seconds double,
+        collection_duration_seconds double, write_duration_seconds double, total_duration_seconds double,
+        missed_intervals bigint, databases_attempted bigint, databases_succeeded bigint, sample_count bigint,
+        error_count bigint, write_success boolean, error_message string""",
+    "database_connection_state": """
+        source_database string, observed_at timestamp, state string, queued_at timestamp,
+        last_failure_at timestamp, last_failure string, last_probe_at timestamp,
+        last_probe_duration_seconds double, last_probe_error string, probe_attempts bigint, recovered_at timestamp,
+        scraper_instance string""",
+    "sql_texts": """
+        source_database string, sql_id string, sql_fulltext string, first_seen_at timestamp,
+        last_text_seen_at timestamp, last_referenced_at timestamp""",
+    "sql_cursor_metadata": """
+        source_database string, inst_id bigint, sql_id string, child_number bigint, plan_hash_value bigint,
+        parsing_schema_name string, module string, first_seen_at timestamp, last_seen_at timestamp""",
+    "sql_plans": """
+        source_database string, inst_id bigint, sql_id string, child_number bigint, plan_hash_value bigint,
+        plan_line_id bigint, parent_id bigint, depth bigint, position bigint, operation string, options string,
+        object_owner string, object_name string, object_type string, optimizer string, cost bigint,
+        cardinality bigint, bytes bigint, cpu_cost bigint, io_cost bigint, temp_space bigint,
+        partition_start string, partition_stop string, access_predicates string, filter_predicates string,
+        first_seen_at timestamp, last_seen_at timestamp, last_referenced_at timestamp""",
+    "repository_daily_ingest": """
+        sample_day timestamp, source_database string, additional_metric_rows bigint, sql_sample_rows bigint,
+        sql_text_writes bigint, sql_cursor_metadata_writes bigint, sql_plan_operation_writes bigint,
+        session_sample_rows bigint, blocking_session_sample_rows bigint, database_activity_sample_rows bigint,
+        database_status_sample_rows bigint, instance_sample_rows bigint, resource_limit_sample_rows bigint,
+        tablespace_sample_rows bigint, asm_diskgroup_sample_rows bigint, system_counter_sample_rows bigint,
+        wait_class_sample_rows bigint, system_metric_sample_rows bigint, dataguard_destination_rows bigint,
+        dataguard_lag_rows bigint, dataguard_process_rows bigint, scrape_status_rows bigint,
+        first_sample_at timestamp, last_sample_at timestamp, last_sql_sample_at timestamp,
+        last_session_sample_at timestamp, last_database_activity_sample_at timestamp, last_flushed_at timestamp""",
+}
+# ------------------------------------------------------------------------------------------------------------
 
 
-_RUNTIME = dict(
-    a_T="observed_at", b_S="scheduler trigger scraper_instance ha_scope",
-    c_T="scheduled_at started_at collection_finished_at finished_at",
-    d_D="configured_interval_seconds configured_query_timeout_seconds scheduling_lag_seconds "
-        "collection_duration_seconds write_duration_seconds total_duration_seconds",
-    e_L="missed_intervals databases_attempted databases_succeeded sample_count error_count",
-    f_B="write_success", g_S="error_message")
-_STATUS = dict(a_S="collector", b_B="success", c_D="duration_seconds", d_L="sample_count", e_S="error_message")
+def _one_line(columns: str) -> str:
+    return " ".join(columns.split())
 
-STORED: dict[str, T.StructType] = {
-    "metric_samples": _sample(a_S="context metric_name metric_help metric_type", b_D="value", c_M="labels"),
-    "sql_samples": _sample(
-        a_L="inst_id", b_S="sql_id", c_L="child_number plan_hash_value", d_S="parsing_schema_name module",
-        e_L="executions elapsed_time_micro cpu_time_micro user_io_wait_micro application_wait_micro "
-            "concurrency_wait_micro cluster_wait_micro buffer_gets disk_reads direct_writes rows_processed "
-            "fetches loads invalidations parse_calls",
-        f_T="last_active_time"),
-    "session_samples": _sample(
-        a_L="inst_id sid serial_number", b_S="username status sql_id", c_L="sql_child_number",
-        d_S="prev_sql_id event wait_class state", e_L="seconds_in_wait blocking_instance blocking_session",
-        f_S="machine program module action service_name", g_T="logon_time"),
-    "blocking_session_samples": _sample(
-        a_L="inst_id sid serial_number", b_S="username sql_id event wait_class",
-        c_L="blocking_instance blocking_session", d_S="blocking_username blocking_sql_id blocking_event"),
-    "database_activity_samples": _sample(
-        a_L="sample_id", b_T="sample_time", c_L="inst_id session_id session_serial_number", d_S="session_type",
-        e_L="user_id", f_S="sql_id", g_L="sql_child_number sql_exec_id", h_T="sql_exec_start",
-        i_S="top_level_sql_id session_state event wait_class",
-        j_L="wait_time_micro time_waited_micro blocking_session blocking_session_serial_number blocking_inst_id "
-            "current_object_id current_file_number current_block_number",
-        k_S="program module action machine", l_L="pga_allocated temp_space_allocated con_id",
-        m_S="sample_source",
-        n_L="sample_duration_micro sql_plan_hash_value sql_full_plan_hash_value sql_plan_line_id service_hash",
-        o_S="service_name client_identifier"),
-    "database_status_samples": _sample(
-        a_L="inst_id", b_S="instance_name instance_status database_status", c_T="startup_time",
-        d_S="open_mode database_role cdb", e_L="con_id", f_S="con_name platform_name", g_L="dbid",
-        h_S="db_unique_name database_product database_edition database_version database_version_full "
-            "protection_mode protection_level"),
-    "instance_samples": _sample(
-        a_L="inst_id user_sessions active_user_sessions background_sessions process_count cpu_count sga_max_bytes "
-            "pga_aggregate_limit sga_allocated_bytes pga_allocated_bytes pga_max_allocated_bytes"),
-    "resource_limit_samples": _sample(
-        a_L="inst_id", b_S="resource_name", c_L="current_value max_value initial_limit limit_value",
-        d_B="limit_unlimited"),
-    "tablespace_samples": _sample(
-        a_S="tablespace_name contents", b_L="used_bytes free_bytes max_bytes", c_D="used_percent",
-        d_L="allocated_bytes"),
-    "asm_diskgroup_samples": _sample(
-        a_L="inst_id", b_S="diskgroup_name", c_L="total_bytes free_bytes usable_bytes"),
-    "system_counter_samples": _sample(
-        a_L="inst_id con_id", b_S="stat_name", c_L="cumulative_value delta_value", d_D="interval_seconds",
-        e_B="counter_reset"),
-    "wait_class_samples": _sample(
-        a_L="inst_id con_id", b_S="wait_class", c_L="cumulative_wait_micro delta_wait_micro",
-        d_D="interval_seconds", e_B="counter_reset"),
-    "system_metric_samples": _sample(a_L="inst_id con_id", b_S="metric_name", c_D="value", d_S="unit"),
-    "dataguard_destination_samples": _sample(
-        a_L="inst_id dest_id",
-        b_S="destination_name target destination status transmit_mode affirm valid_now db_unique_name "
-            "destination_type database_mode recovery_mode protection_mode synchronized synchronization_status "
-            "gap_status",
-        c_L="archived_thread archived_sequence applied_thread applied_sequence applied_scn", d_S="error_message"),
-    "dataguard_lag_samples": _sample(
-        a_S="database_role",
-        b_D="transport_lag_seconds apply_lag_seconds apply_finish_time_seconds estimated_startup_seconds",
-        c_S="time_computed datum_time", d_D="datum_age_seconds"),
-    "dataguard_process_samples": _sample(
-        a_L="inst_id", b_S="database_role", c_L="apply_processes transport_processes", d_S="apply_status",
-        e_L="thread_number sequence_number"),
-    "scrape_status": _sample(**_STATUS),
-    "latest_scrape_status": _sample(**_STATUS),
-    "runtime_samples": layout(**_RUNTIME),
-    "latest_runtime_status": layout(**_RUNTIME),
-    "database_connection_state": layout(
-        a_S="source_database", b_T="observed_at", c_S="state", d_T="queued_at last_failure_at", e_S="last_failure",
-        f_T="last_probe_at", g_D="last_probe_duration_seconds", h_S="last_probe_error", i_L="probe_attempts",
-        j_T="recovered_at", k_S="scraper_instance"),
-    "sql_texts": layout(
-        a_S="source_database sql_id sql_fulltext", b_T="first_seen_at last_text_seen_at last_referenced_at"),
-    "sql_cursor_metadata": layout(
-        a_S="source_database", b_L="inst_id", c_S="sql_id", d_L="child_number plan_hash_value",
-        e_S="parsing_schema_name module", f_T="first_seen_at last_seen_at"),
-    "sql_plans": layout(
-        a_S="source_database", b_L="inst_id", c_S="sql_id",
-        d_L="child_number plan_hash_value plan_line_id parent_id depth position",
-        e_S="operation options object_owner object_name object_type optimizer",
-        f_L="cost cardinality bytes cpu_cost io_cost temp_space",
-        g_S="partition_start partition_stop access_predicates filter_predicates",
-        h_T="first_seen_at last_seen_at last_referenced_at"),
-    "repository_daily_ingest": layout(
-        a_T="sample_day", b_S="source_database",
-        c_L="additional_metric_rows sql_sample_rows sql_text_writes sql_cursor_metadata_writes "
-            "sql_plan_operation_writes session_sample_rows blocking_session_sample_rows "
-            "database_activity_sample_rows database_status_sample_rows instance_sample_rows "
-            "resource_limit_sample_rows tablespace_sample_rows asm_diskgroup_sample_rows "
-            "system_counter_sample_rows wait_class_sample_rows system_metric_sample_rows "
-            "dataguard_destination_rows dataguard_lag_rows dataguard_process_rows scrape_status_rows",
-        d_T="first_sample_at last_sample_at last_sql_sample_at last_session_sample_at "
-            "last_database_activity_sample_at last_flushed_at"),
+
+RAW: dict[str, T.StructType] = {
+    name: layout(f"source_database string, collected_at timestamp, {_one_line(columns)}, seq bigint") for name, columns in _VIEWS.items()
 }
+STORED: dict[str, T.StructType] = {name: layout(_one_line(columns)) for name, columns in _TABLES.items()}
 
 # Column that gives the day partition of an append table.
 EVENT_TIME = {
