@@ -79,15 +79,39 @@ def counter_delta_keyed(fx):
 
 @query("st_3_consumer_delta", series._CONSUMER)
 def consumer_delta(fx):
-    # Snapshots are aggregated from events, so they land as files first: one batch per file.
-    root = scratch_dir(fx.spark, "consumers")
-    fx.sqlstats.write.parquet(f"{root}/landed")
-    stream = jobs.read_landed(fx.spark, f"{root}/landed", fx.sqlstats.schema)
-    _wait(jobs.stream_consumers(stream, root, f"{root}/_checkpoint"))
-    return sinks.read_table(fx.spark, root, "consumer_deltas").select(
+    return jobs.consumer_deltas(fx.spark, _consumers(fx, "consumers")).select(
         "collected_at", "source_database", "inst_id", "sql_id", "plan_hash_value", *series._COUNTERS)
 
 
+def _consumers(fx, name, **options):
+    """Snapshots aggregated from events land in four files by plan, so that every batch splits every snapshot."""
+    root = scratch_dir(fx.spark, name)
+    fx.sqlstats.repartition(4, "plan_hash_value").write.parquet(f"{root}/landed")
+    stream = jobs.read_landed(fx.spark, f"{root}/landed", fx.sqlstats.schema, maxFilesPerTrigger=1)
+    _wait(jobs.stream_consumers(stream, root, f"{root}/_checkpoint", **options))
+    return root
+
+
+@query("st_3_top_consumers", f"""
+with d as ({series._CONSUMER}), tk as (
+  select distinct source_database, collected_at as taken_at from {{fx_sqlstats}} where hour(collected_at) % 8 = 0
+), totals as (
+  select d.source_database, (select min(taken_at) from tk where tk.source_database = d.source_database and taken_at >= d.collected_at) as taken_at, sql_id,
+    {', '.join(f'cast(sum({c}) as bigint) as {c}' for c in series._COUNTERS)}
+  from d group by 1, 2, 3
+)
+select * from (
+  select *, row_number() over (partition by source_database, taken_at order by elapsed_time_micro desc, cpu_time_micro desc,
+    user_io_wait_micro desc, sql_id) as rank
+  from totals where elapsed_time_micro > 0 and taken_at is not null) r
+where rank <= 3""")
+def top_consumers(fx):
+    takes = lambda spark: fx.sqlstats.where("hour(collected_at) % 8 = 0").select("source_database", "collected_at")
+    complete = lambda spark: fx.sqlstats.select("source_database", "collected_at").distinct()
+    root = _consumers(fx, "takes", takes=takes, complete=complete, n=3)
+    return jobs.top_consumers(fx.spark, root).drop("batch_id", "revision", "day")
+
+
 @query("st_4_latest_status", """
 select source_database, collector, collected_at, success, duration_seconds, sample_count, error_message from {fx_latest_status}""")
 def latest_status(fx):

@@ -51,10 +51,9 @@ def dedupe_insert(existing: DataFrame | None, incoming: DataFrame, keys: Sequenc
     if existing is not None:
         stored = keyed(existing)
         if "day" in existing.columns:
-            # A scalar bound on the partition column prunes the stored days at run time.
-            days = incoming.select(F.to_date("sample_time").alias("day"))
-            first, last = days.agg(F.min("day")).scalar(), days.agg(F.max("day")).scalar()
-            stored = stored.where((F.col("day") >= first) & (F.col("day") <= last))
+            # A join on the partition column prunes the stored days at run time; a batch touches few days.
+            days = incoming.select(F.to_date("sample_time").alias("day")).distinct()
+            stored = stored.join(days, "day", "left_semi")
         fresh = fresh.join(stored.select(*names), names, "left_anti")
     return fresh.select(*incoming.columns)
 

@@ -257,6 +257,10 @@ EVENT_TIME = {
     "database_activity_samples": "sample_time",
     "runtime_samples": "observed_at",
     "repository_daily_ingest": "sample_day",
+    "consumer_snapshots": "collected_at",
+    "consumer_deltas": "collected_at",
+    "top_consumers": "taken_at",
+    "kept_ticks": "collected_at",
 }
 # Values older partitions get for columns they lack.
 DEFAULTS = {"database_activity_samples": {"sample_source": "LEGACY", "sample_duration_micro": 2_000_000},

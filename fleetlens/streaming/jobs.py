@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -29,7 +29,15 @@ def read_landed(spark: SparkSession, path: str, schema: T.StructType, fmt: str =
 
 def per_batch(stream: DataFrame, checkpoint: str, step, available_now: bool = True,
               processing_time: str | None = None) -> StreamingQuery:
-    writer = stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
+    """Run ``step`` on every micro-batch, which is computed once and kept while the step runs."""
+    def run(batch: DataFrame, batch_id: int) -> None:
+        batch.persist()
+        try:
+            step(batch, batch_id)
+        finally:
+            batch.unpersist()
+
+    writer = stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     return _trigger(writer, available_now, processing_time).start()
 
 
@@ -58,7 +66,8 @@ def stream_activity(stream: DataFrame, root: str, checkpoint: str, keys=merges.A
     """
     def step(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        stored = sinks.read_table(spark, root, "database_activity_samples")
+        days = [r[0] for r in batch.select(F.to_date("sample_time")).distinct().collect()]
+        stored = sinks.read_table(spark, root, "database_activity_samples", days)
         fresh = merges.dedupe_insert(stored, batch, keys, seq)
         sinks.commit_batch(spark, root, batch_id, {"database_activity_samples": fresh})
 
@@ -106,27 +115,112 @@ def stream_daily_ingest(stream: DataFrame, root: str, checkpoint: str, dataset:
     return per_batch(stream, checkpoint, step, **trigger)
 
 
-def stream_consumers(stream: DataFrame, root: str, checkpoint: str, keys=deltas.CONSUMER_KEYS,
-                     counters=deltas.CONSUMER_COUNTERS, **trigger) -> StreamingQuery:
-    """Consumer deltas of complete snapshots, appended batch by batch.
+SNAPSHOT = ["source_database", "collected_at"]
+
+
+def _newest(df: DataFrame | None, spark: SparkSession, schema: str, keys: Sequence[str]) -> DataFrame:
+    """Newest revision of every key."""
+    known = spark.createDataFrame([], schema) if df is None else df
+    return known.groupBy(*keys).agg(F.max("revision").alias("revision"))
+
+
+def _days(df: DataFrame, *columns: str) -> list:
+    """The distinct days of a few time columns; a batch touches few."""
+    every = F.array(*[F.to_date(c) for c in columns])
+    return [r[0] for r in df.select(F.explode(every).alias("day")).where("day is not null").distinct().collect()]
+
 
-    State is the last snapshot of every database; it joins the next batch as its baseline.
+def stream_consumers(stream: DataFrame, root: str, checkpoint: str, keys=deltas.CONSUMER_KEYS,
+                     counters=deltas.CONSUMER_COUNTERS, complete=None, takes=None, n: int = 20,
+                     **trigger) -> StreamingQuery:
+    """Consumer deltas of complete snapshots, and the top consumers of every take.
+
+    ``complete(spark)`` gives the complete snapshots (database, time), as scrape statuses name
+    them; a snapshot that it does not name yet is stored and waits.  Without it a snapshot counts
+    as it has arrived so far.  ``takes(spark)`` gives the takes (database, time).
+
+    A batch computes the snapshots that are new, became complete or got more rows, and the one
+    after each, whose baseline they may be; likewise the takes that these fall into.  Results carry
+    the batch as revision and replace older ones of the same snapshot or take: read them with
+    :func:`consumer_deltas` and :func:`top_consumers`.  Of the snapshots only the days in question
+    are read; the list of snapshots done has two narrow columns per snapshot.
     """
+    counters = [c for c in counters if c in stream.columns]
+
     def step(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        name = "consumer_snapshots"
-        stored = sinks.read_state(spark, root, name, batch.schema, before=batch_id)
-        rows = stored.withColumn("_stored", F.lit(True)).unionByName(batch.withColumn("_stored", F.lit(False)))
-        made = deltas.consumer_delta(rows, keys, counters)
-        # Deltas of stored snapshots were written before; as first of their database they give none.
-        sinks.commit_batch(spark, root, batch_id, {"consumer_deltas": made})
-        last = rows.groupBy("source_database").agg(F.max("collected_at").alias("collected_at"))
-        kept = rows.join(last, ["source_database", "collected_at"], "left_semi").drop("_stored")
-        sinks.write_state(spark, root, name, kept, batch_id)
+        done = _newest(sinks.read_table(spark, root, "consumer_done"), spark, "source_database string, collected_at timestamp, revision long", SNAPSHOT)
+        here = batch.select(*SNAPSHOT).distinct().withColumn("_here", F.lit(True))
+        known = complete(spark) if complete else here.unionByName(done, allowMissingColumns=True)
+        times = known.select(*SNAPSHOT).distinct().join(here, SNAPSHOT, "left").join(done, SNAPSHOT, "left")
+        fresh = F.col("revision").isNull() | F.col("_here").isNotNull()
+        order = Window.partitionBy("source_database").orderBy("collected_at")
+        todo = (times.withColumn("_fresh", fresh)
+                .withColumns({"_before": F.lag("collected_at").over(order), "_after_fresh": F.coalesce(F.lag("_fresh").over(order), F.lit(False))})
+                .where(F.col("_fresh") | F.col("_after_fresh")).select(*SNAPSHOT, "_before")).persist()
+        needed = todo.select(*SNAPSHOT).unionByName(todo.where("_before is not null").select("source_database", F.col("_before").alias("collected_at"))).distinct()
+        stored = sinks.read_table(spark, root, "consumer_snapshots", _days(todo, "collected_at", "_before"))
+        rows = batch if stored is None else batch.unionByName(stored.select(*batch.columns))
+        made = deltas.consumer_delta(rows.join(needed, SNAPSHOT, "left_semi"), keys, counters, snapshots=needed)
+        made = made.join(todo, SNAPSHOT, "left_semi").persist()
+        revision = F.lit(batch_id).cast("long").alias("revision")
+        tables = {
+            "consumer_snapshots": batch,
+            "consumer_deltas": made.select("*", revision),
+            "consumer_done": todo.select(*SNAPSHOT, revision),
+        }
+        if takes:
+            tables |= _retake(spark, root, done, todo, made, takes(spark), n, revision)
+        sinks.commit_batch(spark, root, batch_id, tables)
+        made.unpersist()
+        todo.unpersist()
 
     return per_batch(stream, checkpoint, step, **trigger)
 
 
+def _retake(spark, root, done, todo, made, takes, n, revision) -> dict[str, DataFrame]:
+    """Top consumers of the takes that are new or whose snapshots changed."""
+    order = Window.partitionBy("source_database").orderBy("taken_at")
+    spans = (takes.select("source_database", F.col("collected_at").alias("taken_at")).distinct()
+             .withColumn("_since", F.lag("taken_at").over(order)))
+    before = _newest(sinks.read_table(spark, root, "takes_done"), spark, "source_database string, taken_at timestamp, revision long", ["source_database", "taken_at"])
+    span_at = lambda t: (t <= F.col("taken_at")) & (F.col("_since").isNull() | (t > F.col("_since")))
+    changed = todo.select(F.col("source_database").alias("_db"), F.col("collected_at").alias("_at"))
+    hit = spans.join(changed, (F.col("source_database") == F.col("_db")) & span_at(F.col("_at")), "left_semi")
+    redo = hit.unionByName(spans.join(before, ["source_database", "taken_at"], "left_anti")).distinct().persist()
+    first, last = redo.agg(F.min("_since"), F.max("taken_at")).first()
+    whole = redo.where("_since is null").isEmpty()
+    kept = consumer_deltas(spark, root, done)
+    rows = made
+    if kept is not None:
+        if last is not None:
+            kept = kept.where(F.col("day") <= F.lit(last.date()))
+            kept = kept.where(F.col("day") >= F.lit(first.date())) if whole and first else kept
+        rows = made.unionByName(kept.join(todo, SNAPSHOT, "left_anti").select(*made.columns))
+    inside = rows.join(redo.withColumnRenamed("source_database", "_db"), (F.col("source_database") == F.col("_db")) & span_at(F.col("collected_at")), "left_semi")
+    top = deltas.top_consumers(inside, n=n, takes=spans.select("source_database", F.col("taken_at").alias("collected_at")))
+    keys = ["source_database", "taken_at"]
+    return {"top_consumers": top.join(redo, keys, "left_semi").select("*", revision), "takes_done": redo.select(*keys, revision)}
+
+
+def consumer_deltas(spark: SparkSession, root: str, done: DataFrame | None = None) -> DataFrame | None:
+    """The stored deltas in force: those of the newest revision of every snapshot."""
+    made = sinks.read_table(spark, root, "consumer_deltas")
+    if made is None:
+        return None
+    if done is None:
+        done = _newest(sinks.read_table(spark, root, "consumer_done"), spark, "", SNAPSHOT)
+    return made.join(done, [*SNAPSHOT, "revision"], "left_semi")
+
+
+def top_consumers(spark: SparkSession, root: str) -> DataFrame | None:
+    """The stored top consumers in force."""
+    made, keys = sinks.read_table(spark, root, "top_consumers"), ["source_database", "taken_at"]
+    if made is None:
+        return None
+    return made.join(_newest(sinks.read_table(spark, root, "takes_done"), spark, "", keys), [*keys, "revision"], "left_semi")
+
+
 def stream_counter_store(stream: DataFrame, root: str, checkpoint: str, keys=deltas.SERIES_KEYS,
                          ts: str = "collected_at", value: str = "cumulative_value", seq: str = "seq",
                          table: str = "system_counter_samples", **trigger) -> StreamingQuery:
@@ -207,7 +301,10 @@ def keyed_fold(stream: DataFrame, keys: Sequence[str], order: Sequence[str], col
         if group.hasTimedOut:
             group.remove()
             return
-        rows = pd.concat(list(batches), ignore_index=True).sort_values(order, kind="stable")
+        rows = pd.concat(list(batches), ignore_index=True)
+        for c in whole:
+            rows[c] = pd.Series([None if v is None else int(v) for v in rows[c]], dtype=object)
+        rows = rows.sort_values(order, kind="stable", na_position="first")
         value = group.get if group.exists else start
         made = []
         for row in rows[columns].itertuples(index=False, name=None):
@@ -218,10 +315,14 @@ def keyed_fold(stream: DataFrame, keys: Sequence[str], order: Sequence[str], col
         if timeout_ms is not None:
             group.setTimeoutDuration(timeout_ms)
         if made:
-            yield pd.DataFrame(made, columns=key_names + names)
+            yield pd.DataFrame({c: pd.Series(v, dtype=object) for c, v in zip(key_names + names, zip(*made))})
 
     wait = GroupStateTimeout.ProcessingTimeTimeout if timeout_ms is not None else GroupStateTimeout.NoTimeout
-    needed = stream.select(*dict.fromkeys([*key_names, *order, *columns]))
+    # Whole numbers travel as text: beside a NULL, pandas would turn them into floats and lose digits.
+    names_needed = list(dict.fromkeys([*key_names, *order, *columns]))
+    kinds = {f.name: f.dataType.simpleString() for f in stream.schema}
+    whole = [c for c in names_needed if c not in key_names and kinds[c] in ("bigint", "int", "smallint", "tinyint")]
+    needed = stream.select(*[F.col(c).cast("string").alias(c) if c in whole else F.col(c) for c in names_needed])
     return needed.groupBy(*key_names).applyInPandasWithState(run, f"{key_ddl}, {out}", state, "append", wait)
 
 
@@ -231,10 +332,14 @@ def stream_counter_delta(stream: DataFrame, keys=deltas.SERIES_KEYS, value: str
     rows = stream.withColumn("_at", F.unix_micros("collected_at"))
 
     def step(state, row):
-        at, seq_, now = int(row[0]), row[1], int(row[2])
+        at, seq_, now = row
         before, last = state
+        if at is None:
+            return state, (seq_, at, now, None, None, False)
         if before is None or at <= before:
             made = (seq_, at, now, None, None, False)
+        elif now is None or last is None:
+            made = (seq_, at, now, None, (at - before) / 1e6, False)
         elif now < last:
             made = (seq_, at, now, None, (at - before) / 1e6, True)
         else:
@@ -254,8 +359,9 @@ def stream_thin(stream: DataFrame, keys: Sequence[str], ts: str, interval: float
     gap = int(interval * 1_000_000) + (1 if strict else 0)
 
     def step(state, row):
-        at = int(row[0])
-        last = state[0]
+        at, last = row[0], state[0]
+        if at is None:
+            return state, None
         if last is not None and at < last + gap:
             return state, None
         return (at,), (at,)
@@ -271,7 +377,6 @@ def stream_connection_states(stream: DataFrame, seq: str = "seq") -> DataFrame:
 
     def step(state, row):
         at, seq_, kind, message, duration = row
-        at = int(at)
         duration = None if duration is None or duration != duration else float(duration)
         name, queued, failed, failure, probed, took, probe_error, attempts, recovered = state
         if kind == "probe_start":
@@ -308,10 +413,11 @@ def stream_backoff(stream: DataFrame, seq: str = "seq") -> DataFrame:
     rows = stream.withColumn("_at", F.unix_micros("collected_at"))
 
     def step(state, row):
-        at, seq_, success = int(row[0]), row[1], bool(row[2])
-        failures = 0 if success else state[0] + 1
+        at, seq_, success = row
+        # An unknown outcome is neither a success nor a failure.
+        failures = state[0] if success is None else 0 if success else state[0] + 1
         wait = min(60 * 2 ** min(failures - 1, 4), 900) if failures else 0
-        return (failures,), (seq_, at, failures, wait, None if success else at + wait * 1_000_000)
+        return (failures,), (seq_, at, failures, wait, at + wait * 1_000_000 if success is not None and not success else None)
 
     out = f"{seq} long, _at long, consecutive_failures long, backoff_seconds long, _retry long"
     folded = keyed_fold(rows, ["source_database"], ["_at", seq], ["_at", seq, "success"], out, "failures long",
@@ -328,8 +434,11 @@ def stream_pending(stream: DataFrame) -> DataFrame:
     rows = stream.withColumn("_at", F.unix_micros("evaluated_at"))
 
     def step(state, row):
-        at, breached, hold = int(row[0]), bool(row[1]), int(row[2])
-        since = (state[0] if state[0] is not None else at) if breached else None
+        at, breached, hold = row
+        if breached is None:
+            since = state[0]
+        else:
+            since = (state[0] if state[0] is not None else at) if breached else None
         firing = since is not None and at - since >= hold * 1_000_000
         return (since,), (at, breached, since, firing)
 

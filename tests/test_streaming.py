@@ -67,7 +67,7 @@ def test_thin_store_over_batches(spark, at, tmp_path):
         root = str(tmp_path / str(strict) / "store")
         jobs.stream_thin_store(stream, root, str(tmp_path / str(strict) / "cp"), ["source_database"], "collected_at", 7,
                                strict).awaitTermination()
-        same(sinks.read_table(spark, root, "kept_ticks").drop("batch_id"),
+        same(sinks.read_table(spark, root, "kept_ticks").drop("batch_id", "day"),
              timeline.thin(df, ["source_database"], "collected_at", 7, strict))
 
 
@@ -137,7 +137,63 @@ def test_consumer_delta_over_snapshots(spark, at, tmp_path):
     stream = land(spark, tmp_path, df, cuts, "collected_at")
     root = str(tmp_path / "store")
     jobs.stream_consumers(stream, root, str(tmp_path / "cp")).awaitTermination()
-    same(sinks.read_table(spark, root, "consumer_deltas").drop("batch_id"), deltas.consumer_delta(df))
+    same(jobs.consumer_deltas(spark, root).drop("batch_id", "day", "revision"), deltas.consumer_delta(df))
+
+
+def snapshots(spark, at, seed, n=9):
+    rng = random.Random(seed)
+    rows = [(db, 1, f"s{k}", 1, at(60 * t), rng.randrange(1000), rng.randrange(10), 0) for db in ("db", "other") for t in range(n) for k in range(6)
+            if rng.random() < 0.8]
+    rng.shuffle(rows)
+    return spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "source_database string, inst_id long, sql_id string, plan_hash_value long, "
+                                 "collected_at timestamp, elapsed_time_micro long, cpu_time_micro long, user_io_wait_micro long, arrival long")
+
+
+def test_split_and_late_snapshots_equal_the_batch_form(spark, at, tmp_path):
+    df = snapshots(spark, at, 5)
+    stream = land(spark, tmp_path, df, [20, 45, 60], "arrival").drop("arrival")
+    root = str(tmp_path / "store")
+    takes = spark.createDataFrame([("db", at(130)), ("db", at(400)), ("other", at(300))], "source_database string, collected_at timestamp")
+    jobs.stream_consumers(stream, root, str(tmp_path / "cp"), takes=lambda s: takes, n=3).awaitTermination()
+    whole = deltas.consumer_delta(df.drop("arrival"))
+    same(jobs.consumer_deltas(spark, root).drop("batch_id", "day", "revision"), whole)
+    same(jobs.top_consumers(spark, root).drop("batch_id", "day", "revision"), deltas.top_consumers(whole, n=3, takes=takes))
+
+
+def test_incomplete_snapshots_wait(spark, at, tmp_path):
+    df = snapshots(spark, at, 6)
+    stream = land(spark, tmp_path, df, [30, 60], "arrival").drop("arrival")
+    root, named = str(tmp_path / "store"), df.where(F.col("collected_at") < F.lit(at(300))).select("source_database", "collected_at").distinct()
+    jobs.stream_consumers(stream, root, str(tmp_path / "cp"), complete=lambda s: named).awaitTermination()
+    same(jobs.consumer_deltas(spark, root).drop("batch_id", "day", "revision"), deltas.consumer_delta(df.where(F.col("collected_at") < F.lit(at(300))).drop("arrival")))
+
+
+def test_keyed_folds_keep_nulls_and_large_numbers(spark, at, tmp_path):
+    big = 2**60 + 1
+    rows = [("a", 1, 0, "s", at(t), t, v) for t, v in enumerate([big, None, big + 2, big + 5, 3, None])]
+    df = spark.createDataFrame(rows, "source_database string, inst_id long, con_id long, stat_name string, collected_at timestamp, seq long, cumulative_value long")
+    stream = land(spark, tmp_path, df, [2, 4], "seq")
+    got = files(spark, tmp_path, jobs.stream_counter_delta(stream))
+    same(got, deltas.counter_delta(df))
+    assert got.where("seq = 3").first().delta_value == 3
+    outcomes = stream.select("source_database", "collected_at", "seq", F.when(F.col("seq") != 2, F.col("seq") == 4).alias("success"))
+    states = files(spark, tmp_path, jobs.stream_backoff(outcomes), "outcomes").orderBy("seq").collect()
+    assert [r.consecutive_failures for r in states] == [1, 2, 2, 3, 0, 1]
+
+
+def test_reads_do_not_grow_with_the_batches(spark, at, tmp_path):
+    root, schema = str(tmp_path / "store"), "source_database string, collected_at timestamp, v long"
+    listed = []
+    for i in range(40):
+        sinks.commit_batch(spark, root, i, {"scrape_status": spark.createDataFrame([("a", at(i), i)], schema).coalesce(1)})
+        listed.append(len(sinks.manifest(spark, root)[1]["tables"]["scrape_status"]["parts"]))
+    stored = sinks.read_table(spark, root, "scrape_status")
+    assert stored.count() == 40 and max(listed) <= sinks.MOST_FOLDERS + 1 and len(stored.inputFiles()) <= 2 * sinks.MOST_FOLDERS
+    assert len(sinks.versions(spark, f"{root}/{sinks.MANIFESTS}")) <= sinks.KEPT_VERSIONS
+    assert not sinks.commit_batch(spark, root, 7, {}) and sinks.read_table(spark, root, "scrape_status", []).count() == 0
+    assert sinks.expire(spark, root, "scrape_status", at(86400 * 2)) and sinks.read_table(spark, root, "scrape_status").count() == 40
+    sinks.expire(spark, root, "scrape_status", at(86400 * 2), dry_run=False)
+    assert sinks.read_table(spark, root, "scrape_status").count() == 0
 
 
 def test_plan_cache_fetches_a_plan_again_after_it_left(spark, tmp_path):
