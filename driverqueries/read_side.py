@@ -150,6 +150,20 @@ def capacity_risks(fx):
         fx.tablespace, views.with_used_percent(fx.limit), views.with_used_percent(fx.diskgroup))
 
 
+_LATEST_CAPACITY = (_CAPACITY.replace("{fx_tablespace}", f"({_LATEST_TS}) t").replace("from {fx_limit}", f"from ({_LATEST_LIMIT}) m")
+                    .replace("from {fx_diskgroup}", f"from ({_LATEST_DG}) x"))
+
+
+@query("d_3_latest_capacity_risks", f"""
+with thresholds(category, watched_from, alert_threshold) as (
+  values ('Tablespace maximum', 80.0::double, 90.0::double), ('Tablespace allocation', 85.0, 95.0), ('Resource limit', 75.0, 85.0), ('ASM diskgroup', 80.0, 90.0))
+select category, object_name, count(*) as n, max(share > alert_threshold) as alerting
+from ({_LATEST_CAPACITY}) c join thresholds using (category) where share >= watched_from group by 1, 2""")
+def latest_capacity_risks(fx):
+    risks = dashboards.capacity_risks(_view(fx, "latest_tablespace_samples"), _view(fx, "latest_resource_limit_samples"), _view(fx, "latest_asm_diskgroup_samples"))
+    return risks.groupBy("category", "object_name").agg(F.count("*").alias("n"), F.max(F.col("state") == "ALERT THRESHOLD").alias("alerting"))
+
+
 _STATE_STATUS = """
 select source_database, 'operational.database_status' as collector, max(collected_at) as collected_at from {fx_instance} group by 1"""
 
@@ -262,6 +276,50 @@ def diskgroup_pressure(fx):
     return _values(fx, "A-5", tables, fx.as_of, "source_database", "diskgroup_name")
 
 
+@query("a_3_latest_tablespace_pressure", f"select source_database, tablespace_name, used_percent as value from ({_LATEST_TS}) t")
+def latest_tablespace_pressure(fx):
+    return _values(fx, "A-3", {"latest_tablespace_samples": _view(fx, "latest_tablespace_samples")}, fx.as_of, "source_database", "tablespace_name")
+
+
+@query("a_4_latest_resource_pressure", f"""
+select source_database, resource_name, cast(inst_id as string) as inst_id, used_percent as value from ({_LATEST_LIMIT}) l where not limit_unlimited and limit_value > 0""")
+def latest_resource_pressure(fx):
+    return _values(fx, "A-4", {"latest_resource_limit_samples": _view(fx, "latest_resource_limit_samples")}, fx.as_of, "source_database", "resource_name", "inst_id")
+
+
+@query("a_5_latest_diskgroup_pressure", f"""
+select diskgroup_name, used_percent as value, count(*) as n from (
+  select diskgroup_name, used_percent from ({_LATEST_DG}) g group by diskgroup_name, inst_id, total_bytes, free_bytes, usable_bytes, used_percent) x group by 1, 2""")
+def latest_diskgroup_pressure(fx):
+    rows = _values(fx, "A-5", {"latest_asm_diskgroup_samples": _view(fx, "latest_asm_diskgroup_samples")}, fx.as_of, "diskgroup_name")
+    return rows.groupBy("diskgroup_name", "value").agg(F.count("*").alias("n"))
+
+
+def _from_latest(fx, name, text):
+    view = f"latest_{name}"
+    return {view: views.latest_view(view, {name: _from_orders(fx, text), "latest_scrape_status": fx.capacity_status}, fx.as_of_orders)}
+
+
+@query("a_13_latest_destination_health", f"""
+select source_database, cast(inst_id as string) as inst_id, cast(dest_id as string) as dest_id,
+  if(list_contains(['ERROR', 'DISABLED', 'BAD PARAM', 'FULL'], upper(status)) or length(error_message) > 0 or gap_status <> 'NO GAP', 1.0, 0.0)::double as value
+from ({_latest(f"({_DEST})", 'operational.dataguard')}) d""")
+def latest_destination_health(fx):
+    return _values(fx, "A-13", _from_latest(fx, "dataguard_destination_samples", _DEST), fx.as_of, "source_database", "inst_id", "dest_id")
+
+
+@query("a_14_latest_replication_delay", f"""
+select source_database, greatest(transport_lag_seconds, apply_lag_seconds, datum_age_seconds, 0) as value from ({_latest(f"({_LAGS})", 'operational.dataguard')}) l""")
+def latest_replication_delay(fx):
+    return _values(fx, "A-14", _from_latest(fx, "dataguard_lag_samples", _LAGS), fx.as_of, "source_database")
+
+
+@query("a_15_latest_apply_stopped", f"""
+select source_database, if(bool_or(apply_processes > 0), 0.0, 1.0)::double as value from ({_latest(f"({_PROCS})", 'operational.dataguard')}) p group by 1""")
+def latest_apply_stopped(fx):
+    return _values(fx, "A-15", _from_latest(fx, "dataguard_process_samples", _PROCS), fx.as_of, "source_database")
+
+
 def _ingest_tables(fx):
     daily = accounting.daily_ingest(_datasets(fx)).withColumn("last_flushed_at", F.col("last_sample_at"))
     return {"latest_scrape_status": fx.latest_status, "repository_daily_ingest": daily}
@@ -440,7 +498,7 @@ def pending_alerts(fx):
         "last_evaluated_at", "firing")
 
 
-@query("a_16_evaluate_rules", """
+_EVALUATED = """
 with rules(rule_id, threshold, hold, no_data) as (
   select event_type, avg(value), case when event_type = 'error' then 3600 else 10800 end, 'OK' from {events} group by 1, 3, 4
   union all select concat('silent_', r_name), 1.0, 60, case when r_regionkey % 2 = 0 then 'Alerting' else 'OK' end from {region}
@@ -460,8 +518,24 @@ select c.rule_id, concat('{{"source_database":"', c.source_database, '"}}') as l
   case when c.breached then p.since end as pending_since, c.breached and coalesce(p.firing, false) as firing, cast(null as string) as no_data_state
 from cur c left join pend p on p.rule_id = c.rule_id and p.source_database = c.source_database
 union all
-select rule_id, null, null, false, null, no_data = 'Alerting', no_data from rules where rule_id not in (select rule_id from cur)""")
+select rule_id, null, null, false, null, no_data = 'Alerting', no_data from rules where rule_id not in (select rule_id from cur)"""
+
+
+@query("a_16_evaluate_rules", _EVALUATED)
 def evaluate_rules(fx):
+    rules, values, earlier = _evaluation(fx)
+    return alerts.evaluate_rules(values, rules, fx.as_of, earlier).drop("severity")
+
+
+@query("a_16_evaluate_from_state", _EVALUATED)
+def evaluate_from_state(fx):
+    rules, values, earlier = _evaluation(fx)
+    state = alerts.pending(alerts.breaches(earlier, rules), fx.as_of)
+    return alerts.evaluate_step(values, rules, state)[0].drop("severity")
+
+
+def _evaluation(fx):
+    """Rules, the newest values and the evaluations before."""
     rules = fx.events.groupBy(F.col("event_type").alias("rule_id")).agg(F.avg("value").alias("threshold")).select(
         "rule_id", "threshold", F.when(F.col("rule_id") == "error", 3600).otherwise(10800).cast("long").alias("hold_seconds"),
         F.lit("OK").alias("no_data"), F.lit("warning").alias("severity"))
@@ -472,8 +546,7 @@ def evaluate_rules(fx):
         "rule_id", F.create_map(F.lit("source_database"), F.col("source_database")).alias("labels"), "value", "as_of")
     last = history.agg(F.max("as_of")).scalar()
     values = history.withColumn("_last", last).where(F.col("as_of") == F.col("_last")).drop("_last")
-    return alerts.evaluate_rules(values, rules.unionByName(silent), fx.as_of, history.withColumn("_last", last).where(
-        F.col("as_of") < F.col("_last")).drop("_last")).drop("severity")
+    return rules.unionByName(silent), values, history.withColumn("_last", last).where(F.col("as_of") < F.col("_last")).drop("_last")
 
 
 # --- documented joins --------------------------------------------------------------------

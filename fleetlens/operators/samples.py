@@ -504,6 +504,10 @@ def replication_lag(stats: DataFrame, roles: DataFrame | None = None, strict: bo
 
 # --- lists, percentiles, queues, segments ------------------------------------
 
+#: Equal parts of a percentile's bracket that are counted before values are ranked.
+BRACKET_PARTS = 4096
+
+
 def distinct_list(c: Column) -> Column:
     """Sorted distinct non-null values joined by a comma; NULL when there are none."""
     return F.nullif(F.array_join(F.array_sort(F.collect_set(c)), ", "), F.lit(""))
@@ -529,9 +533,9 @@ def percentiles(df: DataFrame, by: Sequence[str], column: str, ps: dict[str, flo
                 accuracy: int = 10_000) -> DataFrame:
     """Exact discrete percentiles per group: ``ps`` maps output name to fraction.
 
-    A quantile sketch of fixed size brackets every percentile, the rows below the
-    bracket are only counted, and just the values inside it are ranked.  No task
-    has to hold the values of a whole group.
+    A quantile sketch of fixed size brackets every percentile and the rows below the
+    bracket are only counted.  The bracket is cut into equal parts that are counted as
+    well; just the distinct values of the part that holds the percentile are ranked.
     """
     if not by:
         return percentiles(df.withColumn("_all", F.lit(1)), ["_all"], column, ps, accuracy).drop("_all")
@@ -555,16 +559,21 @@ def percentiles(df: DataFrame, by: Sequence[str], column: str, ps: dict[str, flo
         ])).alias("_b"),
     ).select(*by, "_b.*")
     joined = values.join(brackets, by)
-    # Values below the bracket collapse to one row per percentile before the shuffle.
+    # Values below the bracket collapse to one row per percentile before the shuffle; they are part -1.
+    low, high, value = (F.col(c).cast("double") for c in ("_lo", "_hi", "_v"))
+    part = F.when(F.col("_v") < F.col("_lo"), -1).otherwise(F.coalesce(F.width_bucket(value, low, high, F.lit(BRACKET_PARTS)), F.lit(0))).cast("long")
     collapsed = joined.where(F.col("_v") <= F.col("_hi")).groupBy(
-        *by, "_name", "_target", F.when(F.col("_v") >= F.col("_lo"), F.col("_v")).alias("_v")
+        *by, "_name", "_target", part.alias("_part"), F.when(F.col("_v") >= F.col("_lo"), F.col("_v")).alias("_v")
     ).agg(F.count(F.lit(1)).alias("_count"))
-    rank = Window.partitionBy(*by, "_name").orderBy(F.col("_v").asc_nulls_first()).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
-    )
+    upto = Window.partitionBy(*by, "_name").orderBy("_part").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    parts = collapsed.groupBy(*by, "_name", "_target", "_part").agg(F.sum("_count").alias("_in_part")).withColumn("_upto", F.sum("_in_part").over(upto))
+    chosen = parts.where((F.col("_upto") >= F.col("_target")) & (F.col("_upto") - F.col("_in_part") < F.col("_target"))).select(
+        *by, "_name", "_part", (F.col("_upto") - F.col("_in_part")).alias("_before"))
+    rank = Window.partitionBy(*by, "_name").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     reached = F.when(
         (F.col("_rank") >= F.col("_target")), F.struct(F.col("_v").isNotNull().alias("inside"), F.col("_v").alias("v")))
-    found = collapsed.withColumn("_rank", F.sum("_count").over(rank)).groupBy(*by).agg(
+    ranked = collapsed.join(chosen, [*by, "_name", "_part"]).withColumn("_rank", F.col("_before") + F.sum("_count").over(rank))
+    found = ranked.groupBy(*by).agg(
         *[F.min(F.when(F.col("_name") == n, reached)).alias(n) for n in names])
     # The sketch keeps its error bound, so the percentile lies inside; a miss must not pass unseen.
     missed = F.raise_error(F.lit("percentile outside its bracket")).cast(df.schema[column].dataType)

@@ -243,6 +243,41 @@ def pending(history: DataFrame, as_of: Column) -> DataFrame:
     ).withColumn("firing", held >= F.col("hold_seconds"))
 
 
+def evaluate_step(values: DataFrame, rules: DataFrame, state: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """The same as :func:`evaluate_rules` with the state after the evaluation before in place of a history.
+
+    State: rule_id, labels_key, pending_since of the label sets in breach; it grows with
+    those and not with time.  Returns the evaluation and the state after it.
+    """
+    keys = ["rule_id", "labels_key"]
+    current = breaches(values, rules).withColumn("labels_key", S.labels_json(F.col("labels")))
+    if state is None:
+        run = current.withColumn("_since", F.lit(None).cast("timestamp"))
+    else:
+        run = current.join(state.select(*keys, F.col("pending_since").alias("_since")), keys, "left")
+    run = run.withColumn("pending_since", F.when(F.col("breached"), F.coalesce("_since", "as_of")))
+    firing = F.coalesce(S.seconds_between(F.col("as_of"), F.col("pending_since")) >= F.col("hold_seconds"), F.lit(False))
+    found = run.select(
+        *keys, "value", "breached", "pending_since", (F.col("breached") & firing).alias("firing"),
+        F.lit(None).cast("string").alias("no_data_state"), "severity")
+    result = found.unionByName(_silent(values, rules))
+    # Label sets that were not evaluated now stay pending, as the last evaluation left them.
+    after = run.where("breached").select(*keys, "pending_since")
+    if state is not None:
+        after = after.unionByName(state.select(*keys, "pending_since").join(current.select(*keys), keys, "left_anti"))
+    return result, after
+
+
+def _silent(values: DataFrame, rules: DataFrame) -> DataFrame:
+    """One row in its no-data state for every rule without values."""
+    silent = rules.join(values.select("rule_id").distinct(), "rule_id", "left_anti")
+    return silent.select(
+        "rule_id", F.lit(None).cast("string").alias("labels_key"), F.lit(None).cast("double").alias("value"),
+        F.lit(False).alias("breached"), F.lit(None).cast("timestamp").alias("pending_since"),
+        (F.col("no_data") == "Alerting").alias("firing"), F.col("no_data").alias("no_data_state"), "severity",
+    )
+
+
 def evaluate_rules(values: DataFrame, rules: DataFrame, as_of: Column, history: DataFrame | None = None) -> DataFrame:
     """One row per rule and label set: value, breached, pending_since, firing.
 
@@ -261,10 +296,4 @@ def evaluate_rules(values: DataFrame, rules: DataFrame, as_of: Column, history:
         (F.col("breached") & F.coalesce("firing", F.lit(False))).alias("firing"),
         F.lit(None).cast("string").alias("no_data_state"), "severity",
     )
-    silent = rules.join(values.select("rule_id").distinct(), "rule_id", "left_anti")
-    no_data = silent.select(
-        "rule_id", F.lit(None).cast("string").alias("labels_key"), F.lit(None).cast("double").alias("value"),
-        F.lit(False).alias("breached"), F.lit(None).cast("timestamp").alias("pending_since"),
-        (F.col("no_data") == "Alerting").alias("firing"), F.col("no_data").alias("no_data_state"), "severity",
-    )
-    return found.unionByName(no_data)
+    return found.unionByName(_silent(values, rules))
