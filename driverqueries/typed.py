@@ -71,6 +71,23 @@ def incremental_watermarks(fx):
     return readers.incremental(fx.activity, _watermarks(fx), fx.as_of, 86_400, 864_000)[1]
 
 
+@query("src_4_marks_after_commit", """
+select sample_id, sample_time, source_database, session_id from {fx_activity} where poll = 1""")
+def marks_after_commit(fx):
+    from datetime import datetime
+
+    from fleetlens.plans.scheduled import ingest_activity
+    from fleetlens.session import scratch_dir
+    from fleetlens.sources import sinks
+
+    # the first half of the feed, its replay, then all of it: nothing is stored twice or left out
+    root = scratch_dir(fx.spark, "polls")
+    half = fx.activity.where("sample_time < timestamp '2024-01-15 00:00:00'")
+    for poll, feed in ((1, half), (1, fx.activity), (2, fx.activity)):
+        ingest_activity(fx.spark, feed, root, poll, datetime(2024, 1, 31), overlap=3600, initial=40 * 86_400)
+    return sinks.read_table(fx.spark, root, "database_activity_samples").select("sample_id", "sample_time", "source_database", "session_id")
+
+
 @query("src_5_new_log_rows", """
 with stored as (select source_database, max(originating_timestamp) as last_timestamp from {fx_log}
                 where message_text like 'signup%' and source_database <> 'db7' group by 1)
@@ -494,8 +511,7 @@ from {fx_ts_usage} u join {fx_ts} t using (source_database, collected_at, tables
 
 @query("j_9_permanent_tablespaces", _USAGE)
 def permanent_tablespaces(fx):
-    none = fx.temp.limit(0)
-    return samples.tablespace_usage(fx.ts, fx.ts_usage, none)
+    return samples.tablespace_usage(fx.ts, fx.ts_usage, fx.temp).where("contents <> 'TEMPORARY'")
 
 
 _UNION = f"""

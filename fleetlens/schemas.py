@@ -261,6 +261,7 @@ EVENT_TIME = {
     "consumer_deltas": "collected_at",
     "top_consumers": "taken_at",
     "kept_ticks": "collected_at",
+    "alert_evaluations": "evaluated_at",
 }
 # Values older partitions get for columns they lack.
 DEFAULTS = {"database_activity_samples": {"sample_source": "LEGACY", "sample_duration_micro": 2_000_000},

@@ -221,3 +221,20 @@ def test_backoff_and_pending_over_batches(spark, at, tmp_path):
     got = files(spark, tmp_path, jobs.stream_pending(rows), "pending").orderBy("evaluated_at").collect()
     assert [r.firing for r in got] == [False, False, True, False, False, False, True, True]
     assert got[-1].pending_since == at(4)
+
+
+def test_due_rules_keep_their_state(spark, at, tmp_path):
+    from fleetlens.plans import scheduled
+    from fleetlens.plans.alerts import Rule
+
+    root, rules = str(tmp_path / "alerts"), [Rule("A-2", "connectivity", 0, 120, "Alerting", "critical"), Rule("A-1", "age", 180, 60, "Alerting", "critical", 300)]
+    schema = "source_database string, collector string, collected_at timestamp, success boolean"
+    done = []
+    for i, ok in enumerate([False, False, False, True]):
+        status = spark.createDataFrame([("db", "connectivity", at(60 * i), ok), ("db", "scheduled", at(60 * i), True)], schema)
+        done.append(scheduled.evaluate_due(spark, {"latest_scrape_status": status}, root, i, at(60 * i), rules))
+    assert done == [["A-2", "A-1"], ["A-2"], ["A-2"], ["A-2"]]
+    got = sinks.read_table(spark, root, "alert_evaluations").where("rule_id = 'A-2'").orderBy("evaluated_at").collect()
+    assert [(r.breached, r.firing) for r in got] == [(True, False), (True, False), (True, True), (False, False)]
+    assert [r.pending_since for r in got] == [at(0), at(0), at(0), None]
+    assert sinks.read_state(spark, root, "pending_alerts", scheduled.PENDING).count() == 0
