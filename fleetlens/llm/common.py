@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fleetlens.session import scratch_dir
@@ -33,6 +33,15 @@ def tasks_for(spark: SparkSession, rows: int, per_task: int) -> int:
     return max(spark.sparkContext.defaultParallelism, -(-rows // per_task))
 
 
+def smallest(df: DataFrame, group: str, order: list[str], n: int, parts: int = 64) -> DataFrame:
+    """The ``n`` rows of every group that come first by ``order``: in parts of the group, then among the parts' rows."""
+    part = F.pmod(F.xxhash64(*order), F.lit(parts))
+    within = F.row_number().over(Window.partitionBy(group, "_part").orderBy(*order))
+    among = F.row_number().over(Window.partitionBy(group).orderBy(*order))
+    few = df.withColumn("_part", part).withColumn("_place", within).where(F.col("_place") <= n)
+    return few.withColumn("_place", among).where(F.col("_place") <= n).select(*df.columns)
+
+
 def connected(edges: DataFrame) -> DataFrame:
     """Connected components of undirected links.
 

@@ -18,9 +18,11 @@ import re
 
 import pandas as pd
 import zstandard
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fleetlens.llm.common import smallest
+
 #: Bound of the training sample: labelled texts per language, and characters taken of each.
 SAMPLE_TEXTS = 400
 SAMPLE_CHARS = 2000
@@ -49,10 +51,10 @@ def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", sample_te
     The driver receives languages x ``sample_texts`` x ``sample_chars`` characters at most.
     """
     rows = labelled.where(F.col(text).isNotNull() & F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}"))
-    order = Window.partitionBy("lang").orderBy("key")
-    chosen = (rows.select(F.col(lang).alias("lang"), F.xxhash64(F.col(text), F.lit(7)).alias("key"), F.substring(F.col(text), 1, sample_chars).alias("piece"))
-              .groupBy("lang", "key").agg(F.min("piece").alias("piece"))
-              .withColumn("place", F.row_number().over(order)).where(F.col("place") <= sample_texts))
+    keyed = rows.select(F.col(lang).alias("lang"), F.xxhash64(F.col(text), F.lit(7)).alias("key"), F.substring(F.col(text), 1, sample_chars).alias("piece"))
+    # languages x sample_texts keys at most, so they may be broadcast
+    keys = smallest(keyed.select("lang", "key").distinct(), "lang", ["key"], sample_texts)
+    chosen = keyed.join(F.broadcast(keys), ["lang", "key"]).groupBy("lang", "key").agg(F.min("piece").alias("piece"))
     pieces: dict[str, list[str]] = {}
     for row in chosen.orderBy("lang", "key").toLocalIterator():
         pieces.setdefault(row["lang"], []).append(letters(row["piece"]))
