@@ -158,10 +158,17 @@ def commit_batch(spark: SparkSession, root: str, batch_id: int, tables: dict[str
     content["batches"] = _with_batch(content["batches"], batch_id)
     _publish(spark, root, version + 1, content)
     for name in tables:
-        compact(spark, root, name)
+        if _crowded(content["tables"][name], MOST_FOLDERS):
+            compact(spark, root, name)
     return True
 
 
+def _crowded(table: dict, most_folders: int) -> list:
+    """Days (None: a table without days) that have more folders."""
+    count = Counter(day for _, day in table["parts"])
+    return [day for day, n in count.items() if n > most_folders]
+
+
 def read_table(spark: SparkSession, root: str, name: str, days: list[date] | None = None) -> DataFrame | None:
     """Rows of all published batches of a table, or of some of its days; None while the table is not there.
 
@@ -187,8 +194,7 @@ def compact(spark: SparkSession, root: str, name: str, most_folders: int = MOST_
     """
     version, content = manifest(spark, root)
     table = content["tables"][name]
-    count = Counter(d for _, d in table["parts"])
-    crowded = [d for d, n in count.items() if n > most_folders]
+    crowded = _crowded(table, most_folders)
     if not crowded:
         return False
     old = [p for p in table["parts"] if p[1] in crowded]
