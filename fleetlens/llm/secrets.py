@@ -20,9 +20,11 @@ import re
 from collections import Counter
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fleetlens.llm.common import smallest
+
 #: Bound of the training sample: distinct tokens per kind, chosen by hash, and characters of each.
 SAMPLE_TOKENS = 500
 SAMPLE_CHARS = 64
@@ -179,10 +181,9 @@ def labelled_tokens(text: Column) -> Column:
 
 def learn(docs: DataFrame, text: str = "text", sample_tokens: int = SAMPLE_TOKENS) -> dict[str, Automaton]:
     """Automata per kind from all documents' labelled tokens; at most ``sample_tokens`` distinct ones of each kind reach the driver."""
-    rows = (docs.select(F.explode(labelled_tokens(F.col(text))).alias("t"))
-            .select("t.kind", F.substring("t.value", 1, SAMPLE_CHARS).alias("value")).distinct()
-            .withColumn("place", F.row_number().over(Window.partitionBy("kind").orderBy(F.xxhash64("value"), "value")))
-            .where(F.col("place") <= sample_tokens).select("kind", "value").orderBy("kind", "value").collect())
+    tokens = (docs.select(F.explode(labelled_tokens(F.col(text))).alias("t"))
+              .select("t.kind", F.substring("t.value", 1, SAMPLE_CHARS).alias("value")).distinct().withColumn("key", F.xxhash64("value")))
+    rows = smallest(tokens, "kind", ["key", "value"], sample_tokens).orderBy("kind", "value").collect()
     samples: dict[str, list[str]] = {}
     for r in rows:
         samples.setdefault(r["kind"], []).append(symbols(r["value"]))
