@@ -35,6 +35,8 @@ MARKS = ("<|im_start|>", "<|im_sep|>", "<|im_end|>")
 LEARNED_ROLE = "assistant"
 #: A chunk is closed at the first turn that fills it to so many tokens.
 CHUNK_TOKENS = 16_384
+#: Chunks that are handed to Spark at once; a long one goes at once.
+BATCH_CHUNKS = 256
 
 CHUNKS = "conv_id bigint, chunk int, ids array<int>, loss array<boolean>"
 TURNS = "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint"
@@ -74,45 +76,56 @@ def formatted(turns: DataFrame, vocabulary: str = VOCABULARY, learned_role: str
     """
     ranks = read_vocabulary(vocabulary)
 
-    @F.pandas_udf("struct<role:array<int>,text:array<int>>")
-    def encode(roles: pd.Series, texts: pd.Series) -> pd.DataFrame:
+    @F.pandas_udf("binary")
+    def encode(texts: pd.Series) -> pd.Series:
         enc = tokenizer(ranks).encode_ordinary
-        return pd.DataFrame({"role": [enc(escape(r or "")) for r in roles], "text": [enc(escape(t or "")) for t in texts]})
+        return pd.Series([np.array(enc(escape(t or "")), np.int32).tobytes() for t in texts])
 
     first = len(ranks.splitlines())
     start, separator, end = range(first, first + 3)
     rows = turns.select(F.col("conv_id").cast("bigint").alias("conv_id"), "turn", F.coalesce("role", F.lit("")).alias("role"), F.xxhash64("text").alias("tie"),
-                        encode("role", "text").alias("ids"))
+                        encode("role").alias("role_ids"), encode("text").alias("text_ids"))
+    marks = [np.array([i], np.int32).tobytes() for i in (start, separator, end)]
 
     def assemble(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, size, chunk, conv, seen = [], 0, 0, None, False
+        ready: list[tuple] = []
 
-        def close() -> pd.DataFrame:
-            ids = np.concatenate([np.concatenate(([start], r, [separator], t, [end])) for r, t, _ in held]).astype(np.int32)
+        def close() -> None:
+            ids = np.frombuffer(b"".join(x for r, t, _ in held for x in (marks[0], r, marks[1], t, marks[2])), np.int32)
             steps = np.zeros(len(ids) + 1, np.int32)
             at = 0
             for r, t, learned in held:
-                begin = at + len(r) + 2
+                begin = at + len(r) // 4 + 2
+                at = begin + len(t) // 4 + 1
                 if learned:
                     steps[begin] += 1
-                    steps[begin + len(t)] -= 1
-                at = begin + len(t) + 1
-            return pd.DataFrame({"conv_id": pd.array([conv], "Int64"), "chunk": [chunk], "ids": [ids], "loss": [np.cumsum(steps)[:-1] > 0]})
+                    steps[at - 1] -= 1
+            ready.append((conv, chunk, ids, np.cumsum(steps)[:-1] > 0))
+
+        def out() -> pd.DataFrame:
+            frame = pd.DataFrame(ready, columns=["conv_id", "chunk", "ids", "loss"]).astype({"conv_id": "Int64"})
+            ready.clear()
+            return frame
 
         for batch in batches:
-            for c, role, ids in zip(batch["conv_id"], batch["role"], batch["ids"]):
+            for c, role, r, t in zip(batch["conv_id"], batch["role"], batch["role_ids"], batch["text_ids"]):
                 c = None if pd.isna(c) else int(c)
                 if held and (c != conv or size >= chunk_tokens):
-                    yield close()
+                    close()
                     held, size, chunk = [], 0, chunk + 1
+                    if len(ready[-1][2]) >= chunk_tokens or len(ready) >= BATCH_CHUNKS:
+                        yield out()
                 if not seen or c != conv:
                     conv, chunk, seen = c, 0, True
-                held.append((ids["role"], ids["text"], role == learned_role))
-                size += len(ids["role"]) + len(ids["text"]) + 3
+                held.append((r, t, role == learned_role))
+                size += (len(r) + len(t)) // 4 + 3
         if held:
-            yield close()
+            close()
+        if ready:
+            yield out()
 
-    return sorted_rows(rows, "turn", "role", "tie").select("conv_id", "role", "ids").mapInPandas(assemble, CHUNKS)
+    return sorted_rows(rows, "turn", "role", "tie").select("conv_id", "role", "role_ids", "text_ids").mapInPandas(assemble, CHUNKS)
 
 
 def read_back(chunks: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
