@@ -180,6 +180,16 @@ def row_ordinal(fx):
     return deltas.with_ordinal(rows, "at", "event_id", ["event_type"]).drop("at")
 
 
+@query("w_7_row_ordinal_one_hour", """
+with crowded as (
+  select event_id, case when event_id % 7 = 0 then null else timestamp '2024-01-01' + to_microseconds((event_id * 7919) % 3600000000) end as event_at from {events}
+)
+select event_id, event_at, row_number() over (order by event_at nulls first, event_id) as ordinal from crowded""")
+def row_ordinal_one_hour(fx):
+    at = F.when(F.col("event_id") % 7 != 0, F.timestamp_micros(F.unix_micros(F.lit("2024-01-01").cast("timestamp")) + (F.col("event_id") * 7919) % 3_600_000_000))
+    return deltas.with_ordinal(fx.events.select("event_id", at.alias("event_at")), "event_at", "event_id")
+
+
 def _thin_sql(source: str, keys: list[str], compare: str) -> str:
     names = ", ".join(keys)
     same = " and ".join(f"t.{k} = k.{k}" for k in keys)

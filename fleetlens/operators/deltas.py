@@ -8,9 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetlens.functions import scalars as S
-from fleetlens.operators.timeline import (
-    HOUR, newest_per_key, previous_values, running_total, since_reset,
-)
+from fleetlens.operators.numbering import numbered
+from fleetlens.operators.timeline import HOUR, newest_per_key, previous_values, since_reset
 
 # --- fixed values ---------------------------------------------------------
 SERIES_KEYS = ["source_database", "inst_id", "con_id", "stat_name"]
@@ -122,10 +121,9 @@ def missed_intervals(df: DataFrame, keys: Sequence[str], ts: str, interval: Colu
     ).drop(f"prev_{ts}")
 
 
-def with_ordinal(df: DataFrame, ts: str, seq: str, per: Sequence[str] = (), name: str = "ordinal",
-                 slot_seconds: float = HOUR) -> DataFrame:
-    """Row number by (ts, seq), numbered slot by slot so no task sees a whole group."""
-    return running_total(df, list(per), ts, F.lit(1).cast("long"), name, seq, slot_seconds)
+def with_ordinal(df: DataFrame, ts: str, seq: str, per: Sequence[str] = (), name: str = "ordinal") -> DataFrame:
+    """Row number by (ts, seq), numbered range by range so no task sees a whole group or a crowded moment."""
+    return numbered(df, [F.col(ts).asc_nulls_first(), F.col(seq).asc_nulls_first()], per, name)
 
 
 def failure_backoff(df: DataFrame, as_of: Column, keys: Sequence[str] = ("source_database",),
