@@ -1,4 +1,4 @@
-"""Queries of the ten operators over the given tables, and the SQL of those that SQL can express."""
+"""Queries of the operators over the given tables, and the SQL of those that SQL can express."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.llm import chat, decontaminate, language, neighbours, packing, secrets, simhash, substrings, url_filter, warc
+from fleetlens.llm import bpe, chat, decontaminate, language, neighbours, packing, secrets, simhash, structure, substrings, url_filter, warc
 from fleetlens.llm.common import stored, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -140,3 +140,88 @@ def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+#: CRC-32 of a decimal text in DuckDB: the table of the reflected polynomial from its rule, then byte by byte.
+CRC_TABLE = """select list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda c, k:
+    case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)) as t"""
+
+
+def crc_sql(text: str) -> str:
+    return f"""xor(list_reduce(list_prepend(4294967295::bigint, list_transform(string_split({text}, ''), lambda x: ord(x)::bigint)),
+    lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295)"""
+
+
+@query
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    found = structure.Repair(structure.damaged(turns)).summary().withColumnRenamed("conv_id", "c")
+    every = turns.select("conv_id").distinct()
+    counts = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
+    return every.join(found, F.col("conv_id").eqNullSafe(F.col("c")), "left").select(
+        "conv_id", *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in counts], F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
+def _step_sql(row: bool) -> str:
+    """Cheapest (cost, audit, lines) of each automaton state after one more row, and after inserts (``row`` false)."""
+    add = lambda p, cost, letter, line: f"case when {p} is not null then {{'cost': {p}.cost + {cost}, 'audit': {p}.audit || '{letter}', 'lines': {p}.lines || {line}}} end"
+    if not row:
+        return ", ".join(f"list_min([{', '.join([p] + [add(q, 3, 'I', chr(91) + repr(t) + chr(93)) for q, t in more])}]) as {p}" for p, more in
+                         (("p0", []), ("p1", []), ("p2", [("p0", "user:"), ("p1", "user:"), ("p3", "user:")]), ("p3", [("p2", "assistant:")])))
+    delete = lambda p: add(p, 4, "D", "[]::varchar[]")
+    keep = lambda p, i: f"case when not forced and initial = '{i}' then {add(p, 'extra', 'K', '[role || chr(58) || text]')} end"
+    given = lambda p, r: f"case when not forced then {add(p, '3 + extra', 'R', f'[{chr(39)}{r}:{chr(39)} || text]')} end"
+    user = [f(p, x) for p in ("p0", "p1", "p3") for f, x in ((keep, "u"), (given, "user"))]
+    ways = {"p0": [], "p1": [keep("p0", "s")], "p2": user, "p3": [keep("p2", "a"), given("p2", "assistant")]}
+    return ", ".join(f"list_min([{', '.join([delete(p), *more])}]) as {p}" for p, more in ways.items())
+
+
+CHECKS["op11_conversation_repair"] = f"""
+with recursive crc as ({CRC_TABLE}), hashed as (
+    select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+        {crc_sql("coalesce(cast(conv_id as varchar), ' ') || ':' || coalesce(cast(turn as varchar), ' ')")} % 20 as way from conversations, crc
+), damaged as (
+    select conv_id, turn, case when way = 4 then 'user' else role end as role,
+        case when way = 1 then '' when way = 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text,
+        unnest(range(case when way = 3 then 2 else 1 end)) as copy
+    from hashed where way <> 0
+), placed as (
+    select *, row_number() over (partition by conv_id order by turn nulls first, role, text) as n,
+        rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) as trimmed, left(role, 1) as initial
+    from damaged
+), judged as (
+    select *, case when trimmed = '' then 'blank' when row_number() over (partition by conv_id, role, text order by n) > 1 then 'duplicate'
+        when right(trimmed, 1) not in ('.', '!', '?') then 'truncated' end as fault,
+        lag(initial) over (partition by conv_id order by n) || initial as pair
+    from placed
+), rows as (
+    select conv_id, n, role, text, initial, coalesce(fault in ('blank', 'duplicate'), false) as forced, case when fault = 'truncated' then 3 else 0 end as extra from judged
+), steps as (
+    select conv_id, 0::bigint as n, {{'cost': 0, 'audit': '', 'lines': []::varchar[]}} as p0, null::struct(cost integer, audit varchar, lines varchar[]) as p1,
+        {{'cost': 3, 'audit': 'I', 'lines': ['user:']}} as p2, {{'cost': 6, 'audit': 'II', 'lines': ['user:', 'assistant:']}} as p3
+    from (select distinct conv_id from rows)
+    union all
+    select conv_id, n, {_step_sql(False)} from (
+        select conv_id, n, {_step_sql(False)} from (
+            select r.conv_id, r.n, {_step_sql(True)} from steps s join rows r on r.conv_id is not distinct from s.conv_id and r.n = s.n + 1))
+), best as (
+    select conv_id, arg_max(list_min([p0, p3]), n) as e from steps group by conv_id
+), counted as (
+    select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (fault = 'blank') as blank,
+        count(*) filter (fault = 'duplicate') as duplicate, count(*) filter (fault = 'truncated') as truncated,
+        count(*) filter (pair not in ('su', 'ua', 'au')) as illegal
+    from judged group by conv_id
+)
+select c.conv_id, coalesce(gaps, 0) as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate, coalesce(truncated, 0) as truncated,
+    coalesce(illegal, 0) as illegal, cast(coalesce(e.cost, 0) as bigint) as cost, coalesce(e.audit, '') as audit,
+    sha256(coalesce(array_to_string(e.lines, chr(10)), '')) as repaired_sha256
+from (select distinct conv_id from conversations) c
+left join counted d on c.conv_id is not distinct from d.conv_id left join best b on c.conv_id is not distinct from b.conv_id
+"""
+
+
+@query
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return bpe.digests(*bpe.encoded(docs)).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
