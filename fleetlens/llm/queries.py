@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.llm import bpe, chat, decontaminate, language, neighbours, packing, secrets, simhash, structure, substrings, url_filter, warc
+from fleetlens.llm import bpe, chat, decontaminate, language, neighbours, packing, secrets, simhash, structure, substrings, trie, url_filter, warc
 from fleetlens.llm.common import stored, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -225,3 +225,41 @@ left join counted d on c.conv_id is not distinct from d.conv_id left join best b
 def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return bpe.digests(*bpe.encoded(docs)).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
+@query
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return trie.ConversationTrie(*trie.rebuilt(turns)).expanded()
+
+
+CHECKS["op13_conversation_trie"] = f"""
+with crc as ({CRC_TABLE}), placed as (
+    select conv_id, coalesce(role, '') as role, coalesce(text, '') as text,
+        row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), coalesce(text, '')) as place
+    from conversations where conv_id is not null
+), plan as (
+    select conv_id, {crc_sql('cast(conv_id as varchar)')} % 9 as h, conv_id - conv_id % 5 as base, (select count(*) from placed p where p.conv_id = c.conv_id - c.conv_id % 5) as base_n
+    from (select distinct conv_id from placed) c, crc
+), turns as (
+    select n.conv_id, p.place as depth, p.role, p.text from plan n join placed p on p.conv_id = n.base and p.place <= n.h
+    union all
+    select n.conv_id, least(n.h, n.base_n) + p.place - n.h, p.role, p.text from plan n join placed p on p.conv_id = n.conv_id and p.place > n.h
+), prefixes as (
+    select conv_id, 0::bigint as depth, []::struct(r varchar, t varchar)[] as path, 0::bigint as bytes from plan
+    union all
+    select conv_id, depth, list({{'r': role, 't': text}}) over (partition by conv_id order by depth), strlen(text)::bigint from turns
+), nodes as (
+    select path, depth, min(conv_id) as conv_id, count(*) as n_convs, any_value(bytes) as bytes from prefixes group by path, depth
+), ends as (
+    select path, string_agg(cast(conv_id as varchar), ',' order by conv_id) as ids
+    from (select conv_id, arg_max(path, depth) as path from prefixes group by conv_id) group by path
+), linked as (
+    select n.*, p.conv_id as parent_conv_id, (select count(*) from nodes c where c.depth = n.depth + 1 and c.path[:n.depth] = n.path) as n_children
+    from nodes n left join nodes p on p.depth = n.depth - 1 and p.path = n.path[:n.depth - 1]
+)
+select a.conv_id, a.depth, a.parent_conv_id, a.n_convs, a.n_children, cast(count(*) filter (b.n_children = 0) as bigint) as n_leaves,
+    cast(sum((b.n_convs - 1) * b.bytes) as bigint) as saved_tokens, sha256(coalesce(any_value(e.ids), '')) as ends_sha256
+from linked a join linked b on b.depth >= a.depth and b.path[:a.depth] = a.path left join ends e on e.path = a.path
+group by a.path, a.conv_id, a.depth, a.parent_conv_id, a.n_convs, a.n_children
+"""
