@@ -25,7 +25,16 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_dir(spark, purpose)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    read = spark.read.schema(df.schema).parquet(path)
+    read.scratch_path = path
+    return read
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the folder of a ``stored`` frame, once all that was derived from it is stored itself."""
+    jvm = df.sparkSession._jvm
+    path = jvm.org.apache.hadoop.fs.Path(df.scratch_path)
+    path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def tasks_for(spark: SparkSession, rows: int, per_task: int) -> int:

@@ -5,7 +5,7 @@ import pytest
 
 import corpus_pipeline
 from driverqueries.check import compare, duck
-from fleetlens.llm import decontaminate, language, secrets, simhash
+from fleetlens.llm import decontaminate, language, near_copies, secrets
 from fleetlens.llm.queries import CHECKS, QUERIES
 from pyspark.sql import functions as F
 
@@ -35,11 +35,11 @@ def test_stages_take_effect(spark):
     assert identified.columns == columns and {r["doc_id"] for r in identified.collect()} == {i for i, rejected in told.items() if not rejected}
     single = steps["near_duplicates"](spark, identified, SF_DIR)
     texts = {r["doc_id"]: r["text"] for r in identified.collect()}
-    prints = {i: simhash.fingerprint_of(t) for i, t in texts.items()}
-    label = {i: i for i in prints}
-    for i in sorted(prints):
-        for j in sorted(prints):
-            if j < i and (prints[i] ^ prints[j]).bit_count() <= 4:
+    sets = {i: set(near_copies.shingles_of(t).tolist()) for i, t in texts.items()}
+    label = {i: i for i in sets}
+    for i in sorted(sets):
+        for j in sorted(sets):
+            if j < i and label[i] != label[j] and (len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])):
                 a, b = label[i], label[j]
                 label = {k: min(a, b) if v in (a, b) else v for k, v in label.items()}
     assert single.columns == columns and {r["doc_id"] for r in single.collect()} == set(label.values())
