@@ -14,9 +14,9 @@ train once; an empty table gives an empty result.
 
 from __future__ import annotations
 
-import re
 
 import pandas as pd
+import regex
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,7 +34,7 @@ LEVEL = 5
 LEAST_MARGIN = 0.01
 UNDETERMINED = "und"
 #: Characters other than letters, in runs.
-NOT_LETTERS = re.compile(r"[\W\d_]+")
+NOT_LETTERS = regex.compile(r"\P{L}+")
 
 RESULT = "struct<lang:string,score:double,rejected:boolean>"
 

@@ -141,3 +141,13 @@ def test_automaton_prefers_its_format():
     assert len(a.next) < 40 and len(b.next) < 40
     fresh = S.symbols("sk-" + "".join(rng.choice(HEX) for _ in range(20)))
     assert a.score(fresh) > b.score(fresh) + 10 and b.score(S.symbols("rememberednotions")) > a.score(S.symbols("rememberednotions"))
+
+
+def test_language_needs_a_letter(docs_of):
+    """Numerals and marks are no letters; ties go to one of the languages, long texts and a clashing column do no harm."""
+    rows = [(1, "½ ² Ⅷ ٣"), (2, "́̈ 123"), (3, ""), (4, None), (5, "Ünïcode is fine here"), (6, "und so weiter " * 40_000)]
+    content = {"de": b"der die das und so weiter oder nicht", "en": b"the and so on or not is fine here"}
+    docs = docs_of(rows).withColumn("language", F.lit("x"))
+    got = {r["doc_id"]: r["v"] for r in docs.select("doc_id", L.classify(F.col("text"), content).alias("v")).collect()}
+    assert all((got[i]["lang"], got[i]["score"]) == ("und", 0.0) for i in (1, 2, 3, 4))
+    assert got[6]["lang"] == "de" and got[5]["lang"] in content and 0 <= got[5]["score"] <= 1
