@@ -65,7 +65,21 @@ from ({series._DELTA}) d""")
 def counter_delta(fx):
     root = scratch_dir(fx.spark, "counter-store")
     _wait(jobs.stream_counter_store(_adapted(fx, "counter"), root, f"{root}/_checkpoint"))
-    return sinks.read_table(fx.spark, root, "system_counter_samples").select(
+    return jobs.counter_samples(fx.spark, root).select(
+        "source_database", "inst_id", "con_id", "stat_name", "seq", "collected_at", "cumulative_value", "delta_value",
+        "interval_seconds", "counter_reset")
+
+
+@query("st_2_late_readings", f"""
+select source_database, inst_id, con_id, stat_name, seq, collected_at, cumulative_value, delta_value, interval_seconds, counter_reset
+from ({series._DELTA}) d""")
+def late_readings(fx):
+    """Readings land by arrival number modulo three, so that two of three batches bring readings older than stored ones."""
+    root = scratch_dir(fx.spark, "counter-late")
+    fx.counter.withColumn("_file", F.col("seq") % 3).repartitionByRange(3, "_file").drop("_file").write.parquet(f"{root}/landed")
+    stream = jobs.read_landed(fx.spark, f"{root}/landed", fx.counter.schema, maxFilesPerTrigger=1)
+    _wait(jobs.stream_counter_store(stream, root, f"{root}/_checkpoint"))
+    return jobs.counter_samples(fx.spark, root).select(
         "source_database", "inst_id", "con_id", "stat_name", "seq", "collected_at", "cumulative_value", "delta_value",
         "interval_seconds", "counter_reset")
 
@@ -138,7 +152,17 @@ def thin_stream(fx):
     root = scratch_dir(fx.spark, "thin-store")
     _wait(jobs.stream_thin_store(_adapted(fx, "counter"), root, f"{root}/_checkpoint", ["source_database"],
                                  "collected_at", 3 * 3600))
-    return sinks.read_table(fx.spark, root, "kept_ticks").select("source_database", "collected_at")
+    return jobs.kept_ticks(fx.spark, root, ["source_database"])
+
+
+@query("st_6_thin_late", series._thin_sql("{fx_counter}", ["source_database"], ">="))
+def thin_late(fx):
+    """Readings land by arrival number modulo three, so that every batch brings ticks between those already thinned."""
+    root = scratch_dir(fx.spark, "thin-late")
+    fx.counter.withColumn("_file", F.col("seq") % 3).repartitionByRange(3, "_file").drop("_file").write.parquet(f"{root}/landed")
+    stream = jobs.read_landed(fx.spark, f"{root}/landed", fx.counter.schema, maxFilesPerTrigger=1)
+    _wait(jobs.stream_thin_store(stream, root, f"{root}/_checkpoint", ["source_database"], "collected_at", 3 * 3600))
+    return jobs.kept_ticks(fx.spark, root, ["source_database"])
 
 
 @query("st_6_thin_stream_keyed", series._thin_sql("{fx_counter}", ["source_database"], ">="))

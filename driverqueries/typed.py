@@ -574,11 +574,18 @@ def cross_database_append(fx):
 
 
 @query("j_10_destinations", """
-select source_database, collected_at, inst_id, dest_id, d.dest_name as destination_name, d.target, d.destination, d.status,
-  d.db_unique_name, d.error as error_message, s.type as destination_type, s.gap_status, s.archived_seq as archived_sequence, s.applied_seq as applied_sequence
-from (select * from {fx_dest} where coalesce(destination, db_unique_name) is not null) d
-left join {fx_dest_status} s using (source_database, collected_at, inst_id, dest_id)
-where case when d.target = 'STANDBY' then true else s.type is not null and not list_contains(['LOCAL', 'CROSS-INSTANCE'], upper(s.type)) end""")
+with remote as (
+  select source_database, collected_at, inst_id, dest_id from {fx_dest} where target = 'STANDBY'
+  union
+  select source_database, collected_at, inst_id, dest_id from {fx_dest_status} where upper(type) not in ('LOCAL', 'CROSS-INSTANCE')
+), reachable as (
+  select * exclude (error, dest_name), error as error_message, dest_name as destination_name from {fx_dest}
+  where destination is not null or db_unique_name is not null
+)
+select source_database, collected_at, inst_id, dest_id, r.destination_name, r.target, r.destination, r.status, r.db_unique_name, r.error_message,
+  s.type as destination_type, s.gap_status, s.archived_seq as archived_sequence, s.applied_seq as applied_sequence
+from remote join reachable r using (source_database, collected_at, inst_id, dest_id)
+left join {fx_dest_status} s using (source_database, collected_at, inst_id, dest_id)""")
 def destinations(fx):
     return samples.destinations(fx.dest, fx.dest_status)
 

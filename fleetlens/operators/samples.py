@@ -533,9 +533,9 @@ def percentiles(df: DataFrame, by: Sequence[str], column: str, ps: dict[str, flo
                 accuracy: int = 10_000) -> DataFrame:
     """Exact discrete percentiles per group: ``ps`` maps output name to fraction.
 
-    A quantile sketch of fixed size brackets every percentile and the rows below the
-    bracket are only counted.  The bracket is cut into equal parts that are counted as
-    well; just the distinct values of the part that holds the percentile are ranked.
+    A quantile sketch of fixed size brackets every percentile.  The bracket is cut into equal parts,
+    and all rows are counted by part, those below and above it included; the distinct values of the
+    one part that holds the percentile are ranked.  A sketch that errs makes that part larger, not wrong.
     """
     if not by:
         return percentiles(df.withColumn("_all", F.lit(1)), ["_all"], column, ps, accuracy).drop("_all")
@@ -558,27 +558,18 @@ def percentiles(df: DataFrame, by: Sequence[str], column: str, ps: dict[str, flo
             ) for i, (name, p) in enumerate(ps.items())
         ])).alias("_b"),
     ).select(*by, "_b.*")
-    joined = values.join(brackets, by)
-    # Values below the bracket collapse to one row per percentile before the shuffle; they are part -1.
     low, high, value = (F.col(c).cast("double") for c in ("_lo", "_hi", "_v"))
-    part = F.when(F.col("_v") < F.col("_lo"), -1).otherwise(F.coalesce(F.width_bucket(value, low, high, F.lit(BRACKET_PARTS)), F.lit(0))).cast("long")
-    collapsed = joined.where(F.col("_v") <= F.col("_hi")).groupBy(
-        *by, "_name", "_target", part.alias("_part"), F.when(F.col("_v") >= F.col("_lo"), F.col("_v")).alias("_v")
-    ).agg(F.count(F.lit(1)).alias("_count"))
+    inside = F.coalesce(F.width_bucket(value, low, high, F.lit(BRACKET_PARTS)), F.lit(0))
+    part = F.when(F.col("_v") < F.col("_lo"), -1).when(F.col("_v") > F.col("_hi"), BRACKET_PARTS + 2).otherwise(inside).cast("long")
+    parted = values.join(brackets, by).withColumn("_part", part)
     upto = Window.partitionBy(*by, "_name").orderBy("_part").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    parts = collapsed.groupBy(*by, "_name", "_target", "_part").agg(F.sum("_count").alias("_in_part")).withColumn("_upto", F.sum("_in_part").over(upto))
+    parts = parted.groupBy(*by, "_name", "_target", "_part").agg(F.count(F.lit(1)).alias("_in_part")).withColumn("_upto", F.sum("_in_part").over(upto))
     chosen = parts.where((F.col("_upto") >= F.col("_target")) & (F.col("_upto") - F.col("_in_part") < F.col("_target"))).select(
         *by, "_name", "_part", (F.col("_upto") - F.col("_in_part")).alias("_before"))
+    distinct = parted.join(chosen, [*by, "_name", "_part"]).groupBy(*by, "_name", "_target", "_before", "_v").agg(F.count(F.lit(1)).alias("_count"))
     rank = Window.partitionBy(*by, "_name").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    reached = F.when(
-        (F.col("_rank") >= F.col("_target")), F.struct(F.col("_v").isNotNull().alias("inside"), F.col("_v").alias("v")))
-    ranked = collapsed.join(chosen, [*by, "_name", "_part"]).withColumn("_rank", F.col("_before") + F.sum("_count").over(rank))
-    found = ranked.groupBy(*by).agg(
-        *[F.min(F.when(F.col("_name") == n, reached)).alias(n) for n in names])
-    # The sketch keeps its error bound, so the percentile lies inside; a miss must not pass unseen.
-    missed = F.raise_error(F.lit("percentile outside its bracket")).cast(df.schema[column].dataType)
-    return found.select(*by, *[
-        F.when(F.coalesce(F.col(f"{n}.inside"), F.lit(False)), F.col(f"{n}.v")).otherwise(missed).alias(n) for n in names])
+    ranked = distinct.withColumn("_rank", F.col("_before") + F.sum("_count").over(rank)).where("_rank >= _target")
+    return ranked.groupBy(*by).agg(*[F.min(F.when(F.col("_name") == n, F.col("_v"))).alias(n) for n in names])
 
 
 def ordinal_percentiles(df: DataFrame, by: Sequence[str], ps: dict[str, float]) -> DataFrame:

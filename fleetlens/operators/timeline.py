@@ -109,26 +109,46 @@ def since_reset(df: DataFrame, keys: Sequence[str], ts: str, reset: Column,
     )
 
 
+#: Entry of a slot that no kept tick precedes.
+NO_TICK = -(2**62)
+#: Slots whose functions are composed in one task; one composed function enters the chain of a key.
+FAN = 1024
+
+
 def thin(df: DataFrame, keys: Sequence[str], ts: str, interval: float, strict: bool = False,
          slot_seconds: float | None = None) -> DataFrame:
     """Ticks kept by minimum spacing: the first tick of a key, then every tick that comes
     at least ``interval`` seconds (``strict``: more than that) after the last kept one.
 
     The rule is greedy, but one slot is enough to know how a last-kept time that
-    enters it leaves it.  Slots are solved side by side, the slot functions are
-    chained per key over one small row per slot, and every slot is replayed from
+    enters it leaves it.  Slots are solved side by side, their functions are
+    composed and chained (:func:`chained`), and every slot is replayed from
     its entry time.  Only distinct ticks take part.
     """
-    width = int(interval * 1_000_000)
-    gap = width + (1 if strict else 0)
-    slot = max(slot_seconds or interval * 512, interval, 1.0)
+    gap, slot = spacing(interval, strict), max(slot_seconds or interval * 512, interval, 1.0)
+    ticks = ticks_of(df, keys, ts, slot)
+    entries = chained(slot_functions(ticks, keys, gap), keys, gap, slot).drop("_leave")
+    return replayed(ticks, entries, keys, gap).select(*keys, F.timestamp_micros("_tick").alias(ts))
+
+
+def spacing(interval: float, strict: bool) -> int:
+    """Least distance of kept ticks in microseconds."""
+    return int(interval * 1_000_000) + (1 if strict else 0)
+
+
+def ticks_of(df: DataFrame, keys: Sequence[str], ts: str, slot_seconds: float) -> DataFrame:
+    """Distinct ticks in microseconds with their slots."""
+    rows = df.where(F.col(ts).isNotNull())
+    return rows.select(*keys, F.unix_micros(ts).alias("_tick"), slot_start(F.col(ts), slot_seconds).alias(SLOT)).distinct()
+
+
+def _fields(df: DataFrame, keys: Sequence[str]) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keys).schema)
+
+
+def slot_functions(ticks: DataFrame, keys: Sequence[str], gap: int) -> DataFrame:
+    """Per slot: the ticks at which its kept ticks can start, and the last kept tick of each (``_starts``, ``_exits``)."""
     keys = list(keys)
-    ticks = (
-        df.where(F.col(ts).isNotNull())
-        .select(*keys, F.unix_micros(ts).alias("_tick"), slot_start(F.col(ts), slot).alias(SLOT))
-        .distinct()
-    )
-    key_fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ticks.select(*keys).schema)
 
     def slot_function(pdf):
         import numpy as np
@@ -152,20 +172,94 @@ def thin(df: DataFrame, keys: Sequence[str], ts: str, interval: float, strict: b
         row["_exits"] = pd.Series([exits[ends].tolist()], index=row.index)
         return row
 
-    def chain(pdf):
-        import numpy as np
+    return ticks.groupBy(*keys, SLOT).applyInPandas(slot_function, f"{_fields(ticks, keys)}, _slot long, _starts array<long>, _exits array<long>")
+
+
+def left(starts, exits, kept: int, gap: int) -> int:
+    """Last kept tick behind a slot, or a run of slots, that is entered with ``kept``."""
+    import numpy as np
+
+    at = int(np.searchsorted(np.asarray(starts), kept + gap))
+    return int(exits[at]) if at < len(exits) else kept
+
+
+def composed(functions, gap: int) -> tuple[list[int], list[int]]:
+    """One function for a run of slots, given in order as (starts, exits)."""
+    starts: list[int] = []
+    exits: list[int] = []
+    for s, e in functions:
+        exits = [left(s, e, x, gap) for x in exits]
+        behind = [i for i, x in enumerate(s) if not starts or x > starts[-1]]
+        starts, exits = starts + [int(s[i]) for i in behind], exits + [int(e[i]) for i in behind]
+        # what enters lies before the run, so no start beyond the first that is a gap after its first tick is ever used
+        far = next((i for i, x in enumerate(starts) if x >= starts[0] + gap), len(starts))
+        starts, exits = starts[:far + 1], exits[:far + 1]
+    last = [i for i in range(len(exits)) if i + 1 == len(exits) or exits[i + 1] != exits[i]]
+    return [starts[i] for i in last], [exits[i] for i in last]
+
+
+def chained(functions: DataFrame, keys: Sequence[str], gap: int, slot_seconds: float, starts: DataFrame | None = None) -> DataFrame:
+    """``_entry`` and ``_leave`` of every slot: the last kept tick before and behind it.
+
+    The functions of FAN slots at a time are composed, side by side; a key chains the composed ones
+    only, and each run of slots is then passed through from its entry.  ``starts`` (keys, ``_start``) gives
+    the last kept tick of keys that do not begin with their first slot.
+    """
+    keys, span = list(keys), int(slot_seconds * 1_000_000) * FAN
+    fields = _fields(functions, keys)
+    grouped = functions.withColumn("_run", F.col(SLOT) - F.pmod(F.col(SLOT), F.lit(span)))
+
+    def compose(pdf):
+        import pandas as pd
 
         pdf = pdf.sort_values("_slot")
-        kept, entries = None, []
-        for starts, exits in zip(pdf["_starts"], pdf["_exits"]):
-            entries.append(kept)
-            at = 0 if kept is None else int(np.searchsorted(np.asarray(starts), kept + gap))
-            if at < len(exits):
-                kept = int(exits[at])
-        out = pdf[keys + ["_slot"]].copy()
-        out["_entry"] = np.array([-(2**62) if e is None else e for e in entries], dtype="int64")
+        made = composed(zip(pdf["_starts"], pdf["_exits"]), gap)
+        row = pdf.iloc[:1][keys + ["_run"]].copy()
+        row["_starts"], row["_exits"] = (pd.Series([x], index=row.index) for x in made)
+        return row
+
+    def over_runs(pdf):
+        import pandas as pd
+
+        given = [s[0] for s in pdf["_start"] if s is not None]
+        kept, entries = max(given, default=NO_TICK), []
+        pdf = pdf[pdf["_start"].isna()].sort_values("_run")
+        for s, e in zip(pdf["_starts"], pdf["_exits"]):
+            entries.append([kept])
+            kept = left(s, e, kept, gap)
+        out = pdf[keys + ["_run"]].copy()
+        out["_at"] = pd.Series(entries, index=out.index, dtype=object)
         return out
 
+    def within(pdf):
+        import numpy as np
+
+        kept = int(next(a[0] for a in pdf["_at"] if a is not None))
+        pdf = pdf[pdf["_at"].isna()].sort_values("_slot")
+        passed = [kept]
+        for s, e in zip(pdf["_starts"], pdf["_exits"]):
+            passed.append(left(s, e, passed[-1], gap))
+        out = pdf[keys].copy()
+        # beside the entry row, which has no slot, numbers came as floats
+        out["_slot"] = np.array([int(s[0]) for s in pdf["_slots"]], dtype="int64")
+        out["_entry"], out["_leave"] = np.array(passed[:-1], dtype="int64"), np.array(passed[1:], dtype="int64")
+        return out
+
+    functions_of = "_starts array<long>, _exits array<long>"
+    runs = grouped.groupBy(*keys, "_run").applyInPandas(compose, f"{fields}, _run long, {functions_of}").withColumn("_start", F.lit(None).cast("array<long>"))
+    if starts is not None:
+        given = starts.select(*keys, F.lit(0).cast("long").alias("_run"), F.lit(None).cast("array<long>").alias("_starts"), F.lit(None).cast("array<long>").alias("_exits"),
+                              F.array("_start").alias("_start"))
+        runs = runs.unionByName(given)
+    entries = runs.groupBy(*keys).applyInPandas(over_runs, f"{fields}, _run long, _at array<long>")
+    both = grouped.withColumn("_slots", F.array(SLOT)).unionByName(entries, allowMissingColumns=True)
+    return both.groupBy(*keys, "_run").applyInPandas(within, f"{fields}, _slot long, _entry long, _leave long")
+
+
+def replayed(ticks: DataFrame, entries: DataFrame, keys: Sequence[str], gap: int) -> DataFrame:
+    """Kept ticks of every slot (``_slot``, ``_tick``) from its ``_entry``."""
+    keys = list(keys)
+
     def replay(pdf):
         import numpy as np
         import pandas as pd
@@ -176,14 +270,11 @@ def thin(df: DataFrame, keys: Sequence[str], ts: str, interval: float, strict: b
         while at < len(t):
             kept.append(t[at])
             at = int(np.searchsorted(t, t[at] + gap))
-        out = pd.DataFrame({k: [pdf[k].iloc[0]] * len(kept) for k in keys})
+        # typed as objects, so that a slot without kept ticks does not hand back numbers for text
+        out = pd.DataFrame({k: pd.Series([pdf[k].iloc[0]] * len(kept), dtype=object) for k in keys})
+        out["_slot"] = np.full(len(kept), pdf["_slot"].iloc[0], dtype="int64")
         out["_tick"] = np.array(kept, dtype="int64")
         return out
 
-    functions = ticks.groupBy(*keys, SLOT).applyInPandas(
-        slot_function, f"{key_fields}, _slot long, _starts array<long>, _exits array<long>"
-    )
-    entries = functions.groupBy(*keys).applyInPandas(chain, f"{key_fields}, _slot long, _entry long")
     replayable = ticks.unionByName(entries, allowMissingColumns=True)
-    kept = replayable.groupBy(*keys, SLOT).applyInPandas(replay, f"{key_fields}, _tick long")
-    return kept.select(*keys, F.timestamp_micros("_tick").alias(ts))
+    return replayable.groupBy(*keys, SLOT).applyInPandas(replay, f"{_fields(ticks, keys)}, _slot long, _tick long")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetlens.functions import scalars as S
+from fleetlens.operators.numbering import numbered
 from fleetlens.operators.samples import failed_or_stale, merge_shared
 from fleetlens.plans.views import latest_snapshot
 
@@ -28,6 +29,30 @@ STATUS_COLUMNS = [
 # --------------------------------------------------------------------------
 
 
+def ascending(name: str) -> Column:
+    """Ascending, NULL last."""
+    return F.col(name).asc_nulls_last()
+
+
+def descending(name: str) -> Column:
+    """Descending, NULL first."""
+    return F.col(name).desc_nulls_first()
+
+
+def health_order() -> list[Column]:
+    return [ascending("success"), descending("data_age_seconds"), ascending("source_database"), ascending("collector")]
+
+
+def risk_order() -> list[Column]:
+    worst = F.col("used_percent") / F.col("alert_threshold")
+    return [worst.desc_nulls_first(), *[ascending(c) for c in ("source_database", "category", "object_name", "inst_id")]]
+
+
+def positioned(rows: DataFrame, order: list[Column], name: str = "position") -> DataFrame:
+    """Rows of a dashboard with their place in its order, for readers that lose the order itself."""
+    return numbered(rows, order, name=name)
+
+
 def collector_health(latest: DataFrame, as_of: Column) -> DataFrame:
     """Every collector with the age of its data, failures first."""
     age = S.age_seconds(as_of, F.col("collected_at"))
@@ -35,13 +60,13 @@ def collector_health(latest: DataFrame, as_of: Column) -> DataFrame:
         "source_database", "collector", "success", F.col("collected_at").alias("last_collection"),
         age.alias("data_age_seconds"), S.round_half_up(F.col("duration_seconds"), 3).alias("duration_seconds"),
         *[c for c in ("sample_count", "error_message") if c in latest.columns],
-    ).orderBy("success", F.col("data_age_seconds").desc(), "source_database", "collector")
+    ).orderBy(*health_order())
 
 
 def failed_collectors(latest: DataFrame, as_of: Column, max_age: float = 180.0) -> DataFrame:
     """Collectors that failed or went stale, oldest first."""
     rows = failed_or_stale(latest, as_of, max_age)
-    return rows.orderBy("success", "collected_at", "source_database", "collector").select(
+    return rows.orderBy(*[ascending(c) for c in ("success", "collected_at", "source_database", "collector")]).select(
         "source_database", "collector", "state", F.col("collected_at").alias("last_collection"),
         S.age_seconds(as_of, F.col("collected_at")).alias("data_age_seconds"), "error_message",
     )
@@ -70,8 +95,7 @@ def capacity_risks(tablespaces: DataFrame, limits: DataFrame, diskgroups: DataFr
         branch(limited, "Resource limit", database, F.col("resource_name"), F.col("inst_id"), F.col("used_percent")),
         branch(shared, "ASM diskgroup", database, F.col("diskgroup_name"), F.col("inst_id"), F.col("used_percent")),
     ])
-    worst = (F.col("used_percent") / F.col("alert_threshold")).desc()
-    return risks.orderBy(worst, "source_database", "category", "object_name").select(
+    return risks.orderBy(*risk_order()).select(
         "source_database", "category", "object_name", "inst_id", S.round_half_up(F.col("used_percent"), 2).alias("used_percent"),
         "alert_threshold",
         F.when(F.col("used_percent") > F.col("alert_threshold"), "ALERT THRESHOLD").otherwise("WATCH").alias("state"),
@@ -81,7 +105,7 @@ def capacity_risks(tablespaces: DataFrame, limits: DataFrame, diskgroups: DataFr
 def instance_state(status_samples: DataFrame, latest_status: DataFrame) -> DataFrame:
     """Instances as of the last status attempt of their database."""
     rows = latest_snapshot(status_samples, latest_status, "operational.database_status")
-    return rows.orderBy("source_database", "inst_id").select(
+    return rows.orderBy(ascending("source_database"), ascending("inst_id")).select(
         *[c for c in STATUS_COLUMNS if c in rows.columns], F.col("collected_at").alias("last_observation")
     )
 
@@ -109,7 +133,7 @@ def cpu_pga_pressure(instances: DataFrame, counter_rates: DataFrame, latest_stat
 
     pressure = F.greatest(F.coalesce(ratio("_cores", "cpu_capacity"), F.lit(0.0)),
                           F.coalesce(ratio("pga_allocated_bytes", "pga_limit_bytes"), F.lit(0.0)))
-    return capacity.join(cpu, "source_database", "left").orderBy(pressure.desc(), "source_database").select(
+    return capacity.join(cpu, "source_database", "left").orderBy(pressure.desc_nulls_first(), ascending("source_database")).select(
         "source_database", S.round_half_up(F.col("_cores"), 2).alias("db_cpu_cores"), "cpu_capacity",
         pct("_cores", "cpu_capacity").alias("cpu_used_percent"),
         "pga_allocated_bytes", "pga_peak_bytes", "pga_limit_bytes",

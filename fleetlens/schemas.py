@@ -261,6 +261,8 @@ EVENT_TIME = {
     "consumer_deltas": "collected_at",
     "top_consumers": "taken_at",
     "kept_ticks": "collected_at",
+    "kept_ticks_seen": "tick_at",
+    "system_counter_samples_days": "first_at",
     "alert_evaluations": "evaluated_at",
 }
 # Values older partitions get for columns they lack.

@@ -18,7 +18,9 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 
 from fleetlens import schemas
 from fleetlens.operators import accounting, deltas, merges, samples
-from fleetlens.operators.timeline import newest_per_key, thin
+from fleetlens.operators.timeline import (
+    chained, newest_per_key, previous_values, replayed, slot_functions, spacing, ticks_of,
+)
 from fleetlens.sources import sinks
 
 
@@ -224,40 +226,133 @@ def top_consumers(spark: SparkSession, root: str) -> DataFrame | None:
 def stream_counter_store(stream: DataFrame, root: str, checkpoint: str, keys=deltas.SERIES_KEYS,
                          ts: str = "collected_at", value: str = "cumulative_value", seq: str = "seq",
                          table: str = "system_counter_samples", **trigger) -> StreamingQuery:
-    """Counter delta with reset across micro-batches, balanced for any series size.
+    """Counter delta with reset across micro-batches, in whatever order the readings come.
 
-    State is the last reading of every series; it joins the next batch as its baseline.
-    A reading older than that one has no baseline any more and gets no delta.
+    Beside the readings the store keeps the first and the last one of every series and day.  They
+    give the neighbours of a reading across days, so that a batch reads the readings of its own days only,
+    however late it is.  The reading behind a late one is computed anew; results carry the batch as
+    revision, and :func:`counter_samples` reads the newest of each reading.
     """
+    keys, ends = list(keys), f"{table}_days"
+    reading = F.struct(ts, seq, value)
+
     def step(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        needed = batch.select(*keys, ts, seq, value)
-        stored = sinks.read_state(spark, root, f"{table}_last", needed.schema, before=batch_id)
-        rows = stored.withColumn("_stored", F.lit(True)).unionByName(needed.withColumn("_stored", F.lit(False)))
-        made = deltas.counter_delta(rows, keys, ts, value, seq).where(~F.col("_stored")).drop("_stored")
-        sinks.commit_batch(spark, root, batch_id, {table: made})
-        last = newest_per_key(rows.drop("_stored"), keys, [ts, seq])
-        sinks.write_state(spark, root, f"{table}_last", last, batch_id)
+        needed = batch.select(*keys, ts, seq, value).where(F.col(ts).isNotNull())
+        here = needed.groupBy(*keys, F.to_date(ts).alias("_day")).agg(F.min(reading).alias("first_reading"), F.max(reading).alias("last_reading"))
+        days = _days(needed, ts)
+        known, stored = sinks.read_table(spark, root, ends), sinks.read_table(spark, root, table, days)
+        rows = needed.withColumn("_new", F.lit(True))
+        if known is not None:
+            # one row per day of a series that the batch names, not per reading
+            both = here.select(*keys, "_day", F.lit(True).alias("_touched")).unionByName(
+                known.select(*keys, F.to_date("first_at").alias("_day"), "first_reading", "last_reading"), allowMissingColumns=True)
+            per_day = both.groupBy(*keys, "_day").agg(F.max("_touched").alias("_touched"), F.min("first_reading").alias("f"), F.max("last_reading").alias("l"))
+            order = Window.partitionBy(*keys).orderBy("_day")
+            before, behind = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(1, Window.unboundedFollowing)
+            beside = per_day.withColumns({"_before": F.last("l", ignorenulls=True).over(before), "_behind": F.first("f", ignorenulls=True).over(behind)})
+            edges = beside.where("_touched").select(*keys, F.explode(F.array("_before", "_behind")).alias("r")).where("r is not null").select(*keys, "r.*")
+            old = stored.select(*keys, ts, seq, value).unionByName(edges).withColumn("_new", F.lit(False))
+            rows = rows.unionByName(old).groupBy(*keys, ts, seq, value).agg(F.max("_new").alias("_new"))
+        rows = previous_values(rows, keys, ts, ["_new"], seq)
+        made = deltas.counter_delta(rows, keys, ts, value, seq).where("_new or coalesce(prev__new, false)").drop("_new", "prev__new", f"prev_{ts}")
+        marks = here.select(*keys, F.col(f"first_reading.{ts}").alias("first_at"), "first_reading", "last_reading")
+        sinks.commit_batch(spark, root, batch_id, {table: made.withColumn("revision", F.lit(batch_id).cast("long")), ends: marks})
 
     return per_batch(stream, checkpoint, step, **trigger)
 
 
+def counter_samples(spark: SparkSession, root: str, keys=deltas.SERIES_KEYS, ts: str = "collected_at", seq: str = "seq",
+                    table: str = "system_counter_samples", days: list | None = None) -> DataFrame | None:
+    """The stored readings with the deltas in force, of some days or all."""
+    made = sinks.read_table(spark, root, table, days)
+    return None if made is None else newest_per_key(made, [*keys, ts, seq], ["revision"])
+
+
+def thin_slot(interval: float) -> float:
+    """Seconds of a slot in the store: at most a day, unless the interval is longer."""
+    return max(interval, min(interval * 512, 86_400.0), 1.0)
+
+
+def _same_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
+    """A semi or anti join in which NULL keys are equal."""
+    other = right.select(*[F.col(k).alias(f"_other_{k}") for k in keys])
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_other_{k}"))
+    return left.join(other, same, how)
+
+
 def stream_thin_store(stream: DataFrame, root: str, checkpoint: str, keys: Sequence[str], ts: str, interval: float,
                       strict: bool = False, table: str = "kept_ticks", **trigger) -> StreamingQuery:
-    """Minimum-spacing thinning across micro-batches; the last kept tick of a key starts the next batch."""
+    """Minimum-spacing thinning across micro-batches, in whatever order the ticks come.
+
+    The store keeps the ticks by day and one function per (key, slot) of how a last kept time
+    that enters the slot leaves it.  A batch solves the slots it touches anew, chains the functions of
+    its keys from there on, and replays the slots that are touched or entered otherwise
+    than before; only their days are read.  Results carry the batch as revision; :func:`kept_ticks`
+    reads those in force.
+    """
+    keys, gap, width = list(keys), spacing(interval, strict), thin_slot(interval)
+    kept_in, slots_in, ticks_in = table, f"{table}_slots", f"{table}_seen"
+
+    def days_of(slots: DataFrame) -> list:
+        end = F.timestamp_micros(F.col("_slot") + int(width * 1_000_000) - 1)
+        every = slots.select(F.explode(F.sequence(F.to_date(F.timestamp_micros("_slot")), F.to_date(end))).alias("day"))
+        return [r[0] for r in every.distinct().collect()]
+
+    def seen(spark: SparkSession, days: list, fresh: DataFrame) -> DataFrame:
+        stored = sinks.read_table(spark, root, ticks_in, days)
+        return fresh if stored is None else ticks_of(stored, keys, "tick_at", width).unionByName(fresh).distinct()
+
     def step(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        ticks = batch.select(*keys, ts)
-        stored = sinks.read_state(spark, root, f"{table}_last", ticks.schema, before=batch_id)
-        marks = stored.withColumnRenamed(ts, "_last")
-        fresh = ticks.join(marks, list(keys), "left").where(F.col("_last").isNull() | (F.col(ts) > F.col("_last")))
-        kept = thin(stored.unionByName(fresh.select(*keys, ts)), keys, ts, interval, strict)
-        sinks.commit_batch(spark, root, batch_id, {table: kept.join(stored, [*keys, ts], "left_anti")})
-        sinks.write_state(spark, root, f"{table}_last", newest_per_key(kept, keys, [ts]), batch_id)
+        fresh = ticks_of(batch, keys, ts, width)
+        touched = fresh.select(*keys, "_slot").distinct().persist()
+        there = _same_keys(seen(spark, days_of(touched), fresh), touched, [*keys, "_slot"], "left_semi")
+        functions = slot_functions(there, keys, gap).withColumns({"_touched": F.lit(True), "_was": F.lit(None).cast("long")})
+        known, starts = _slots(spark, root, slots_in, keys), None
+        if known is not None:
+            first = touched.groupBy(*[F.col(k).alias(f"_other_{k}") for k in keys]).agg(F.min("_slot").alias("_from"))
+            same = F.lit(True)
+            for k in keys:
+                same = same & F.col(k).eqNullSafe(F.col(f"_other_{k}"))
+            near = known.join(first, same).drop(*[f"_other_{k}" for k in keys]).persist()
+            starts = near.where("_slot < _from").groupBy(*keys).agg(F.max_by("_leave", "_slot").alias("_start"))
+            behind = _same_keys(near.where("_slot >= _from"), touched, [*keys, "_slot"], "left_anti")
+            functions = functions.unionByName(behind.select(*keys, "_slot", "_starts", "_exits", F.lit(False).alias("_touched"), F.col("_entry").alias("_was")))
+        functions = functions.persist()
+        entries = chained(functions.select(*keys, "_slot", "_starts", "_exits"), keys, gap, width, starts)
+        names = [*keys, "_slot"]
+        both = functions.unionByName(entries, allowMissingColumns=True).groupBy(*names).agg(
+            *[F.first(c, ignorenulls=True).alias(c) for c in ("_starts", "_exits", "_touched", "_was", "_entry", "_leave")])
+        changed = both.where("_touched or _was <> _entry").persist()
+        ticks = _same_keys(seen(spark, days_of(changed), fresh), changed, names, "left_semi")
+        revision = F.lit(batch_id).cast("long").alias("revision")
+        kept = replayed(ticks, changed.select(*names, "_entry"), keys, gap)
+        sinks.commit_batch(spark, root, batch_id, {
+            ticks_in: fresh.select(*keys, F.timestamp_micros("_tick").alias("tick_at")),
+            slots_in: changed.select(*names, "_starts", "_exits", "_entry", "_leave", revision),
+            kept_in: kept.select(*keys, F.timestamp_micros("_tick").alias(ts), "_slot", revision),
+        })
+        for held in (touched, functions, changed, *([near] if known is not None else [])):
+            held.unpersist()
 
     return per_batch(stream, checkpoint, step, **trigger)
 
 
+def _slots(spark: SparkSession, root: str, name: str, keys: Sequence[str]) -> DataFrame | None:
+    """Newest revision of every slot."""
+    made = sinks.read_table(spark, root, name)
+    return None if made is None else newest_per_key(made.drop("batch_id"), [*keys, "_slot"], ["revision"])
+
+
+def kept_ticks(spark: SparkSession, root: str, keys: Sequence[str], table: str = "kept_ticks") -> DataFrame | None:
+    """The stored kept ticks in force: those of the newest revision of every slot."""
+    kept, slots = sinks.read_table(spark, root, table), _slots(spark, root, f"{table}_slots", keys)
+    return None if kept is None else _same_keys(kept, slots, [*keys, "_slot", "revision"], "left_semi").drop("_slot", "revision", "batch_id", "day")
+
+
 def stream_plan_cache(candidates: DataFrame, plan_lines: DataFrame, root: str, checkpoint: str,
                       **trigger) -> StreamingQuery:
     """Plan cache: every batch of candidates fetches the unknown plans and remembers them."""

@@ -174,3 +174,21 @@ def test_first_n_distinct(spark):
     df = spark.createDataFrame(rows, "source_database string, inst_id long, sql_id string, child_number long, seq long")
     got = deltas.first_n_distinct(df, ["inst_id", "sql_id", "child_number"], "seq", 2, ["source_database"]).orderBy("seq")
     assert [r.child_number for r in got.collect()] == [3, 1]
+
+
+def test_thinning_through_composed_runs(spark, at, monkeypatch):
+    """Slots composed three at a time, many runs per key, against the greedy rule."""
+    import random
+
+    monkeypatch.setattr(timeline, "FAN", 3)
+    rnd = random.Random(3)
+    rows = sorted({(k, rnd.randrange(40_000)) for k in ("hot", "hot", "b") for _ in range(700)})
+    df = spark.createDataFrame([(k, at(s)) for k, s in rows] + [(None, None)], "k string, t timestamp")
+    for gap, strict in ((60, False), (61, True), (400, False)):
+        want, last = [], {}
+        for k, s in rows:
+            if k not in last or s - last[k] > gap or (s - last[k] == gap and not strict):
+                want.append((k, at(s)))
+                last[k] = s
+        got = sorted((r.k, r.t) for r in timeline.thin(df, ["k"], "t", gap, strict, slot_seconds=gap * 2).collect())
+        assert got == want

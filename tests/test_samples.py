@@ -170,3 +170,20 @@ def test_build_samples_has_the_stored_layout(spark):
         assert df.columns == STORED[name].names, name
     assert {"sql_samples", "database_status_samples", "dataguard_lag_samples", "system_counter_samples"} <= set(made)
     assert made["instance_samples"].count() == 0
+
+
+def test_percentiles_never_miss(spark, monkeypatch):
+    """A sketch whose bracket lies beside the percentile costs work, not the result."""
+    import math
+    import random
+
+    rnd = random.Random(2)
+    values = {"steep": [2.0 ** rnd.randrange(60) for _ in range(900)], "two": [0.0] * 500 + [1.0] * 3, "one": [7.5], "tail": [float(i) ** 5 for i in range(700)]}
+    df = spark.createDataFrame([(k, v) for k, vs in values.items() for v in vs], "k string, v double")
+    real = F.percentile_approx
+    ps = {"low": 0.01, "mid": 0.5, "high": 0.99}
+    for wrong in (None, lambda e: e[0], lambda e: e[-1]):
+        if wrong:  # every edge is the lowest, or the highest, quantile
+            monkeypatch.setattr(samples.F, "percentile_approx", lambda c, edges, acc: real(c, [wrong([0.0, 1.0])] * len(edges), acc))
+        got = {r.k: (r.low, r.mid, r.high) for r in samples.percentiles(df, ["k"], "v", ps, accuracy=50).collect()}
+        assert got == {k: tuple(sorted(vs)[max(math.ceil(p * len(vs)), 1) - 1] for p in ps.values()) for k, vs in values.items()}
