@@ -10,9 +10,10 @@ Hits of one item whose parts overlap are verified once, over their common part.
 The items go to the tasks in blocks of at most ``block_chars`` characters; every block scans all
 documents, so the memory of a task does not grow with the benchmark.
 
-Cases: null or empty texts hold nothing; items that are null or reduce to fewer than
-``least_chars`` characters are too short to tell and match nothing; repeated items match
-separately; a null doc_id is kept as null; extra columns are ignored; empty tables give an empty
+Items of fewer than ``least_chars`` characters match without errors and as whole words only.
+
+Cases: null or empty texts hold nothing; items that are null or reduce to nothing match
+nothing; repeated items match separately; a null doc_id is kept as null; extra columns are ignored; empty tables give an empty
 result; ties in distance go to the earliest end.
 """
 
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 #: One edit is allowed per so many characters; it is the length of a piece, about.
 CHARS_PER_ERROR = 16
-#: Shorter items (after reduction) are ignored.
+#: Shorter items (after reduction) match exactly, between blanks.
 LEAST_CHARS = 32
 #: Characters of items in one automaton.
 BLOCK_CHARS = 4_000_000
@@ -73,11 +74,12 @@ def myers(pattern_masks: dict[str, int], m: int, text: str) -> tuple[int, int]:
 class Matcher:
     """Piece automaton and bit masks of a block of items."""
 
-    def __init__(self, items: list[tuple[int, str]], chars_per_error: int):
+    def __init__(self, items: list[tuple[int, str]], chars_per_error: int = CHARS_PER_ERROR, least_chars: int = LEAST_CHARS):
+        self.least_chars = least_chars
         self.items, self.masks = [], []
         owners: dict[str, list[tuple[int, int]]] = {}
         for item_id, text in items:
-            errors = len(text) // chars_per_error
+            errors = 0 if len(text) < least_chars else len(text) // chars_per_error
             masks: dict[str, int] = {}
             for i, ch in enumerate(text):
                 masks[ch] = masks.get(ch, 0) | 1 << i
@@ -96,12 +98,17 @@ class Matcher:
         if not body or not self.items:
             return []
         around: dict[int, list[tuple[int, int]]] = {}
+        words: dict[int, int] = {}
         for last, (size, who) in self.automaton.iter(body):
             for k, at in who:
                 _, item, errors = self.items[k]
                 begin = last + 1 - size - at
+                if len(item) < self.least_chars:
+                    if k not in words and body[begin - 1:begin] in ("", " ") and body[last + 1:last + 2] in ("", " "):
+                        words[k] = last + 1
+                    continue
                 around.setdefault(k, []).append((max(0, begin - errors), begin + len(item) + errors))
-        found = []
+        found = [{"item": self.items[k][0], "distance": 0, "end": end} for k, end in sorted(words.items())]
         for k, parts in sorted(around.items()):
             item_id, item, errors = self.items[k]
             best, end = errors + 1, 0
@@ -121,25 +128,25 @@ class Matcher:
         return found
 
 
-def leaks_of(text: Column, items: list[tuple[int, str]], chars_per_error: int = CHARS_PER_ERROR) -> Column:
+def leaks_of(text: Column, items: list[tuple[int, str]], chars_per_error: int = CHARS_PER_ERROR, least_chars: int = LEAST_CHARS) -> Column:
     """Array column of the items (id, distance, end in the reduced text) that a text holds."""
     built: list[Matcher] = []
 
     @F.pandas_udf(HITS)
     def run(texts: pd.Series) -> pd.Series:
         if not built:
-            built.append(Matcher(items, chars_per_error))
+            built.append(Matcher(items, chars_per_error, least_chars))
         return pd.Series([built[0](t) for t in texts], dtype=object)
 
     return run(text)
 
 
-def item_blocks(items: DataFrame, item_id: str = "item_id", text: str = "text", least_chars: int = LEAST_CHARS, block_chars: int = BLOCK_CHARS):
+def item_blocks(items: DataFrame, item_id: str = "item_id", text: str = "text", block_chars: int = BLOCK_CHARS):
     """Reduced items, read in order and handed out in blocks of at most about ``block_chars`` characters."""
     block, size = [], 0
     for row in items.select(F.col(item_id).alias("item_id"), F.col(text).alias("text")).toLocalIterator():
         item = reduced(row["text"])
-        if len(item) < least_chars:
+        if not item:
             continue
         block.append((row["item_id"], item))
         size += len(item)
@@ -154,8 +161,8 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str =
           chars_per_error: int = CHARS_PER_ERROR, least_chars: int = LEAST_CHARS, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """One row per document and item found in it: ``doc_id``, ``item_id``, ``distance``, ``end``."""
     out = None
-    for block in item_blocks(items, least_chars=least_chars, block_chars=block_chars):
-        part = (docs.select(F.col(doc_id).alias("doc_id"), F.explode(leaks_of(F.col(text), block, chars_per_error)).alias("hit"))
+    for block in item_blocks(items, block_chars=block_chars):
+        part = (docs.select(F.col(doc_id).alias("doc_id"), F.explode(leaks_of(F.col(text), block, chars_per_error, least_chars)).alias("hit"))
                 .select("doc_id", F.col("hit.item").alias("item_id"), F.col("hit.distance").alias("distance"), F.col("hit.end").alias("end")))
         out = part if out is None else out.unionAll(part)
     if out is None:
@@ -166,6 +173,6 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str =
 def without_leaks(docs: DataFrame, items: DataFrame, text: str = "text", chars_per_error: int = CHARS_PER_ERROR,
                   least_chars: int = LEAST_CHARS, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """Documents that hold no item, with all their columns."""
-    for block in item_blocks(items, least_chars=least_chars, block_chars=block_chars):
-        docs = docs.where(F.size(leaks_of(F.col(text), block, chars_per_error)) == 0)
+    for block in item_blocks(items, block_chars=block_chars):
+        docs = docs.where(F.size(leaks_of(F.col(text), block, chars_per_error, least_chars)) == 0)
     return docs
