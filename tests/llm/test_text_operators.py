@@ -84,7 +84,7 @@ def test_leaks_against_brute_force(docs_of, spark):
             t[at:at + rng.randint(0, 1)] = rng.choice(["", "x", "yz"])
         return "".join(t)
 
-    texts = [None, "", "   ", items[1].upper() + "!!", *(" ".join([word() for _ in range(9)] + [edited(rng.choice(items[:8])) for _ in range(rng.randint(0, 3))] + [word()]) for _ in range(40))]
+    texts = [None, "", "   ", "Too SHORT, or not", "shorter shorts", items[1].upper() + "!!", *(" ".join([word() for _ in range(9)] + [edited(rng.choice(items[:8])) for _ in range(rng.randint(0, 3))] + [word()]) for _ in range(40))]
     bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
     for block in (10 ** 6, 100):
         got = {(r["doc_id"], r["item_id"]): r["distance"] for r in D.leaks(docs_of(list(enumerate(texts))), bench, block_chars=block).collect()}
@@ -95,6 +95,8 @@ def test_leaks_against_brute_force(docs_of, spark):
                 best = distance_to_part(x, D.reduced(t))[0] if x else 9
                 if len(x) >= D.LEAST_CHARS and best <= len(x) // D.CHARS_PER_ERROR:
                     want[i, j] = best
+                elif x and len(x) < D.LEAST_CHARS and f" {x} " in f" {D.reduced(t)} ":
+                    want[i, j] = 0
         assert got == want and len(want) > 10
         clean = D.without_leaks(docs_of(list(enumerate(texts))), bench, block_chars=block)
         assert sorted(r["doc_id"] for r in clean.collect()) == sorted(set(range(len(texts))) - {i for i, _ in want})
@@ -130,17 +132,87 @@ def test_learned_formats_are_found_and_prose_is_not(docs_of):
     clean = {r["doc_id"]: r["c"] for r in docs.select("doc_id", S.redact(F.col("text"), model).alias("c")).collect()}
     assert clean[502] is None and clean[501] == texts[501]
     assert all("[SECRET]" in clean[i] and texts[i].split("secret = ")[1].split(" ")[0] not in clean[i] for i in range(120))
-    assert S.learn(docs_of([])) == {} and S.spans_of("token=abcdefgh", {}) == [(0, 14, "assign")]
+    assert S.learn(docs_of([])) == {} and S.spans_of("token=abcdefgh", S.judge({})) == [(0, 14, "assign")]
 
 
-def test_automaton_prefers_its_format():
-    rng = random.Random(3)
-    keys = [S.symbols("sk-" + "".join(rng.choice(HEX) for _ in range(20))) for _ in range(200)]
-    names = [S.symbols("".join(rng.choice("aeiourstlnmd") for _ in range(rng.randint(16, 24)))) for _ in range(200)]
+ALNUM = "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
+def credentials(seed):
+    rng = random.Random(seed)
+    some = lambda alphabet, n: "".join(rng.choice(alphabet) for _ in range(n))
+    return lambda: [f"sk-live-{some(ALNUM, 24)}", f"ghp_{some(ALNUM, 36)}"], lambda n: " ".join(some("thousand", rng.randint(2, 24)) for _ in range(n))
+
+
+def test_automata_tell_prefixes_layouts_and_lengths():
+    fresh, _ = credentials(3)
+    keys = [x for _ in range(120) for x in fresh()]
+    rng = random.Random(4)
+    names = ["".join(rng.choice("aeiourstlnmd") for _ in range(rng.randint(6, 24))) for _ in range(200)]
     a, b = S.Automaton(keys), S.Automaton(names)
-    assert len(a.next) < 40 and len(b.next) < 40
-    fresh = S.symbols("sk-" + "".join(rng.choice(HEX) for _ in range(20)))
-    assert a.score(fresh) > b.score(fresh) + 10 and b.score(S.symbols("rememberednotions")) > a.score(S.symbols("rememberednotions"))
+    assert 5 < len(a.next) < 400 and len(b.next) < 400
+    for _ in range(20):
+        sk, ghp = fresh()
+        assert a.score(sk) > b.score(sk) + 30 and a.score(ghp) > b.score(ghp) + 30
+        assert a.score(sk) > a.score("ks" + sk[2:]) + 2 and a.score(ghp) > a.score(ghp[4:] + ghp[:4]) + 2
+        assert a.score(sk) > a.score(sk + "a") + 2
+    assert b.score("rememberednotions") > a.score("rememberednotions")
+
+
+def test_planted_formats_are_found_unlabelled(docs_of):
+    """Formats that stand behind keywords are found without one; so are parts beside a base span; prose stays."""
+    fresh, prose = credentials(9)
+    labelled = [(2 * i + j, f"{prose(12)} {word}{x}\" {prose(6)}") for i in range(90) for j, (word, x) in enumerate(zip(('secret = "', 'token: "'), fresh()))]
+    planted = [(1000 + i, x) for i in range(6) for x in fresh()[i % 2:i % 2 + 1]]
+    key = "AKIA" + "B3" * 8
+    tail, (head, rest) = fresh()[1], fresh()
+    beside = [(2000, f"{prose(5)} {key}/{tail} {prose(5)}"), (2001, f"{prose(5)} {head}={'0a' * 12}.{rest} {prose(5)}")]
+    plain = [(3000 + i, prose(3000)) for i in range(20)] + [(3100, "x" * 50_000), (3101, None), (3102, "")]
+    rows = labelled + [(i, f"{prose(10)} {x}, {prose(10)}") for i, x in planted] + beside + plain
+    docs = docs_of(rows + rows[-2:] + rows[:3]).withColumn("kind", F.lit("x")).withColumn("value", F.lit(1))
+    model = S.learn(docs)
+    assert len(model["assign"].next) > 1 and len(model[S.OTHER].next) > 1
+    got = {r["doc_id"]: r["s"] for r in docs.select("doc_id", S.scan(F.col("text"), model).alias("s")).collect()}
+    texts = dict(rows)
+    learned = lambda i: [texts[i][x["start"]:x["end"]] for x in got[i] if x["kind"] == "learned"]
+    assert all(learned(i) == [x] for i, x in planted)
+    assert learned(2000) == [tail] and learned(2001) == [head, rest]
+    assert not any(got[3000 + i] for i in range(20)) and got[3101] == got[3102] == []
+    assert not any(learned(i) for i, _ in labelled)
+    assert S.learn(docs)["assign"].logs == model["assign"].logs
+    assert S.learn(docs_of([])) == {}
+
+
+def test_spans_against_brute_force():
+    """Runs are walked character by character, and every token is judged by the automata themselves."""
+    rng = random.Random(12)
+    fresh, prose = credentials(2)
+    model = {"assign": S.Automaton([x for _ in range(60) for x in fresh()]), S.OTHER: S.Automaton(prose(400).split())}
+    secret = S.judge(model)
+    pieces = [lambda: fresh()[0], lambda: fresh()[1], lambda: prose(1), lambda: "AKIA" + "C4" * 8, lambda: "0f" * 13, lambda: "token=abcdefg",
+              lambda: rng.choice([" ", " ", "/", "..", "=", "-", ", ", "é"])]
+    some = 0
+    for _ in range(200):
+        text = "".join(rng.choice(pieces)() for _ in range(rng.randint(0, 14)))
+        base = S.base_spans(text)
+        inside = [any(s <= i < e for s, e, _, _ in base) for i in range(len(text))]
+        want, i = [(s, e, k) for s, e, k, _ in base], 0
+        good = lambda i: i < len(text) and text[i] in ALNUM + "+/_.=-" and not inside[i]
+        while i < len(text):
+            j = i
+            while good(j):
+                j += 1
+            a, b = i, j
+            while a < b and text[a] not in ALNUM:
+                a += 1
+            while b > a and text[b - 1] not in ALNUM:
+                b -= 1
+            if b - a >= 6 and S.gain(text[a:b], model) > S.LEAST_GAIN:
+                want.append((a, b, "learned"))
+                some += 1
+            i = max(j, i + 1)
+        assert S.spans_of(text, secret) == sorted(want, key=lambda x: (x[0], S.KINDS.index(x[2])))
+    assert some > 50
 
 
 def test_language_needs_a_letter(docs_of):
