@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from fleetlens.functions import scalars as S
 from fleetlens.operators.numbering import numbered
-from fleetlens.operators.timeline import HOUR, newest_per_key, previous_values, since_reset
+from fleetlens.operators.timeline import HOUR, newest_per_key, previous_values, since_reset, upcoming
 
 # --- fixed values ---------------------------------------------------------
 SERIES_KEYS = ["source_database", "inst_id", "con_id", "stat_name"]
@@ -83,23 +83,21 @@ def top_consumers(deltas: DataFrame, interval: float | None = None, n: int = 20,
     ``takes`` (database, time), e.g. thinned snapshot times; work after the last
     take is still open and not reported.
     """
-    counters = [c for c in CONSUMER_COUNTERS if c in deltas.columns]
     if takes is None:
         window = F.window(ts, f"{int(interval * 1_000_000)} microseconds")
-        tagged = deltas.withColumn("taken_at", window.getField("end"))
-    else:
-        # Each snapshot belongs to the first take at or after it.
-        times = deltas.select("source_database", ts).distinct().withColumn("_take", F.lit(False))
-        marks = takes.select("source_database", F.col(ts).alias(ts), F.lit(True).alias("_take"))
-        order = Window.partitionBy("source_database").orderBy(F.col(ts).desc(), F.col("_take").desc())
-        upcoming = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        assigned = (
-            times.unionByName(marks.distinct())
-            .withColumn("taken_at", F.last(F.when(F.col("_take"), F.col(ts)), ignorenulls=True).over(upcoming))
-            .where(~F.col("_take") & F.col("taken_at").isNotNull())
-            .select("source_database", ts, "taken_at")
-        )
-        tagged = deltas.join(assigned, ["source_database", ts])
+        return ranked_work(deltas.withColumn("taken_at", window.getField("end")), n)
+    return ranked_work(work_at_takes(deltas, takes, ts), n)
+
+
+def work_at_takes(deltas: DataFrame, takes: DataFrame, ts: str = "collected_at") -> DataFrame:
+    """Every delta with ``taken_at``, the first take at or after its snapshot; those that no take follows are left out."""
+    times = deltas.select("source_database", ts).distinct()
+    return deltas.join(upcoming(times, takes, ["source_database"], ts, "taken_at"), ["source_database", ts])
+
+
+def ranked_work(tagged: DataFrame, n: int = 20) -> DataFrame:
+    """The ``n`` statements with most work of every database and take."""
+    counters = [c for c in CONSUMER_COUNTERS if c in tagged.columns]
     totals = tagged.groupBy("source_database", "taken_at", "sql_id").agg(
         *[F.sum(c).alias(c) for c in counters]
     ).where(F.col("elapsed_time_micro") > 0)

@@ -96,6 +96,28 @@ def running_total(df: DataFrame, keys: Sequence[str], ts: str, increment: Column
     return both.withColumn(name, F.sum("_inc").over(inside)).where(~F.col(CARRY)).select(*df.columns, name)
 
 
+def upcoming(times: DataFrame, marks: DataFrame, keys: Sequence[str], ts: str, name: str,
+             slot_seconds: float = HOUR) -> DataFrame:
+    """As-of join: add ``name``, the time of the first mark of the series at or after the row.
+
+    Marks have ``keys`` and ``ts``.  Rows that no mark follows, or without a time, are left out.  The first
+    mark of a slot is handed to the occupied slots before it.
+    """
+    slotted = lambda df: df.where(F.col(ts).isNotNull()).withColumn(SLOT, slot_start(F.col(ts), slot_seconds))
+    marked = slotted(marks.select(*keys, ts).distinct()).withColumn(name, F.col(ts))
+    rows = slotted(times).withColumns({name: F.lit(None).cast("timestamp"), CARRY: F.lit(0)})
+    ends = marked.groupBy(*keys, SLOT).agg(F.min(ts).alias(name)).unionByName(rows.select(*keys, SLOT, name).distinct())
+    later = Window.partitionBy(*keys).orderBy(SLOT).rowsBetween(1, Window.unboundedFollowing)
+    carried = (ends.groupBy(*keys, SLOT).agg(F.min(name).alias(name))
+               .withColumn(name, F.first(name, ignorenulls=True).over(later)).where(F.col(name).isNotNull()))
+    both = rows.unionByName(marked.withColumn(CARRY, F.lit(1)), allowMissingColumns=True).unionByName(
+        carried.withColumn(CARRY, F.lit(2)), allowMissingColumns=True)
+    ahead = (Window.partitionBy(*keys, SLOT).orderBy(F.col(CARRY) == 2, ts, CARRY)
+             .rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    return (both.withColumn(name, F.first(name, ignorenulls=True).over(ahead))
+            .where((F.col(CARRY) == 0) & F.col(name).isNotNull()).select(*times.columns, name))
+
+
 def since_reset(df: DataFrame, keys: Sequence[str], ts: str, reset: Column,
                 seq: str | None = None) -> DataFrame:
     """Rows of every series that come after its last ``reset`` row (all rows if it has none)."""

@@ -19,7 +19,7 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 from fleetlens import schemas
 from fleetlens.operators import accounting, deltas, merges, samples
 from fleetlens.operators.timeline import (
-    chained, newest_per_key, previous_values, replayed, slot_functions, spacing, ticks_of,
+    chained, newest_per_key, previous_values, replayed, slot_functions, spacing, ticks_of, upcoming,
 )
 from fleetlens.sources import sinks
 
@@ -181,15 +181,16 @@ def stream_consumers(stream: DataFrame, root: str, checkpoint: str, keys=deltas.
 
 
 def _retake(spark, root, done, todo, made, takes, n, revision) -> dict[str, DataFrame]:
-    """Top consumers of the takes that are new or whose snapshots changed."""
-    order = Window.partitionBy("source_database").orderBy("taken_at")
-    spans = (takes.select("source_database", F.col("collected_at").alias("taken_at")).distinct()
-             .withColumn("_since", F.lag("taken_at").over(order)))
-    before = _newest(sinks.read_table(spark, root, "takes_done"), spark, "source_database string, taken_at timestamp, revision long", ["source_database", "taken_at"])
-    span_at = lambda t: (t <= F.col("taken_at")) & (F.col("_since").isNull() | (t > F.col("_since")))
-    changed = todo.select(F.col("source_database").alias("_db"), F.col("collected_at").alias("_at"))
-    hit = spans.join(changed, (F.col("source_database") == F.col("_db")) & span_at(F.col("_at")), "left_semi")
-    redo = hit.unionByName(spans.join(before, ["source_database", "taken_at"], "left_anti")).distinct().persist()
+    """Top consumers of the takes that are new, follow a new one, or whose snapshots changed."""
+    keys = ["source_database", "taken_at"]
+    before = _newest(sinks.read_table(spark, root, "takes_done"), spark, "source_database string, taken_at timestamp, revision long", keys)
+    takes = takes.select(*SNAPSHOT).where("source_database is not null and collected_at is not null").distinct()
+    changed = upcoming(todo.select(*SNAPSHOT), takes, ["source_database"], "collected_at", "taken_at").select(*keys).distinct()
+    spans = (takes.withColumnRenamed("collected_at", "taken_at").join(before, keys, "left")
+             .join(changed.withColumn("_changed", F.lit(True)), keys, "left").withColumn("_new", F.col("revision").isNull()))
+    spans = previous_values(spans, ["source_database"], "taken_at", ["taken_at", "_new"])
+    redo = (spans.where(F.col("_new") | F.col("_changed") | F.col("prev__new"))
+            .select(*keys, F.col("prev_taken_at").alias("_since")).persist())
     first, last = redo.agg(F.min("_since"), F.max("taken_at")).first()
     whole = redo.where("_since is null").isEmpty()
     kept = consumer_deltas(spark, root, done)
@@ -199,10 +200,8 @@ def _retake(spark, root, done, todo, made, takes, n, revision) -> dict[str, Data
             kept = kept.where(F.col("day") <= F.lit(last.date()))
             kept = kept.where(F.col("day") >= F.lit(first.date())) if whole and first else kept
         rows = made.unionByName(kept.join(todo, SNAPSHOT, "left_anti").select(*made.columns))
-    inside = rows.join(redo.withColumnRenamed("source_database", "_db"), (F.col("source_database") == F.col("_db")) & span_at(F.col("collected_at")), "left_semi")
-    top = deltas.top_consumers(inside, n=n, takes=spans.select("source_database", F.col("taken_at").alias("collected_at")))
-    keys = ["source_database", "taken_at"]
-    return {"top_consumers": top.join(redo, keys, "left_semi").select("*", revision), "takes_done": redo.select(*keys, revision)}
+    top = deltas.ranked_work(deltas.work_at_takes(rows, takes).join(redo, keys, "left_semi"), n)
+    return {"top_consumers": top.select("*", revision), "takes_done": redo.select(*keys, revision)}
 
 
 def consumer_deltas(spark: SparkSession, root: str, done: DataFrame | None = None) -> DataFrame | None:

@@ -1,3 +1,4 @@
+import bisect
 import random
 from datetime import datetime, timedelta
 
@@ -192,3 +193,19 @@ def test_thinning_through_composed_runs(spark, at, monkeypatch):
                 last[k] = s
         got = sorted((r.k, r.t) for r in timeline.thin(df, ["k"], "t", gap, strict, slot_seconds=gap * 2).collect())
         assert got == want
+
+
+def test_upcoming_marks_of_one_hot_series(spark, at):
+    """10,000 marks of one database, times at marks, in gaps of many slots, after the last mark, and without a time."""
+    rng = random.Random(3)
+    marks = sorted({rng.randrange(0, 40_000_000) for _ in range(10_000)})
+    times = [None, -5, 0, 50_000_000, *marks[::97], *(rng.randrange(-100, 41_000_000) for _ in range(3_000))]
+    schema = "source_database string, collected_at timestamp, n long"
+    moment = lambda t: None if t is None else at(t)
+    rows = [(db, moment(t), i) for db in ("hot", "bare", None) for i, t in enumerate(times)]
+    every = [("hot", at(t), 0) for t in marks] + [("hot", None, 0), (None, at(7), 0), ("hot", at(marks[3]), 0)]
+    got = timeline.upcoming(spark.createDataFrame(rows, schema), spark.createDataFrame(every, schema), ["source_database"], "collected_at", "mark")
+    want = {("hot", i): at(marks[k]) for i, t in enumerate(times) if t is not None for k in [bisect.bisect_left(marks, t)] if k < len(marks)}
+    want |= {(None, i): at(7) for i, t in enumerate(times) if t is not None and t <= 7}
+    assert {(r.source_database, r.n): r.mark for r in got.collect()} == want
+    assert timeline.upcoming(spark.createDataFrame(rows, schema).limit(0), spark.createDataFrame(every, schema), ["source_database"], "collected_at", "mark").count() == 0

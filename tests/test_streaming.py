@@ -191,6 +191,23 @@ def test_split_and_late_snapshots_equal_the_batch_form(spark, at, tmp_path):
     same(jobs.top_consumers(spark, root).drop("batch_id", "day", "revision"), deltas.top_consumers(whole, n=3, takes=takes))
 
 
+def test_late_takes_shorten_the_one_behind(spark, at, tmp_path):
+    df = snapshots(spark, at, 8)
+    stream = land(spark, tmp_path, df, [20, 45, 60], "arrival").drop("arrival")
+    root, calls = str(tmp_path / "store"), []
+    lists = [[130, 400], [130, 400], [130, 250, 400], [130, 250, 400, 410]]
+
+    def takes(s):
+        calls.append(1)
+        return s.createDataFrame([("db", at(t)) for t in lists[min(len(calls), len(lists)) - 1]], "source_database string, collected_at timestamp")
+
+    jobs.stream_consumers(stream, root, str(tmp_path / "cp"), takes=takes, n=3).awaitTermination()
+    assert len(calls) >= 3
+    whole = deltas.consumer_delta(df.drop("arrival"))
+    last = takes(spark)
+    same(jobs.top_consumers(spark, root).drop("batch_id", "day", "revision"), deltas.top_consumers(whole, n=3, takes=last))
+
+
 def test_incomplete_snapshots_wait(spark, at, tmp_path):
     df = snapshots(spark, at, 6)
     stream = land(spark, tmp_path, df, [30, 60], "arrival").drop("arrival")
