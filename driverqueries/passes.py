@@ -41,11 +41,14 @@ select * from ({_CURSOR}) c semi join ({_TOP}) t on t.source_database = c.source
 qualify row_number() over (partition by source_database, collected_at, inst_id, sql_id, plan_hash_value order by elapsed_time desc nulls first, child_number, seq) = 1"""
 
 
-def _result(fx, state=None):
-    cursor = fx.cursor.select(
+def _cursor(fx):
+    return fx.cursor.select(
         F.date_trunc("hour", "collected_at").alias("collected_at"), "source_database", "inst_id", "sql_id", "child_number", "plan_hash_value",
         "parsing_schema_name", "module", F.col("elapsed_time_micro").alias("elapsed_time"), F.concat(F.lit("select "), F.col("seq").cast("string")).alias("sql_fulltext"), "seq")
-    raw = {"sqlstats": fx.rawstats, "sql": cursor, "sql_plan": fx.plan.drop("event_type")}
+
+
+def _result(fx, state=None):
+    raw = {"sqlstats": fx.rawstats, "sql": _cursor(fx), "sql_plan": fx.plan.drop("event_type")}
     outcomes = fx.status.select("collected_at", "source_database", "collector", "duration_seconds", "sample_count", "error_message", "seq",
                                 (F.col("seq") - F.col("seq") % 5).alias("cycle_id"))
     return passes.run_pass(raw, state or passes.empty_state(fx.spark), fx.as_of, outcomes, fx.cycle.drop("databases_succeeded"), n=TOP)
@@ -56,6 +59,47 @@ def pass_top_consumers(fx):
     return _result(fx).appended["top_consumers"].select("source_database", "taken_at", "sql_id", "elapsed_time_micro", "executions", "rank")
 
 
+# Takes lie at least five hours apart; work counts for the first take at or after its snapshot.
+_TOP_APART = f"""
+with recursive summed as (
+  select source_database, collected_at, inst_id, sql_id, plan_hash_value, sum(elapsed_time) as e, sum(cpu_time) as c, sum(user_io_wait_time) as u, sum(executions) as x
+  from {{fx_rawstats}} where sql_id is not null group by all
+), numbered as (
+  select *, dense_rank() over (partition by source_database order by collected_at) as snapshot from summed
+), takes as (
+  select source_database, min(collected_at) as taken_at from summed group by 1
+  union all
+  select s.source_database, min(s.collected_at) from takes k join summed s
+    on s.source_database = k.source_database and s.collected_at >= k.taken_at + interval '5 hours' group by 1
+), work as (
+  select now.source_database, (select min(taken_at) from takes k where k.source_database = now.source_database and k.taken_at >= now.collected_at) as taken_at,
+    now.sql_id, greatest(now.e - coalesce(old.e, 0), 0) as e, greatest(now.c - coalesce(old.c, 0), 0) as c,
+    greatest(now.u - coalesce(old.u, 0), 0) as u, greatest(now.x - coalesce(old.x, 0), 0) as x
+  from numbered now left join numbered old on old.source_database = now.source_database and old.inst_id = now.inst_id and old.sql_id = now.sql_id
+    and old.plan_hash_value = now.plan_hash_value and old.snapshot = now.snapshot - 1
+  where now.snapshot > 1
+), totals as (
+  select source_database, taken_at, sql_id, sum(e) as e, sum(c) as c, sum(u) as u, sum(x) as x from work where taken_at is not null group by all
+)
+select source_database, taken_at, sql_id, cast(e as bigint) as elapsed_time_micro, cast(x as bigint) as executions,
+  row_number() over (partition by source_database, taken_at order by e desc, c desc, u desc, sql_id) as rank
+from totals where e > 0 qualify rank <= {TOP}"""
+
+
+@query("pass_top_consumers_apart", _TOP_APART)
+def pass_top_consumers_apart(fx):
+    """Two passes share the landed snapshots; the first ends between two takes, so work is handed on as state."""
+    root = scratch_dir(fx.spark, "pass-apart")
+    start, end = fx.rawstats.agg(F.min("collected_at"), F.max("collected_at")).first()
+    middle = start + (end - start) / 2
+    cursor = _cursor(fx)
+    for i, part in enumerate((F.col("collected_at") < F.lit(middle), F.col("collected_at") >= F.lit(middle))):
+        raw = {"sqlstats": fx.rawstats.where(part), "sql": cursor.where(part), "sql_plan": fx.plan.drop("event_type")}
+        passes.perform_pass(fx.spark, root, i, raw, fx.as_of, n=TOP, detail_interval=5 * 3600)
+    return sinks.read_table(fx.spark, root, "top_consumers").select(
+        "source_database", "taken_at", "sql_id", "elapsed_time_micro", "executions", "rank")
+
+
 @query("pass_sql_details", f"select source_database, collected_at, inst_id, sql_id, child_number, plan_hash_value, elapsed_time from ({_DETAILS}) d")
 def pass_sql_details(fx):
     return _result(fx).appended["sql_details"].select("source_database", "collected_at", "inst_id", "sql_id", "child_number", "plan_hash_value", "elapsed_time")
@@ -116,5 +160,5 @@ def pass_committed_accounting(fx):
     result = _result(fx)
     for _ in range(2):
         passes.commit_pass(fx.spark, root, 1, result, fx.as_of)
-    stored = sinks.read_state(fx.spark, root, "daily_ingest", passes.schemas.STORED["repository_daily_ingest"])
+    stored = sinks.read_state(fx.spark, root, "repository_daily_ingest", passes.schemas.STORED["repository_daily_ingest"])
     return stored.select("source_database", "sample_day", "sql_sample_rows", "scrape_status_rows")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections import Counter
+from collections.abc import Callable
 from datetime import date, datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
@@ -140,21 +141,28 @@ def _write_folder(spark: SparkSession, root: str, name: str, batch_id: int, df:
     return [[f"{folder}/day={d}", d] for d in sorted(days)]
 
 
-def commit_batch(spark: SparkSession, root: str, batch_id: int, tables: dict[str, DataFrame]) -> bool:
+def commit_batch(spark: SparkSession, root: str, batch_id: int, tables: dict[str, DataFrame],
+                 complete: Callable[[dict[str, DataFrame]], None] | None = None) -> bool:
     """Write all tables of a batch, then publish it with one small file.
 
     Readers only see published batches.  A batch that failed half-way is rewritten in
-    full, one that was published is left alone (returns False).
+    full, one that was published is left alone (returns False).  ``complete`` gets the tables
+    as written, before they are published.
     """
     version, content = manifest(spark, root)
     if any(first <= batch_id <= last for first, last in content["batches"]):
         return False
+    written = {}
     for name, df in tables.items():
         ts = EVENT_TIME.get(name)
         by_day = ts in df.columns
         known = content["tables"].setdefault(name, {"columns": None, "parts": []})
         known["columns"] = _wider(known["columns"], df.drop("day", "batch_id"))
-        known["parts"] += _write_folder(spark, root, name, batch_id, with_day(df, ts) if by_day else df, by_day)
+        rows = with_day(df, ts) if by_day else df
+        known["parts"] += _write_folder(spark, root, name, batch_id, rows, by_day)
+        written[name] = spark.read.schema(rows.schema).parquet(f"{root}/{name}/batch_id={batch_id}")
+    if complete:
+        complete(written)
     content["batches"] = _with_batch(content["batches"], batch_id)
     _publish(spark, root, version + 1, content)
     for name in tables:
@@ -238,9 +246,9 @@ def read_state(spark: SparkSession, root: str, name: str, schema: T.StructType,
     return spark.read.schema(schema).parquet(f"{root}/{name}/version={found[-1]}")
 
 
-def write_state(spark: SparkSession, root: str, name: str, df: DataFrame, version: int) -> None:
-    """Write a new version beside the one being read; a replay does nothing, old versions go."""
-    if version in versions(spark, f"{root}/{name}"):
+def write_state(spark: SparkSession, root: str, name: str, df: DataFrame, version: int, anew: bool = False) -> None:
+    """Write a new version beside the one being read; a replay does nothing (``anew``: writes it again), old versions go."""
+    if not anew and version in versions(spark, f"{root}/{name}"):
         return
     df.write.mode("overwrite").parquet(f"{root}/{name}/version={version}")
     _forget_old(spark, f"{root}/{name}")
