@@ -47,11 +47,16 @@ def _cursor(fx):
         "parsing_schema_name", "module", F.col("elapsed_time_micro").alias("elapsed_time"), F.concat(F.lit("select "), F.col("seq").cast("string")).alias("sql_fulltext"), "seq")
 
 
-def _result(fx, state=None):
-    raw = {"sqlstats": fx.rawstats, "sql": _cursor(fx), "sql_plan": fx.plan.drop("event_type")}
+def _landed(fx):
     outcomes = fx.status.select("collected_at", "source_database", "collector", "duration_seconds", "sample_count", "error_message", "seq",
                                 (F.col("seq") - F.col("seq") % 5).alias("cycle_id"))
-    return passes.run_pass(raw, state or passes.empty_state(fx.spark), fx.as_of, outcomes, fx.cycle.drop("databases_succeeded"), n=TOP)
+    raw = {"sqlstats": fx.rawstats, "sql": _cursor(fx), "sql_plan": fx.plan.drop("event_type")}
+    return raw, {"outcomes": outcomes, "cycles": fx.cycle.drop("databases_succeeded"), "n": TOP}
+
+
+def _result(fx):
+    raw, options = _landed(fx)
+    return passes.run_pass(raw, passes.empty_state(fx.spark), fx.as_of, **options)
 
 
 @query("pass_top_consumers", _TOP)
@@ -157,8 +162,8 @@ select source_database, sample_day, cast(sum(n) as bigint) as sql_sample_rows, c
 def pass_committed_accounting(fx):
     # committed twice: the replay must not count again
     root = scratch_dir(fx.spark, "pass")
-    result = _result(fx)
+    raw, options = _landed(fx)
     for _ in range(2):
-        passes.commit_pass(fx.spark, root, 1, result, fx.as_of)
+        passes.perform_pass(fx.spark, root, 1, raw, fx.as_of, **options)
     stored = sinks.read_state(fx.spark, root, "repository_daily_ingest", passes.schemas.STORED["repository_daily_ingest"])
     return stored.select("source_database", "sample_day", "sql_sample_rows", "scrape_status_rows")

@@ -58,7 +58,8 @@ def empty_state(spark: SparkSession) -> dict[str, DataFrame]:
     return {name: spark.createDataFrame([], schema) for name, schema in state_schemas().items()}
 
 
-def busiest_statements(sql_samples: DataFrame, state: dict[str, DataFrame], n: int, detail_interval: float) -> tuple[DataFrame, dict[str, DataFrame]]:
+def busiest_statements(sql_samples: DataFrame, state: dict[str, DataFrame], n: int, detail_interval: float,
+                       hold: Callable[[DataFrame], DataFrame] = lambda df: df) -> tuple[DataFrame, dict[str, DataFrame]]:
     """The statements that did most work since the take before, at every take of the pass; and the states behind it.
 
     A snapshot is a take once ``detail_interval`` seconds have passed since the last take of its database; the
@@ -76,13 +77,13 @@ def busiest_statements(sql_samples: DataFrame, state: dict[str, DataFrame], n: i
     last = state[LAST_TAKES].select(db, F.col("collected_at").alias("_last"))
     waited = F.unix_micros("collected_at") - F.unix_micros("_last") >= int(gap * 1_000_000)
     due = times.join(last, db, "left").where(F.col("_last").isNull() | waited)
-    takes = timeline.thin(due, [db], "collected_at", gap)
+    takes = hold(timeline.thin(due, [db], "collected_at", gap))
     ahead = timeline.upcoming(times, takes, [db], "collected_at", "taken_at")
     work = deltas.consumer_delta(rows).join(ahead, samples.SNAPSHOT, "left")
     first = takes.groupBy(db).agg(F.min("collected_at").alias("taken_at"))
     names = [db, "taken_at", "sql_id"]
-    totals = (work.select(*names, *counters).unionByName(state[OPEN_WORK].join(first, db, "left").select(*names, *counters))
-              .groupBy(*names).agg(*[F.sum(c).alias(c) for c in counters]))
+    totals = hold(work.select(*names, *counters).unionByName(state[OPEN_WORK].join(first, db, "left").select(*names, *counters))
+                  .groupBy(*names).agg(*[F.sum(c).alias(c) for c in counters]))
     newest = rows.groupBy(db).agg(F.max("collected_at").alias("collected_at"))
     return deltas.ranked_work(totals.where("taken_at is not null"), n), {
         LAST_TAKES: takes.unionByName(state[LAST_TAKES]).groupBy(db).agg(F.max("collected_at").alias("collected_at")),
@@ -105,7 +106,7 @@ def run_pass(raw: dict[str, DataFrame], state: dict[str, DataFrame], as_of: Colu
     out = PassResult(appended=build_samples(raw, interval=interval), states=dict(state))
     if "sqlstats" in raw and "sql" in raw:
         out.appended["sql_samples"] = hold(out.appended["sql_samples"])
-        top, consumers = busiest_statements(out.appended["sql_samples"], state, n, detail_interval)
+        top, consumers = busiest_statements(out.appended["sql_samples"], state, n, detail_interval, hold)
         out.appended["top_consumers"] = top = hold(top)
         out.states |= consumers
         _statements(out, raw, state, top, hold)
