@@ -4,8 +4,9 @@ Equal vectors are one node that keeps its smallest ids.  Nodes are dealt by hash
 bounded size.  A shard's graph is built by inserting nodes in growing batches: a greedy beam
 search from the entry proposes neighbours, robust pruning keeps a candidate only while no kept one
 is closer to it than ``alpha`` times less than the node, and reverse edges are added and pruned in
-the same way.  Every query is searched by beam in every shard of its dimension; the shards' best
-are ranked together by exact distances.
+the same way.  Every query is searched by beam in every shard of its dimension: a task holds the nodes
+of one shard while the blocks of queries pass by; the shards' best are ranked together by exact
+distances.
 
 Cases: null, empty and zero vectors, vectors with null or non-finite components, and rows with a
 null id take no part; vectors of different dimensions never meet; equal rows of one
@@ -31,8 +32,9 @@ ALPHA = 1.2
 SHARD = 8192
 MOST_SHARDS = 256
 LARGEST = 300_000
-#: Queries that travel together.
+#: Queries that travel together, and blocks of them that one task answers; a shard with more is searched by several tasks.
 QUERY_BLOCK = 512
+TASK_BLOCKS = 2048
 EXPAND = 4
 
 
@@ -140,7 +142,7 @@ def usable(vector: Column) -> Column:
 
 
 def nearest(vectors: DataFrame, is_query: Column, vec_id: str = "vec_id", vector: str = "embedding", k: int = 10,
-            degree: int = DEGREE, beam: int = BEAM, alpha: float = ALPHA, shard: int = SHARD) -> DataFrame:
+            degree: int = DEGREE, beam: int = BEAM, alpha: float = ALPHA, shard: int = SHARD, task_blocks: int = TASK_BLOCKS) -> DataFrame:
     """``query_id``, ``rank``, ``vec_id``, ``score`` of the ``k`` nearest found of every row for which ``is_query`` holds."""
     rows = (vectors.select(F.col(vec_id).cast("bigint").alias("vec_id"), F.transform(F.col(vector).cast("array<double>"), lambda x: x + F.lit(0.0)).alias("v"), is_query.alias("asks"))
             .where(F.col("vec_id").isNotNull() & usable(F.col("v"))))
@@ -161,27 +163,46 @@ def nearest(vectors: DataFrame, is_query: Column, vec_id: str = "vec_id", vector
                     part = some.iloc[at:at + QUERY_BLOCK]
                     yield pd.DataFrame({"dim": [dim], "q": [part["vec_id"].to_numpy(np.int64).tobytes()], "m": [np.stack(part["v"].to_numpy()).astype(np.float64).tobytes()]})
 
-    blocks = stored(asked.mapInPandas(pack, "dim int, q binary, m binary"), "queries").withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-
-    def search(some: pd.DataFrame, questions: pd.DataFrame) -> pd.DataFrame:
+    blocks = stored(asked.mapInPandas(pack, "dim int, q binary, m binary"), "queries")
+    parts = max(1, -(-blocks.count() // task_blocks))
+    dealt = blocks.withColumn("part", F.pmod(F.xxhash64("q"), F.lit(parts)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    needed = placed.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    # every (shard, part) is one task: its nodes come first, the blocks of queries pass by behind them
+    order = ["dim", "asking", "node"]
+    work = (needed.select("shard", "part", "dim", F.lit(0).alias("asking"), F.col("ids")[0].alias("node"), "v", "ids")
+            .unionByName(dealt.select("shard", "part", "dim", F.lit(1).alias("asking"), "q", "m"), allowMissingColumns=True)
+            .repartitionById(shards * parts, (F.col("shard") * parts + F.col("part")).cast("int")).sortWithinPartitions(*order)
+            .select("dim", "v", "ids", "q", "m"))
+
+    def answers(exact: np.ndarray, points: np.ndarray, ids: list, graph: np.ndarray, entry: int, q: bytes, m: bytes) -> list:
+        asking = np.frombuffer(q, np.int64)
+        targets = np.frombuffer(m, np.float64).reshape(len(asking), -1)
+        found, _ = beam_search(points, graph, entry, targets.astype(np.float32), beam)
         out = []
-        if len(some) and len(questions):
-            exact = np.stack(some["v"].to_numpy()).astype(np.float64)
-            ids = some["ids"].tolist()
-            points = exact.astype(np.float32)
-            graph, entry = build_graph(points, degree, beam, alpha)
-            for q, m in zip(questions["q"], questions["m"]):
-                asking = np.frombuffer(q, np.int64)
-                targets = np.frombuffer(m, np.float64).reshape(len(asking), -1)
-                found, _ = beam_search(points, graph, entry, targets.astype(np.float32), beam)
-                for i, query in enumerate(asking.tolist()):
-                    hits = found[i][found[i] >= 0]
-                    score = np.sqrt(((exact[hits] - targets[i]) ** 2).sum(axis=1))
-                    pairs = [(s, v) for s, h in zip(score.tolist(), hits.tolist()) for v in ids[h] if v != query]
-                    out += [(query, v, s) for s, v in sorted(pairs)[:k]]
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
-
-    found = (placed.groupBy("dim", "shard").cogroup(blocks.groupBy("dim", "shard"))
-             .applyInPandas(search, "query_id bigint, vec_id bigint, score double"))
+        for i, query in enumerate(asking.tolist()):
+            hits = found[i][found[i] >= 0]
+            score = np.sqrt(((exact[hits] - targets[i]) ** 2).sum(axis=1))
+            pairs = [(s, v) for s, h in zip(score.tolist(), hits.tolist()) for v in ids[h] if v != query]
+            out += [(query, v, s) for s, v in sorted(pairs)[:k]]
+        return out
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        here, vectors, ids, built = None, [], [], None
+        for batch in batches:
+            for dim, v, names, q, m in batch.itertuples(index=False, name=None):
+                if dim != here:
+                    here, vectors, ids, built = dim, [], [], None
+                if q is None:
+                    vectors.append(np.asarray(v, dtype=np.float64))
+                    ids.append(list(names))
+                elif built or vectors:
+                    if not built:
+                        exact = np.stack(vectors)
+                        vectors, points = [], exact.astype(np.float32)
+                        built = (exact, points, ids, *build_graph(points, degree, beam, alpha))
+                    made = answers(*built, q, m)
+                    yield pd.DataFrame(made, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
+
+    found = work.mapInPandas(search, "query_id bigint, vec_id bigint, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return found.distinct().select("query_id", rank.alias("rank"), "vec_id", "score").where(F.col("rank") <= k)

@@ -37,3 +37,12 @@ def test_odd_vectors(spark):
     got = [tuple(r) for r in N.nearest(df, F.lit(True)).orderBy("query_id", "rank").collect()]
     assert got == [(0, 1, 9, 0.0), (0, 2, 1, 1.0), (1, 1, 0, 1.0), (1, 2, 9, 1.0), (9, 1, 0, 0.0), (9, 2, 1, 1.0)]
     assert N.nearest(df.limit(0), F.lit(True)).count() == 0
+
+
+def test_shards_searched_by_several_tasks(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    df = spark.createDataFrame([(i, p.tolist(), 0) for i, p in enumerate(rng.normal(size=(400, 8)).astype(np.float32))], SCHEMA).repartition(4)
+    whole = {tuple(r) for r in N.nearest(df, F.lit(True), k=3, shard=150).collect()}
+    monkeypatch.setattr(N, "QUERY_BLOCK", 20)
+    split = {tuple(r) for r in N.nearest(df, F.lit(True), k=3, shard=150, task_blocks=3).collect()}
+    assert split == whole and len(whole) == 1200
