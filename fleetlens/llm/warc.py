@@ -21,8 +21,9 @@ are ignored; an empty table gives no archive and an empty index.
 
 from __future__ import annotations
 
+import gzip
 import hashlib
-import zlib
+import io
 from collections.abc import Iterator
 
 import pandas as pd
@@ -84,31 +85,28 @@ def url_key(url: str | None) -> str:
 
 
 def records(data: bytes) -> Iterator[tuple[int, int, dict[str, str], bytes]]:
-    """Offset and length in the uncompressed archive, WARC headers and block of every record, by their declared lengths."""
-    raw = gunzip(data)
+    """Offset and length in the uncompressed archive, WARC headers and block of every record, by their declared lengths.
+
+    The archive is unpacked as it is read; one record is held at a time.
+    """
     at = 0
-    while at < len(raw):
-        cut = raw.index(b"\r\n\r\n", at)
-        lines = raw[at:cut].decode("utf-8").split("\r\n")
-        if not lines[0].startswith("WARC/"):
-            raise ValueError(f"no WARC record at {at}")
-        fields = dict(x.split(": ", 1) for x in lines[1:])
-        begin = cut + 4
-        end = begin + int(fields["Content-Length"])
-        if raw[end:end + 4] != b"\r\n\r\n":
-            raise ValueError(f"record at {at} does not end where it says")
-        yield at, end - at, fields, raw[begin:end]
-        at = end + 4
-
-
-def gunzip(data: bytes) -> bytes:
-    """All members of a gzip file."""
-    parts = []
-    while data:
-        d = zlib.decompressobj(31)
-        parts += [d.decompress(data), d.flush()]
-        data = d.unused_data
-    return b"".join(parts)
+    with gzip.open(io.BytesIO(data)) as raw:
+        while first := raw.readline():
+            if not first.startswith(b"WARC/"):
+                raise ValueError(f"no WARC record at {at}")
+            fields, size = {}, len(first) + 2
+            while (line := raw.readline()) != b"\r\n":
+                if not line.endswith(b"\r\n"):
+                    raise ValueError(f"headers of the record at {at} do not end")
+                name, value = line[:-2].decode("utf-8").split(": ", 1)
+                fields[name] = value
+                size += len(line)
+            block = raw.read(int(fields["Content-Length"]))
+            size += len(block)
+            if len(block) != int(fields["Content-Length"]) or raw.read(4) != b"\r\n\r\n":
+                raise ValueError(f"record at {at} does not end where it says")
+            yield at, size, fields, block
+            at += size + 4
 
 
 def page_number(urn: str | None) -> int | None:

@@ -3,6 +3,7 @@ import hashlib
 import random
 from pathlib import Path
 
+import pytest
 from pyspark.sql import functions as F
 
 from fleetlens.llm import warc as W
@@ -41,6 +42,18 @@ def test_archives_are_plain_warc_files(spark, tmp_path):
     assert {r["page_id"] for r in runs} == {1, 2}
 
 
+def test_records_are_read_as_a_stream():
+    """Records lie where they say, over several gzip members; damaged archives are told."""
+    parts = [b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: %d\r\n\r\n%s" % (len(x), x) for x in (b"", b"a\r\n\r\nWARC/1.1\r\n", b"z" * 3_000_000)]
+    whole = b"".join(p + b"\r\n\r\n" for p in parts)
+    got = list(W.records(gzip.compress(whole[:70]) + gzip.compress(whole[70:])))
+    assert [whole[at:at + n] for at, n, _, _ in got] == parts and [len(b) for *_, b in got] == [0, 15, 3_000_000]
+    for bad in (whole[:-1], whole[:20], b"x" + whole, whole + b"\r\n"):
+        with pytest.raises(ValueError):
+            list(W.records(gzip.compress(bad)))
+    assert list(W.records(gzip.compress(b""))) == []
+
+
 def test_empty(spark):
     assert W.capture_history(spark.createDataFrame([], PAGES)).count() == 0
 
