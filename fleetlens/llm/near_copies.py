@@ -1,13 +1,18 @@
 """Groups of near copies: documents whose word shingles have a Jaccard similarity of ``similarity`` or more.
 
-The join is exact (up to 64-bit shingle hashes).  All shingle sets are put into one order, rare
+The sets' SimHash fingerprints are joined by the binary tries of :mod:`fleetlens.llm.simhash` first; the
+pairs that these link are verified on whole sets and form the first groups.  Fingerprints of similar sets often
+differ in more bits than tries can be walked with, so a second join completes the groups; it looks only at sets
+that are in different ones.
+
+That join is exact (up to 64-bit shingle hashes).  All shingle sets are put into one order, rare
 shingles first; two sets of sufficient similarity share a shingle among the first
 n - ceil(similarity * n) + 1 of each, so only those matter.  Texts are shingled once for this, and
 their leading shingles stored in batches.  Most of them stand in one set only, so the batches first
 exchange 32 bits of each: buckets of these bits send back one bit, whether another batch holds the
 same.  Only shingles that may be shared are then dealt out with their sets.
 
-Pairs that meet at a shingle are verified on their whole sets before they are linked; those sets are
+Pairs that meet are verified on their whole sets before they are linked; those sets are
 made anew, once, for the sets of such pairs only.  Each set's parity bits (of the number of its
 shingles in each of PARITY_BITS classes) differ in no more places than the sets differ in shingles,
 which drops most other pairs without a loss: 512 of them where sets meet, then more for larger sets.  Every set is first paired with the one centre it shares
@@ -36,7 +41,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fleetlens.llm.common import connected, discard, stored
-from fleetlens.llm.simhash import LOWER
+from fleetlens.llm.simhash import LOWER, fingerprint_links, majority
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -47,12 +52,14 @@ MOST_COMMON = 250_000
 #: Leading shingles in one bucket of the exchange, about.
 BUCKET_SHINGLES = 4_000_000
 PARITY_BITS = 512
+#: Bits in which the fingerprints of sets may differ that the tries bring together.
+PRINT_BUDGET = 4
 #: Most places of the bit map that picks the documents whose whole sets are needed, and places for each of them.
 #: It is part of a plan, which the driver keeps as text too; a full map only makes sets that are then dropped.
 MOST_PLACES, PLACES_EACH = 1 << 20, 16
 EPSILON = 1e-9
 
-BATCHES = "batch long, doc_id array<long>, key array<long>, n array<int>, parity array<binary>, counts array<int>, leads binary"
+BATCHES = "batch long, doc_id array<long>, key array<long>, n array<int>, fp array<long>, parity array<binary>, counts array<int>, leads binary"
 LOW_BITS = np.uint64(0xFFFFFFFF)
 
 
@@ -133,18 +140,19 @@ def key_of(own: np.ndarray, seed: int) -> int:
 
 
 def batched_sets(rows: DataFrame, common: np.ndarray, words: int, similarity: float, seed: int) -> DataFrame:
-    """The documents in batches: ids, digests, sizes and parities of their sets, and the leading shingles one set after the other."""
+    """The documents in batches: ids, digests, sizes, fingerprints and parities of their sets, and the leading shingles one set after the other."""
     by_value = np.argsort(common, kind="stable")
     sorted_common = common[by_value]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         first = TaskContext.get().partitionId() << 33
         for k, batch in enumerate(batches):
-            keys, sizes, parities, counts, leads = [], [], [], [], []
+            keys, sizes, prints, parities, counts, leads = [], [], [], [], [], []
             for t in batch["text"]:
                 own = shingles_of(t, words, seed)
                 keys.append(key_of(own, seed))
                 sizes.append(len(own))
+                prints.append(int(np.uint64(majority(own)).view(np.int64)))
                 parities.append(parity_of(own, fine_bits(len(own))))
                 if len(sorted_common) and len(own):
                     at = np.minimum(np.searchsorted(sorted_common, own), len(sorted_common) - 1)
@@ -152,7 +160,7 @@ def batched_sets(rows: DataFrame, common: np.ndarray, words: int, similarity: fl
                 leads.append(own[:leading(len(own), similarity)])
                 counts.append(len(leads[-1]))
             if len(keys):
-                yield pd.DataFrame({"batch": [first + k], "doc_id": [batch["doc_id"].to_numpy()], "key": [keys], "n": [sizes], "parity": [parities],
+                yield pd.DataFrame({"batch": [first + k], "doc_id": [batch["doc_id"].to_numpy()], "key": [keys], "n": [sizes], "fp": [prints], "parity": [parities],
                                     "counts": [counts], "leads": [np.concatenate(leads).tobytes()]})
 
     return rows.mapInPandas(run, BATCHES)
@@ -219,6 +227,17 @@ def close(n_a: str, n_b: str, parity_a: str, parity_b: str, similarity: float) -
     return (smaller >= larger * similarity - EPSILON) & (apart <= (F.col(n_a) + F.col(n_b)) * ((1 - similarity) / (1 + similarity)) + EPSILON)
 
 
+def print_pairs(owners: DataFrame, budget: int = PRINT_BUDGET) -> DataFrame:
+    """Pairs ``a``, ``b`` of sets (``key``, ``fp``) that the tries of fingerprints link: the first set of every
+    fingerprint with the others of it, and the first ones of fingerprints within ``budget`` bits, as spanning links."""
+    prints = stored(owners.groupBy("fp").agg(F.min("key").alias("first")), "prints")
+    of = lambda c: prints.select(F.col("fp").alias(c), F.col("first").alias(f"first_{c}"))
+    linked = fingerprint_links(prints.select("fp"), budget).join(of("a"), "a").join(of("b"), "b")
+    equal = owners.select("key", "fp").join(prints, "fp").where("key <> first")
+    return (linked.select(F.least("first_a", "first_b").alias("a"), F.greatest("first_a", "first_b").alias("b"))
+            .unionAll(equal.select(F.col("first").alias("a"), F.col("key").alias("b"))).distinct())
+
+
 def centre_pairs(members: DataFrame, salt: int) -> DataFrame:
     """How many shingles (``times``) every set ``key`` shares with each ``centre``, where their groups differ."""
     centre = members.groupBy("shingle").agg(F.min(F.struct(F.xxhash64("key", F.lit(salt)).alias("h"), F.col("key").alias("centre"), F.col("component").alias("of_centre"))).alias("c"))
@@ -296,29 +315,32 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wor
     def coarse(parity: pd.Series) -> pd.Series:
         return pd.Series([folded(p, PARITY_BITS // 8).view(np.int64) for p in parity], dtype=object)
 
-    known = batches.select(F.explode(F.arrays_zip("doc_id", "key", "n", "parity")).alias("d")).select("d.*")
-    owners = stored(known.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("parity").alias("fine"))
+    known = batches.select(F.explode(F.arrays_zip("doc_id", "key", "n", "fp", "parity")).alias("d")).select("d.*")
+    owners = stored(known.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("parity").alias("fine"))
                     .withColumn("parity", coarse("fine")), "owners")
     discard(batches)
     of = lambda c: owners.select(F.col("key").alias(c), F.col("n").alias(f"n_{c}"), F.col("parity").alias(f"parity_{c}"))
     sets, links, groups = Sets(rows, owners, words, seed), None, None
-    for turn in range(3):
-        if turn < 2:
-            met = centre_pairs(members, turn)
-            if turn == 0:  # only the centre that a set shares most with
-                met = met.groupBy("key").agg(F.max_by("centre", F.struct("times", "centre")).alias("centre"))
-            pairs = met.select(F.least("key", "centre").alias("a"), F.greatest("key", "centre").alias("b")).distinct()
+    for turn in range(4):
+        if turn < 3:
+            if turn == 0:
+                pairs = print_pairs(owners)
+            else:
+                met = centre_pairs(members, turn - 1)
+                if turn == 1:  # only the centre that a set shares most with
+                    met = met.groupBy("key").agg(F.max_by("centre", F.struct("times", "centre")).alias("centre"))
+                pairs = met.select(F.least("key", "centre").alias("a"), F.greatest("key", "centre").alias("b")).distinct()
             pairs = pairs.join(of("a"), "a").join(of("b"), "b").where(close("n_a", "n_b", "parity_a", "parity_b", similarity)).select("a", "b")
         else:
             pairs = cross_pairs(members, owners, similarity)
         pairs = stored(alike(pairs, owners, similarity), "pairs")
         found = stored(verified(pairs, sets, similarity), "verified")
         discard(pairs)
-        if turn == 2 and found.isEmpty():
+        if turn == 3 and found.isEmpty():
             break
         links = found if links is None else links.unionAll(found)
         groups = connected(links)
-        if turn < 2:  # what is left to meet: shingles whose sets are in several groups
+        if turn < 3:  # what is left to meet: shingles whose sets are in several groups
             moved = members.drop("component").join(groups, F.col("key") == F.col("node"), "left").select("shingle", "key", F.coalesce("component", "key").alias("component"))
             mixed = moved.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("shingle")
             left = stored(moved.join(mixed, "shingle", "left_semi"), "members")

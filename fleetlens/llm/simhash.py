@@ -36,6 +36,15 @@ STRIDE = 10
 NODE_CAP = 250_000
 
 
+def majority(hashes: np.ndarray) -> int:
+    """The fingerprint of shingle hashes, unsigned: the bits set in over half of them."""
+    ones = np.zeros(BITS, np.int64)
+    for at in range(0, len(hashes), 65536):
+        piece = hashes[at:at + 65536]
+        ones += np.unpackbits(piece.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view("<u8")[0])
+
+
 def fingerprint_of(text: str | None, words: int = 4, seed: int = 42) -> int:
     """The fingerprint of one text, unsigned."""
     parts = (text or "").encode("utf-8", "surrogatepass").translate(LOWER).split()
@@ -47,11 +56,7 @@ def fingerprint_of(text: str | None, words: int = 4, seed: int = 42) -> int:
     first, last = (starts[:-words + 1 or None], ends[words - 1:]) if len(parts) >= words else (starts[:1], ends[-1:])
     digest = xxhash.xxh64_intdigest
     hashes = np.array([digest(joined[s:e], seed) for s, e in zip(first.tolist(), last.tolist())], dtype="<u8")
-    ones = np.zeros(BITS, np.int64)
-    for at in range(0, len(hashes), 65536):
-        piece = hashes[at:at + 65536]
-        ones += np.unpackbits(piece.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view("<u8")[0])
+    return majority(hashes)
 
 
 def fingerprint(text: Column, words: int = 4, seed: int = 42) -> Column:

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from fleetlens.llm import near_copies as N
+from fleetlens.llm import near_copies as N, simhash
 
 
 def jaccard(a, b):
@@ -104,3 +104,15 @@ def test_parity_never_differs_more_than_the_sets():
         apart = np.bitwise_count(N.folded(fine[0], size) ^ N.folded(fine[1], size)).sum()
         assert apart <= n + m and (N.folded(fine[1], 64) == np.frombuffer(N.parity_of(b), np.uint8)).all()
         assert n < 300 or apart > 0.2 * (n + m) * 0.8
+
+
+def test_tries_of_fingerprints_link_sets_first(spark, docs_of, monkeypatch):
+    owners = spark.createDataFrame([(5, 0), (3, 0), (9, 0b1111), (8, 0b11111), (4, -1)], "key long, fp long")
+    got = {tuple(r) for r in N.print_pairs(owners).collect()}
+    assert all(a < b for a, b in got) and {x for x in got if 4 in x} == set() and (3, 5) in got
+    assert got == {(3, 5), (3, 8), (3, 9)}
+    asked = []
+    monkeypatch.setattr(N, "fingerprint_links", lambda prints, budget: asked.append((prints.count(), budget)) or simhash.fingerprint_links(prints, budget))
+    pairs = corpus(5)
+    assert {r["doc_id"]: r["component_id"] for r in N.near_copies(docs_of(pairs)).collect()} == brute(pairs)
+    assert asked == [(len({simhash.majority(N.shingles_of(t).view("<u8")) for _, t in pairs}), 4)]
