@@ -42,6 +42,12 @@ def tasks_for(spark: SparkSession, rows: int, per_task: int) -> int:
     return max(spark.sparkContext.defaultParallelism, -(-rows // per_task))
 
 
+def few(df: DataFrame, rows: int, per_task: int = 1_000_000) -> DataFrame:
+    """``df`` of about ``rows`` rows in no more partitions than these need, so that small shuffle partitions do not become
+    as many small files: on local disks each file costs an executor a process of its own, for its permissions."""
+    return df.coalesce(tasks_for(df.sparkSession, rows, per_task))
+
+
 def smallest(df: DataFrame, group: str, order: list[str], n: int, parts: int = 64) -> DataFrame:
     """The ``n`` rows of every group that come first by ``order``: in parts of the group, then among the parts' rows."""
     part = F.pmod(F.xxhash64(*order), F.lit(parts))
@@ -78,7 +84,7 @@ def connected(edges: DataFrame) -> DataFrame:
         "links")
     before = mark(current)
     while before[0]:
-        current = stored(stars(current), "links")
+        current = stored(few(stars(current), before[0]), "links")
         after = mark(current)
         if tuple(after) == tuple(before):
             break

@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fleetlens.llm.common import connected, discard, stored
+from fleetlens.llm.common import connected, discard, few, stored
 from fleetlens.llm.simhash import LOWER, fingerprint_links, majority
 
 WORDS = 5
@@ -50,7 +50,7 @@ SAMPLE_ONE_IN = 16
 COMMON_IN = 3
 MOST_COMMON = 250_000
 #: Leading shingles in one bucket of the exchange, about.
-BUCKET_SHINGLES = 4_000_000
+BUCKET_SHINGLES = 1_000_000
 PARITY_BITS = 512
 #: Bits in which the fingerprints of sets may differ that the tries bring together.
 PRINT_BUDGET = 4
@@ -263,6 +263,7 @@ class Sets:
 
     def __init__(self, rows: DataFrame, owners: DataFrame, words: int, seed: int):
         self.rows, self.owners, self.words, self.seed = rows, owners, words, seed
+        self.total = owners.count()
         self.parts: list[DataFrame] = []
 
     def of(self, keys: DataFrame) -> DataFrame:
@@ -271,7 +272,7 @@ class Sets:
         new = keys
         for part in self.parts:
             new = new.join(part.select("key"), "key", "left_anti")
-        new = stored(new, "keys")
+        new = stored(few(new, self.total), "keys")
         if not self.parts or not new.isEmpty():
             @F.pandas_udf("key long, shingles array<long>")
             def whole(texts: pd.Series) -> pd.DataFrame:
@@ -280,7 +281,7 @@ class Sets:
 
             texts = self.rows.where(one_of(self.owners.join(new, "key").select("doc_id")))
             made = texts.select(whole("text").alias("s")).select("s.*").join(new, "key", "left_semi")
-            self.parts.append(stored(made.groupBy("key").agg(F.first("shingles").alias("shingles")), "sets"))
+            self.parts.append(stored(few(made.groupBy("key").agg(F.first("shingles").alias("shingles")), new.count(), 50_000), "sets"))
         discard(new)
         out = self.parts[0]
         for part in self.parts[1:]:
@@ -333,8 +334,8 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wor
             pairs = pairs.join(of("a"), "a").join(of("b"), "b").where(close("n_a", "n_b", "parity_a", "parity_b", similarity)).select("a", "b")
         else:
             pairs = cross_pairs(members, owners, similarity)
-        pairs = stored(alike(pairs, owners, similarity), "pairs")
-        found = stored(verified(pairs, sets, similarity), "verified")
+        pairs = stored(few(alike(pairs, owners, similarity), sets.total, 100_000), "pairs")
+        found = stored(few(verified(pairs, sets, similarity), pairs.count(), 100_000), "verified")
         discard(pairs)
         if turn == 3 and found.isEmpty():
             break
@@ -343,7 +344,7 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wor
         if turn < 3:  # what is left to meet: shingles whose sets are in several groups
             moved = members.drop("component").join(groups, F.col("key") == F.col("node"), "left").select("shingle", "key", F.coalesce("component", "key").alias("component"))
             mixed = moved.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("shingle")
-            left = stored(moved.join(mixed, "shingle", "left_semi"), "members")
+            left = stored(few(moved.join(mixed, "shingle", "left_semi"), members.count()), "members")
             discard(members)
             members = left
     labelled = labels.join(groups, F.col("key") == F.col("node"), "left").select("doc_id", F.coalesce("component", "key").alias("component"))

@@ -5,6 +5,7 @@ import pytest
 
 import corpus_pipeline
 from fleetlens.llm import near_copies as N, simhash
+from fleetlens.llm.common import connected
 
 
 def jaccard(a, b):
@@ -116,3 +117,17 @@ def test_tries_of_fingerprints_link_sets_first(spark, docs_of, monkeypatch):
     pairs = corpus(5)
     assert {r["doc_id"]: r["component_id"] for r in N.near_copies(docs_of(pairs)).collect()} == brute(pairs)
     assert asked == [(len({simhash.majority(N.shingles_of(t).view("<u8")) for _, t in pairs}), 4)]
+
+
+def test_small_links_become_few_files(spark):
+    edges = spark.range(2000).selectExpr("id a", "id - id % 10 b")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "60")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        groups = connected(edges)
+        assert len(groups.inputFiles()) <= spark.sparkContext.defaultParallelism
+        assert {tuple(r) for r in groups.collect()} == {(i, i - i % 10) for i in range(2000)}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
