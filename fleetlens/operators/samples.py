@@ -601,11 +601,12 @@ def subscriber_stats(subscribers: DataFrame, queues: DataFrame) -> DataFrame:
         F.sum(F.col("enqueued_msgs") - F.col("dequeued_msgs")).alias("remained_msgs"),
         F.min("time_since_last_dequeue").alias("time_since_last_dequeue"),
         F.max("estd_time_to_drain_no_enq").alias("estd_time_to_drain_no_enq"),
-        F.avg(F.lit(10)).alias("message_latency_1"),
-        F.avg(F.lit(20)).alias("message_latency_2"),
-        F.avg(F.lit(30)).alias("message_latency_3"),
     ).withColumnRenamed("subscriber_id", "subscriber_name")
-    return totals.join(queues.select("queue_id", "queue_name").distinct(), "queue_id").distinct()
+    # averages of constants need no buffers, and totals and names are distinct already
+    latencies = [F.lit(float(n)).alias(f"message_latency_{n // 10}") for n in (10, 20, 30)]
+    return totals.join(queues.select("queue_id", "queue_name").distinct(), "queue_id").select(
+        *[F.col(c) for c in ("queue_id", "inst_id", "subscriber_name", "enqueued_msgs", "dequeued_msgs", "remained_msgs",
+                             "time_since_last_dequeue", "estd_time_to_drain_no_enq")], *latencies, "queue_name")
 
 
 def owner_instance(queues: DataFrame) -> DataFrame:

@@ -187,3 +187,13 @@ def test_percentiles_never_miss(spark, monkeypatch):
             monkeypatch.setattr(samples.F, "percentile_approx", lambda c, edges, acc: real(c, [wrong([0.0, 1.0])] * len(edges), acc))
         got = {r.k: (r.low, r.mid, r.high) for r in samples.percentiles(df, ["k"], "v", ps, accuracy=50).collect()}
         assert got == {k: tuple(sorted(vs)[max(math.ceil(p * len(vs)), 1) - 1] for p in ps.values()) for k, vs in values.items()}
+
+
+def test_subscriber_stats_aggregate_once(spark):
+    subscribers = spark.createDataFrame([(1, 7, 3, 5, 2, 9, 4), (1, 7, 3, 1, None, 6, 8), (2, 7, 3, 2, 2, 1, 1)], """inst_id long, queue_id long, subscriber_id long,
+        enqueued_msgs long, dequeued_msgs long, time_since_last_dequeue long, estd_time_to_drain_no_enq long""")
+    queues = spark.createDataFrame([(7, "q"), (7, "q"), (7, "r")], "queue_id long, queue_name string")
+    made = samples.subscriber_stats(subscribers, queues)
+    assert sorted(map(tuple, made.collect())) == [(7, i, 3, *v, 10.0, 20.0, 30.0, q) for i, v in ((1, (6, 2, 3, 6, 8)), (2, (2, 2, 0, 1, 1))) for q in "qr"]
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate [") == 2 and "avg(" not in plan  # totals and names
