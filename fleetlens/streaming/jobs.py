@@ -379,6 +379,33 @@ def stream_plan_cache(candidates: DataFrame, plan_lines: DataFrame, root: str, c
 def keyed_fold(stream: DataFrame, keys: Sequence[str], order: Sequence[str], columns: Sequence[str],
                out: str, state: str, start: tuple, step, timeout_ms: int | None = None) -> DataFrame:
     """Fold the rows of every key in ``order`` with keyed state.
+WHOLE = ("bigint", "int", "smallint", "tinyint")
+#: Rows of a key that are Python objects at one time.
+FOLD_ROWS = 10_000
+
+
+def ordered_rows(batches, order: Sequence[str], columns: Sequence[str], kinds: dict):
+    """Tuples of ``columns`` of one key's frames by ``order``, NULL first, a part at a time.
+
+    The rows lie in Arrow columns, so that a long series takes bytes and not objects a row.
+    ``kinds`` gives the columns' types; whole numbers come as text.
+    """
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    def column(values, kind):
+        if kind in WHOLE:
+            return pa.array(values, pa.string(), from_pandas=True).cast(pa.int64())
+        return pa.array(values, {"string": pa.large_string(), "boolean": pa.bool_(), "double": pa.float64()}.get(kind), from_pandas=True)
+
+    names = list(dict.fromkeys([*order, *columns]))
+    rows = pa.concat_tables([pa.table({c: column(b[c], kinds[c]) for c in names}) for b in batches], promote_options="default").combine_chunks()
+    places = pc.sort_indices(rows, sort_keys=[(c, "ascending") for c in order], null_placement="at_start")
+    rows = rows.select(list(columns))
+    for at in range(0, len(places), FOLD_ROWS):
+        yield list(zip(*(c.to_pylist() for c in rows.take(places[at:at + FOLD_ROWS]).columns)))
+
+
 
     ``step(state, row) -> (state, output tuple or None)`` is called in order within a
     micro-batch; ``out`` names the output columns behind the keys.  With a timeout the
@@ -395,27 +422,24 @@ def keyed_fold(stream: DataFrame, keys: Sequence[str], order: Sequence[str], col
         if group.hasTimedOut:
             group.remove()
             return
-        rows = pd.concat(list(batches), ignore_index=True)
-        for c in whole:
-            rows[c] = pd.Series([None if v is None else int(v) for v in rows[c]], dtype=object)
-        rows = rows.sort_values(order, kind="stable", na_position="first")
         value = group.get if group.exists else start
-        made = []
-        for row in rows[columns].itertuples(index=False, name=None):
-            value, result = step(value, row)
-            if result is not None:
-                made.append(key + result)
+        for rows in ordered_rows(batches, order, columns, kinds):
+            made = []
+            for row in rows:
+                value, result = step(value, row)
+                if result is not None:
+                    made.append(key + result)
+            if made:
+                yield pd.DataFrame({c: pd.Series(v, dtype=object) for c, v in zip(key_names + names, zip(*made))})
         group.update(value)
         if timeout_ms is not None:
             group.setTimeoutDuration(timeout_ms)
-        if made:
-            yield pd.DataFrame({c: pd.Series(v, dtype=object) for c, v in zip(key_names + names, zip(*made))})
 
     wait = GroupStateTimeout.ProcessingTimeTimeout if timeout_ms is not None else GroupStateTimeout.NoTimeout
     # Whole numbers travel as text: beside a NULL, pandas would turn them into floats and lose digits.
     names_needed = list(dict.fromkeys([*key_names, *order, *columns]))
     kinds = {f.name: f.dataType.simpleString() for f in stream.schema}
-    whole = [c for c in names_needed if c not in key_names and kinds[c] in ("bigint", "int", "smallint", "tinyint")]
+    whole = [c for c in names_needed if c not in key_names and kinds[c] in WHOLE]
     needed = stream.select(*[F.col(c).cast("string").alias(c) if c in whole else F.col(c) for c in names_needed])
     return needed.groupBy(*key_names).applyInPandasWithState(run, f"{key_ddl}, {out}", state, "append", wait)
 

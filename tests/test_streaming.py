@@ -286,3 +286,16 @@ def test_due_rules_keep_their_state(spark, at, tmp_path):
     assert [(r.breached, r.firing) for r in got] == [(True, False), (True, False), (True, True), (False, False)]
     assert [r.pending_since for r in got] == [at(0), at(0), at(0), None]
     assert sinks.read_state(spark, root, "pending_alerts", scheduled.PENDING).count() == 0
+
+
+def test_rows_of_a_key_are_folded_in_parts():
+    import pandas as pd
+
+    kinds = {"at": "bigint", "seq": "bigint", "breached": "boolean", "message": "string", "took": "double"}
+    rows = [(None if i % 97 == 0 else str(2**60 + i * 7919 % 1009), str(i), [True, False, None][i % 3], None if i % 5 else f"m{i}", i / 2 if i % 4 else None)
+            for i in range(25_000)]
+    frames = (pd.DataFrame(rows[i:i + 700], columns=list(kinds)) for i in range(0, len(rows), 700))
+    parts = list(jobs.ordered_rows(frames, ["at"], ["seq", "at", "breached", "message", "took"], kinds))
+    assert [len(p) for p in parts] == [10_000, 10_000, 5_000]
+    expected = sorted(rows, key=lambda r: (r[0] is not None, int(r[0] or 0)))
+    assert [r for p in parts for r in p] == [(int(s), None if a is None else int(a), b, m, t) for a, s, b, m, t in expected]
