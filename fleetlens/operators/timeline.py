@@ -148,9 +148,9 @@ def thin(df: DataFrame, keys: Sequence[str], ts: str, interval: float, strict: b
     its entry time.  Only distinct ticks take part.
     """
     gap, slot = spacing(interval, strict), max(slot_seconds or interval * 512, interval, 1.0)
-    ticks = ticks_of(df, keys, ts, slot)
-    entries = chained(slot_functions(ticks, keys, gap), keys, gap, slot).drop("_leave")
-    return replayed(ticks, entries, keys, gap).select(*keys, F.timestamp_micros("_tick").alias(ts))
+    slots = gathered(ticks_of(df, keys, ts, slot), keys)
+    entries = chained(slot_functions(slots, keys, gap), keys, gap, slot).drop("_leave")
+    return replayed(slots, entries, keys, gap).select(*keys, F.timestamp_micros("_tick").alias(ts))
 
 
 def spacing(interval: float, strict: bool) -> int:
@@ -159,24 +159,29 @@ def spacing(interval: float, strict: bool) -> int:
 
 
 def ticks_of(df: DataFrame, keys: Sequence[str], ts: str, slot_seconds: float) -> DataFrame:
-    """Distinct ticks in microseconds with their slots."""
+    """Ticks in microseconds with their slots."""
     rows = df.where(F.col(ts).isNotNull())
-    return rows.select(*keys, F.unix_micros(ts).alias("_tick"), slot_start(F.col(ts), slot_seconds).alias(SLOT)).distinct()
+    return rows.select(*keys, F.unix_micros(ts).alias("_tick"), slot_start(F.col(ts), slot_seconds).alias(SLOT))
+
+
+def gathered(ticks: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The distinct ticks of every slot in one row (``_ticks``), so that neither keys nor repeats travel with each tick."""
+    return ticks.groupBy(*keys, SLOT).agg(F.collect_set("_tick").alias("_ticks"))
 
 
 def _fields(df: DataFrame, keys: Sequence[str]) -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keys).schema)
 
 
-def slot_functions(ticks: DataFrame, keys: Sequence[str], gap: int) -> DataFrame:
-    """Per slot: the ticks at which its kept ticks can start, and the last kept tick of each (``_starts``, ``_exits``)."""
+def slot_functions(slots: DataFrame, keys: Sequence[str], gap: int) -> DataFrame:
+    """Per slot, whose ticks are gathered in one row or several: the ticks at which its kept ticks can start, and the last kept tick of each (``_starts``, ``_exits``)."""
     keys = list(keys)
 
     def slot_function(pdf):
         import numpy as np
         import pandas as pd
 
-        t = np.sort(pdf["_tick"].to_numpy())
+        t = np.unique(np.concatenate(pdf["_ticks"].to_list()))
         following = np.searchsorted(t, t + gap)
         leave = np.where(following < len(t), following, np.arange(len(t)))
         while True:
@@ -194,7 +199,7 @@ def slot_functions(ticks: DataFrame, keys: Sequence[str], gap: int) -> DataFrame
         row["_exits"] = pd.Series([exits[ends].tolist()], index=row.index)
         return row
 
-    return ticks.groupBy(*keys, SLOT).applyInPandas(slot_function, f"{_fields(ticks, keys)}, _slot long, _starts array<long>, _exits array<long>")
+    return slots.groupBy(*keys, SLOT).applyInPandas(slot_function, f"{_fields(slots, keys)}, _slot long, _starts array<long>, _exits array<long>")
 
 
 def left(starts, exits, kept: int, gap: int) -> int:
@@ -278,15 +283,15 @@ def chained(functions: DataFrame, keys: Sequence[str], gap: int, slot_seconds: f
     return both.groupBy(*keys, "_run").applyInPandas(within, f"{fields}, _slot long, _entry long, _leave long")
 
 
-def replayed(ticks: DataFrame, entries: DataFrame, keys: Sequence[str], gap: int) -> DataFrame:
-    """Kept ticks of every slot (``_slot``, ``_tick``) from its ``_entry``."""
+def replayed(slots: DataFrame, entries: DataFrame, keys: Sequence[str], gap: int) -> DataFrame:
+    """Kept ticks of every slot (``_slot``, ``_tick``) from its gathered ticks and its ``_entry``."""
     keys = list(keys)
 
     def replay(pdf):
         import numpy as np
         import pandas as pd
 
-        t = np.sort(pdf["_tick"].dropna().to_numpy().astype("int64"))
+        t = np.unique(np.concatenate([x for x in pdf["_ticks"] if x is not None]))
         at = int(np.searchsorted(t, int(pdf["_entry"].max()) + gap))
         kept = []
         while at < len(t):
@@ -298,5 +303,5 @@ def replayed(ticks: DataFrame, entries: DataFrame, keys: Sequence[str], gap: int
         out["_tick"] = np.array(kept, dtype="int64")
         return out
 
-    replayable = ticks.unionByName(entries, allowMissingColumns=True)
-    return replayable.groupBy(*keys, SLOT).applyInPandas(replay, f"{_fields(ticks, keys)}, _slot long, _tick long")
+    replayable = slots.unionByName(entries, allowMissingColumns=True)
+    return replayable.groupBy(*keys, SLOT).applyInPandas(replay, f"{_fields(slots, keys)}, _slot long, _tick long")

@@ -19,7 +19,7 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 from fleetlens import schemas
 from fleetlens.operators import accounting, deltas, merges, samples
 from fleetlens.operators.timeline import (
-    chained, newest_per_key, previous_values, replayed, slot_functions, spacing, ticks_of, upcoming,
+    chained, gathered, newest_per_key, previous_values, replayed, slot_functions, spacing, ticks_of, upcoming,
 )
 from fleetlens.sources import sinks
 
@@ -300,15 +300,16 @@ def stream_thin_store(stream: DataFrame, root: str, checkpoint: str, keys: Seque
         every = slots.select(F.explode(F.sequence(F.to_date(F.timestamp_micros("_slot")), F.to_date(end))).alias("day"))
         return [r[0] for r in every.distinct().collect()]
 
-    def seen(spark: SparkSession, days: list, fresh: DataFrame) -> DataFrame:
-        stored = sinks.read_table(spark, root, ticks_in, days)
-        return fresh if stored is None else ticks_of(stored, keys, "tick_at", width).unionByName(fresh).distinct()
+    def with_stored(spark: SparkSession, slots: DataFrame, wanted: DataFrame) -> DataFrame:
+        """The gathered ``slots`` and the stored ticks of the ``wanted`` ones."""
+        stored = sinks.read_table(spark, root, ticks_in, days_of(wanted))
+        return slots if stored is None else slots.unionByName(_same_keys(gathered(ticks_of(stored, keys, "tick_at", width), keys), wanted, [*keys, "_slot"], "left_semi"))
 
     def step(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        fresh = ticks_of(batch, keys, ts, width)
-        touched = fresh.select(*keys, "_slot").distinct().persist()
-        there = _same_keys(seen(spark, days_of(touched), fresh), touched, [*keys, "_slot"], "left_semi")
+        fresh = gathered(ticks_of(batch, keys, ts, width), keys).persist()
+        touched = fresh.select(*keys, "_slot")
+        there = with_stored(spark, fresh, touched).persist()
         functions = slot_functions(there, keys, gap).withColumns({"_touched": F.lit(True), "_was": F.lit(None).cast("long")})
         known, starts = _slots(spark, root, slots_in, keys), None
         if known is not None:
@@ -326,15 +327,15 @@ def stream_thin_store(stream: DataFrame, root: str, checkpoint: str, keys: Seque
         both = functions.unionByName(entries, allowMissingColumns=True).groupBy(*names).agg(
             *[F.first(c, ignorenulls=True).alias(c) for c in ("_starts", "_exits", "_touched", "_was", "_entry", "_leave")])
         changed = both.where("_touched or _was <> _entry").persist()
-        ticks = _same_keys(seen(spark, days_of(changed), fresh), changed, names, "left_semi")
+        slots = there if known is None else with_stored(spark, there, changed.where("not _touched"))
         revision = F.lit(batch_id).cast("long").alias("revision")
-        kept = replayed(ticks, changed.select(*names, "_entry"), keys, gap)
+        kept = replayed(slots, changed.select(*names, "_entry"), keys, gap)
         sinks.commit_batch(spark, root, batch_id, {
-            ticks_in: fresh.select(*keys, F.timestamp_micros("_tick").alias("tick_at")),
+            ticks_in: fresh.select(*keys, F.explode("_ticks").alias("_tick")).select(*keys, F.timestamp_micros("_tick").alias("tick_at")),
             slots_in: changed.select(*names, "_starts", "_exits", "_entry", "_leave", revision),
             kept_in: kept.select(*keys, F.timestamp_micros("_tick").alias(ts), "_slot", revision),
         })
-        for held in (touched, functions, changed, *([near] if known is not None else [])):
+        for held in (fresh, there, functions, changed, *([near] if known is not None else [])):
             held.unpersist()
 
     return per_batch(stream, checkpoint, step, **trigger)

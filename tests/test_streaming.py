@@ -299,3 +299,18 @@ def test_rows_of_a_key_are_folded_in_parts():
     assert [len(p) for p in parts] == [10_000, 10_000, 5_000]
     expected = sorted(rows, key=lambda r: (r[0] is not None, int(r[0] or 0)))
     assert [r for p in parts for r in p] == [(int(s), None if a is None else int(a), b, m, t) for a, s, b, m, t in expected]
+
+
+def test_ticks_of_a_slot_travel_in_one_row(spark, at):
+    ticks = spark.createDataFrame([("a", at(i % 50)) for i in range(400)] + [(None, at(7)), ("a", at(7200)), ("a", None)], "k string, t timestamp")
+    slots = timeline.gathered(timeline.ticks_of(ticks, ["k"], "t", 3600.0), ["k"])
+    assert sorted((r["k"] is None, r["_slot"] % 10**10, len(r["_ticks"])) for r in slots.collect()) == sorted(
+        [(False, timeline_slot(at(0)), 50), (False, timeline_slot(at(7200)), 1), (True, timeline_slot(at(0)), 1)])
+    twice = slots.unionByName(slots)
+    assert sorted(map(str, timeline.slot_functions(twice, ["k"], 10).collect())) == sorted(map(str, timeline.slot_functions(slots, ["k"], 10).collect()))
+
+
+def timeline_slot(time):
+    from datetime import timezone
+
+    return int(time.replace(tzinfo=timezone.utc).timestamp()) * 1_000_000 % 10**10
