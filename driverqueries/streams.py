@@ -98,9 +98,14 @@ def consumer_delta(fx):
 
 
 def _consumers(fx, name, **options):
-    """Snapshots aggregated from events land in four files by plan, so that every batch splits every snapshot."""
+    """Snapshots aggregated from events land in four files by plan, so that every batch splits every snapshot.
+
+    ``options`` are functions of the landed snapshots, which are aggregated once.
+    """
     root = scratch_dir(fx.spark, name)
     fx.sqlstats.repartition(4, "plan_hash_value").write.parquet(f"{root}/landed")
+    landed = fx.spark.read.schema(fx.sqlstats.schema).parquet(f"{root}/landed")
+    options = {k: (lambda spark, of=v: of(landed)) if callable(v) else v for k, v in options.items()}
     stream = jobs.read_landed(fx.spark, f"{root}/landed", fx.sqlstats.schema, maxFilesPerTrigger=1)
     _wait(jobs.stream_consumers(stream, root, f"{root}/_checkpoint", **options))
     return root
@@ -120,8 +125,8 @@ select * from (
   from totals where elapsed_time_micro > 0 and taken_at is not null) r
 where rank <= 3""")
 def top_consumers(fx):
-    takes = lambda spark: fx.sqlstats.where("hour(collected_at) % 8 = 0").select("source_database", "collected_at")
-    complete = lambda spark: fx.sqlstats.select("source_database", "collected_at").distinct()
+    takes = lambda landed: landed.where("hour(collected_at) % 8 = 0").select("source_database", "collected_at")
+    complete = lambda landed: landed.select("source_database", "collected_at").distinct()
     root = _consumers(fx, "takes", takes=takes, complete=complete, n=3)
     return jobs.top_consumers(fx.spark, root).drop("batch_id", "revision", "day")
 

@@ -171,9 +171,12 @@ def stream_consumers(stream: DataFrame, root: str, checkpoint: str, keys=deltas.
             "consumer_deltas": made.select("*", revision),
             "consumer_done": todo.select(*SNAPSHOT, revision),
         }
+        given = takes(spark).select(*SNAPSHOT).where("source_database is not null and collected_at is not null").distinct().persist() if takes else None
         if takes:
-            tables |= _retake(spark, root, done, todo, made, takes(spark), n, revision)
+            tables |= _retake(spark, root, done, todo, made, given, n, revision)
         sinks.commit_batch(spark, root, batch_id, tables)
+        if takes:
+            given.unpersist()
         made.unpersist()
         todo.unpersist()
 
@@ -181,10 +184,9 @@ def stream_consumers(stream: DataFrame, root: str, checkpoint: str, keys=deltas.
 
 
 def _retake(spark, root, done, todo, made, takes, n, revision) -> dict[str, DataFrame]:
-    """Top consumers of the takes that are new, follow a new one, or whose snapshots changed."""
+    """Top consumers of those of the distinct ``takes`` that are new, follow a new one, or whose snapshots changed."""
     keys = ["source_database", "taken_at"]
     before = _newest(sinks.read_table(spark, root, "takes_done"), spark, "source_database string, taken_at timestamp, revision long", keys)
-    takes = takes.select(*SNAPSHOT).where("source_database is not null and collected_at is not null").distinct()
     changed = upcoming(todo.select(*SNAPSHOT), takes, ["source_database"], "collected_at", "taken_at").select(*keys).distinct()
     spans = (takes.withColumnRenamed("collected_at", "taken_at").join(before, keys, "left")
              .join(changed.withColumn("_changed", F.lit(True)), keys, "left").withColumn("_new", F.col("revision").isNull()))
@@ -377,9 +379,6 @@ def stream_plan_cache(candidates: DataFrame, plan_lines: DataFrame, root: str, c
 # many small series and low latency; where one series may hold a large share of a
 # batch, use the ``*_store`` forms above.
 
-def keyed_fold(stream: DataFrame, keys: Sequence[str], order: Sequence[str], columns: Sequence[str],
-               out: str, state: str, start: tuple, step, timeout_ms: int | None = None) -> DataFrame:
-    """Fold the rows of every key in ``order`` with keyed state.
 WHOLE = ("bigint", "int", "smallint", "tinyint")
 #: Rows of a key that are Python objects at one time.
 FOLD_ROWS = 10_000
@@ -407,6 +406,9 @@ def ordered_rows(batches, order: Sequence[str], columns: Sequence[str], kinds: d
         yield list(zip(*(c.to_pylist() for c in rows.take(places[at:at + FOLD_ROWS]).columns)))
 
 
+def keyed_fold(stream: DataFrame, keys: Sequence[str], order: Sequence[str], columns: Sequence[str],
+               out: str, state: str, start: tuple, step, timeout_ms: int | None = None) -> DataFrame:
+    """Fold the rows of every key in ``order`` with keyed state.
 
     ``step(state, row) -> (state, output tuple or None)`` is called in order within a
     micro-batch; ``out`` names the output columns behind the keys.  With a timeout the

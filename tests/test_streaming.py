@@ -301,6 +301,20 @@ def test_rows_of_a_key_are_folded_in_parts():
     assert [r for p in parts for r in p] == [(int(s), None if a is None else int(a), b, m, t) for a, s, b, m, t in expected]
 
 
+def test_takes_come_from_the_landed_snapshots(spark, monkeypatch):
+    from driverqueries import streams
+    from driverqueries.adapters import Inputs
+
+    given = {}
+    monkeypatch.setattr(streams, "_wait", lambda started: None)
+    monkeypatch.setattr(streams.jobs, "stream_consumers", lambda stream, root, checkpoint, **options: given.update(options, root=root))
+    monkeypatch.setattr(streams.jobs, "top_consumers", lambda spark, root: spark.range(1).selectExpr("1 batch_id", "1 revision", "1 day", "id"))
+    fx = Inputs(spark, "/root/testdata/sf0.001")
+    streams.top_consumers(fx)
+    for name in ("takes", "complete"):
+        assert all("/landed/" in f for f in given[name](spark).inputFiles()) and given[name](spark).count()
+
+
 def test_ticks_of_a_slot_travel_in_one_row(spark, at):
     ticks = spark.createDataFrame([("a", at(i % 50)) for i in range(400)] + [(None, at(7)), ("a", at(7200)), ("a", None)], "k string, t timestamp")
     slots = timeline.gathered(timeline.ticks_of(ticks, ["k"], "t", 3600.0), ["k"])
