@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -44,8 +47,23 @@ def tasks_for(spark: SparkSession, rows: int, per_task: int) -> int:
 
 def few(df: DataFrame, rows: int, per_task: int = 1_000_000) -> DataFrame:
     """``df`` of about ``rows`` rows in no more partitions than these need, so that small shuffle partitions do not become
-    as many small files: on local disks each file costs an executor a process of its own, for its permissions."""
-    return df.coalesce(tasks_for(df.sparkSession, rows, per_task))
+    as many small files: on local disks each file costs an executor a process of its own, for its permissions.
+
+    The rows are dealt anew: one task that made many partitions would keep the memory of all their sorts and joins until its end."""
+    return df.repartition(tasks_for(df.sparkSession, rows, per_task))
+
+
+@contextmanager
+def held(spark: SparkSession, settings: dict[str, str]) -> Iterator[None]:
+    """``settings`` of the session hold inside, and those from before afterwards."""
+    before = {name: spark.conf.get(name, None) for name in settings}
+    for name, value in settings.items():
+        spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
 
 
 def smallest(df: DataFrame, group: str, order: list[str], n: int, parts: int = 64) -> DataFrame:
@@ -57,10 +75,10 @@ def smallest(df: DataFrame, group: str, order: list[str], n: int, parts: int = 6
     return few.withColumn("_place", among).where(F.col("_place") <= n).select(*df.columns)
 
 
-def connected(edges: DataFrame) -> DataFrame:
+def connected(edges: DataFrame, rows: int | None = None) -> DataFrame:
     """Connected components of undirected links.
 
-    ``edges`` has two bigint columns ``a`` and ``b``; nulls and self-links are ignored.
+    ``edges`` has two bigint columns ``a`` and ``b``; nulls and self-links are ignored.  ``rows`` is about their number, if it is known.
     Returns ``node``, ``component`` (the smallest node reachable) for every linked node.
     Alternates large-star and small-star steps; each is one aggregation and one join, so
     a node with many links is pre-aggregated and skew-split, never gathered.
@@ -79,9 +97,8 @@ def connected(edges: DataFrame) -> DataFrame:
     def mark(links: DataFrame):
         return links.agg(F.count("*"), F.sum(F.xxhash64("child", "parent").cast("decimal(38,0)"))).first()
 
-    current = stored(
-        edges.where("a <> b").select(F.greatest("a", "b").alias("child"), F.least("a", "b").alias("parent")).distinct(),
-        "links")
+    links = edges.where("a <> b").select(F.greatest("a", "b").alias("child"), F.least("a", "b").alias("parent")).distinct()
+    current = stored(links if rows is None else few(links, rows), "links")
     before = mark(current)
     while before[0]:
         current = stored(few(stars(current), before[0]), "links")

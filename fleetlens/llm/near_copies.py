@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fleetlens.llm.common import connected, discard, few, stored
+from fleetlens.llm.common import connected, discard, few, held, stored
 from fleetlens.llm.simhash import LOWER, fingerprint_links, majority
 
 WORDS = 5
@@ -58,6 +58,9 @@ PRINT_BUDGET = 4
 #: It is part of a plan, which the driver keeps as text too; a full map only makes sets that are then dropped.
 MOST_PLACES, PLACES_EACH = 1 << 20, 16
 EPSILON = 1e-9
+#: Held while the groups are made.  Small partitions are joined by hash, not sorted: a sort takes a whole memory page for few rows, a join two.
+#: Rows of batches are large, so their number does not bound what goes to a Python worker at once.
+SETTINGS = {"spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "16m", "spark.sql.execution.arrow.maxBytesPerBatch": "4m"}
 
 BATCHES = "batch long, doc_id array<long>, key array<long>, n array<int>, fp array<long>, parity array<binary>, counts array<int>, leads binary"
 LOW_BITS = np.uint64(0xFFFFFFFF)
@@ -230,7 +233,7 @@ def close(n_a: str, n_b: str, parity_a: str, parity_b: str, similarity: float) -
 def print_pairs(owners: DataFrame, budget: int = PRINT_BUDGET) -> DataFrame:
     """Pairs ``a``, ``b`` of sets (``key``, ``fp``) that the tries of fingerprints link: the first set of every
     fingerprint with the others of it, and the first ones of fingerprints within ``budget`` bits, as spanning links."""
-    prints = stored(owners.groupBy("fp").agg(F.min("key").alias("first")), "prints")
+    prints = stored(few(owners.groupBy("fp").agg(F.min("key").alias("first")), owners.count()), "prints")
     of = lambda c: prints.select(F.col("fp").alias(c), F.col("first").alias(f"first_{c}"))
     linked = fingerprint_links(prints.select("fp"), budget).join(of("a"), "a").join(of("b"), "b")
     equal = owners.select("key", "fp").join(prints, "fp").where("key <> first")
@@ -307,6 +310,12 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wor
     if not 0 < similarity <= 1:
         raise ValueError("similarity must be above 0 and at most 1")
     rows = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    with held(docs.sparkSession, SETTINGS):
+        return groups_of(rows, words, similarity, seed)
+
+
+def groups_of(rows: DataFrame, words: int, similarity: float, seed: int) -> DataFrame:
+    """``near_copies`` of ``rows`` (``doc_id``, ``text``) that have an id."""
     common = common_shingles(rows, F.col("text"), words, seed)
     batches = stored(batched_sets(rows, common, words, similarity, seed), "batches")
     members = stored(shared_shingles(batches).withColumn("component", F.col("key")), "members")
@@ -317,8 +326,8 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wor
         return pd.Series([folded(p, PARITY_BITS // 8).view(np.int64) for p in parity], dtype=object)
 
     known = batches.select(F.explode(F.arrays_zip("doc_id", "key", "n", "fp", "parity")).alias("d")).select("d.*")
-    owners = stored(known.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("parity").alias("fine"))
-                    .withColumn("parity", coarse("fine")), "owners")
+    each = known.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("parity").alias("fine"))
+    owners = stored(few(each, labels.count(), 100_000).withColumn("parity", coarse("fine")), "owners")
     discard(batches)
     of = lambda c: owners.select(F.col("key").alias(c), F.col("n").alias(f"n_{c}"), F.col("parity").alias(f"parity_{c}"))
     sets, links, groups = Sets(rows, owners, words, seed), None, None
@@ -340,7 +349,7 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wor
         if turn == 3 and found.isEmpty():
             break
         links = found if links is None else links.unionAll(found)
-        groups = connected(links)
+        groups = connected(links, links.count())
         if turn < 3:  # what is left to meet: shingles whose sets are in several groups
             moved = members.drop("component").join(groups, F.col("key") == F.col("node"), "left").select("shingle", "key", F.coalesce("component", "key").alias("component"))
             mixed = moved.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("shingle")
@@ -349,7 +358,7 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wor
             members = left
     labelled = labels.join(groups, F.col("key") == F.col("node"), "left").select("doc_id", F.coalesce("component", "key").alias("component"))
     smallest = labelled.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    result = stored(labelled.join(smallest, "component").select("doc_id", "component_id"), "near_copies")
+    result = stored(few(labelled.join(smallest, "component").select("doc_id", "component_id"), labels.count()), "near_copies")
     for done in (members, labels, owners, sets):
         sets.discard() if done is sets else discard(done)
     return result

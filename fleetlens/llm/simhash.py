@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fleetlens.llm.common import connected, stored, tasks_for
+from fleetlens.llm.common import connected, few, stored, tasks_for
 
 BITS = 64
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -235,7 +235,7 @@ def fingerprint_links(prints: DataFrame, budget: int = 4, node_cap: int = NODE_C
     def node_of(fp: pd.Series) -> pd.Series:
         return pd.Series(np.searchsorted(starts, fp.to_numpy(np.int64).view(np.uint64), side="right") - 1, dtype="int32")
 
-    blocks = stored(prints.select(node_of("fp").alias("node"), "fp").groupBy("node").agg(F.collect_list("fp").alias("values")), "trie")
+    blocks = stored(few(prints.select(node_of("fp").alias("node"), "fp").groupBy("node").agg(F.collect_list("fp").alias("values")), len(nodes), 8), "trie")
     pairs = spark.createDataFrame(pd.DataFrame(node_pairs(nodes, budget), columns=["i", "j"]))
     work = (pairs.join(blocks.select(F.col("node").alias("i"), F.col("values").alias("left")), "i")
             .join(blocks.select(F.col("node").alias("j"), F.col("values").alias("right")), "j")

@@ -2,10 +2,12 @@ import random
 
 import numpy as np
 import pytest
+from pyspark import TaskContext
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from fleetlens.llm import near_copies as N, simhash
-from fleetlens.llm.common import connected
+from fleetlens.llm.common import connected, few, held, stored
 
 
 def jaccard(a, b):
@@ -131,3 +133,24 @@ def test_small_links_become_few_files(spark):
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+def test_few_files_do_not_put_many_partitions_into_one_task(spark):
+    """A task keeps what its sorts and joins took until it ends, so each makes one shuffle partition."""
+    def attempt(batches):
+        for batch in batches:
+            yield batch[["k"]].assign(task=TaskContext.get().taskAttemptId())
+
+    with held(spark, {"spark.sql.shuffle.partitions": "60", "spark.sql.adaptive.coalescePartitions.enabled": "false"}):
+        made = spark.range(6000).groupBy((F.col("id") % 600).alias("k")).count().mapInPandas(attempt, "k long, task long")
+        kept = stored(few(made, 600), "few")
+        assert len(kept.inputFiles()) <= spark.sparkContext.defaultParallelism
+        assert kept.count() == 600 and kept.select("task").distinct().count() == 60
+
+
+def test_settings_hold_for_the_groups_only(spark, docs_of, monkeypatch):
+    seen, names = [], list(N.SETTINGS)
+    before = [spark.conf.get(n, None) for n in names]
+    monkeypatch.setattr(N, "groups_of", lambda rows, *args: seen.append([spark.conf.get(n) for n in names]))
+    N.near_copies(docs_of([(1, "a")]))
+    assert seen == [list(N.SETTINGS.values())] and [spark.conf.get(n, None) for n in names] == before
