@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -236,7 +237,8 @@ def fingerprint_links(prints: DataFrame, budget: int = 4, node_cap: int = NODE_C
         return pd.Series(np.searchsorted(starts, fp.to_numpy(np.int64).view(np.uint64), side="right") - 1, dtype="int32")
 
     blocks = stored(few(prints.select(node_of("fp").alias("node"), "fp").groupBy("node").agg(F.collect_list("fp").alias("values")), len(nodes), 8), "trie")
-    pairs = spark.createDataFrame(pd.DataFrame(node_pairs(nodes, budget), columns=["i", "j"]))
+    # an Arrow table is read by the JVM; rows of a pandas frame would go through Python workers of their own kind, which stay
+    pairs = spark.createDataFrame(pa.table(dict(zip("ij", node_pairs(nodes, budget).T))))
     work = (pairs.join(blocks.select(F.col("node").alias("i"), F.col("values").alias("left")), "i")
             .join(blocks.select(F.col("node").alias("j"), F.col("values").alias("right")), "j")
             .repartition(tasks_for(spark, pairs.count(), 8)))

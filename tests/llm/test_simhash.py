@@ -1,8 +1,10 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from fleetlens.llm import simhash as S
 
@@ -82,3 +84,17 @@ def test_groups(docs_of):
 
 def test_empty(docs_of):
     assert S.near_duplicates(docs_of([])).count() == 0
+
+
+def test_pairs_of_nodes_need_no_python_workers(spark, monkeypatch):
+    """They reach Spark as an Arrow table, not as Python objects that workers turn into rows."""
+    made = []
+    create = type(spark).createDataFrame
+    monkeypatch.setattr(type(spark), "createDataFrame", lambda self, data, *args, **more: made.append(type(data)) or create(self, data, *args, **more))
+    prints = spark.range(300).select((F.col("id") * 7919).alias("fp"))
+    made.clear()
+    links = S.fingerprint_links(prints, 1)
+    assert made == [pa.Table]
+    values = [7919 * i for i in range(300)]
+    near = {(a, b) for a in values for b in values if a < b and (a ^ b).bit_count() <= 1}
+    assert {tuple(sorted(r)) for r in links.collect()} <= near
